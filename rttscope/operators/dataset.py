@@ -104,3 +104,14 @@ def exclusions(labelled_rows: DataFrame, stale: DataFrame, split_rows: DataFrame
     )
     merged = blocked.unionByName(dropped).unionByName(held).where("motivo is not null")
     return merged.groupBy("id_fluxo", "motivo").agg(F.count(F.lit(1)).alias("n_linhas"))
+
+
+def severe_unlabelled(rows: DataFrame) -> DataFrame:
+    """Rows with severe loss that got no class, per flow."""
+    severe = F.col("classe").isNull() & (F.col("perda_pct") >= K.LOSS_FAIL - K.LOSS_EPS)
+    return rows.where(severe).groupBy("id_fluxo").agg(F.count(F.lit(1)).alias("n"))
+
+
+def zero_jitter_limit(baseline: DataFrame) -> DataFrame:
+    """Flows whose jitter limit is zero, so any jitter at all is a warning."""
+    return baseline.where(F.col("p95_jitter_A") == 0).select("id_fluxo").distinct()

@@ -9,10 +9,16 @@ import re
 
 from rttscope import contract as K
 from rttscope.sources.adapter import (
-    A_START, B_END, B_START, GAP_S, INTERVAL_S, TRAIN_DAYS, VALID_DAYS,
+    A_START, ANCHOR_COLUMNS, B_END, B_START, CONTINENT, GAP_S, INTERVAL_S, MEASUREMENT_COLUMNS,
+    PROBE_COLUMNS, TRAIN_DAYS, VALID_DAYS, iso_case,
 )
 
 
+def _projection(columns: dict[str, str]) -> str:
+    return ", ".join(f"{e.format(str='varchar', div='//')} AS {n}" for n, e in columns.items())
+
+
+
 def _packet(nth: int, col: str) -> str:
     return (
         f"CASE WHEN rcvd >= {nth} THEN concat('{{\"rtt\":', CAST({col} // 100 AS VARCHAR), '.', "
@@ -172,6 +178,22 @@ CTES: dict[str, str] = {
     + ", alvo\n  FROM split_rows WHERE split <> 'embargo'",
 }
 
+CTES.update({
+    "country_dim": f"""
+  SELECT n_nationkey, {iso_case('n_name')} AS country, {CONTINENT} AS continent, r_name AS region
+  FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "anchor_dim": f"""
+  SELECT {_projection(ANCHOR_COLUMNS)} FROM supplier JOIN country_dim ON s_nationkey = n_nationkey""",
+    "msm_dim": f"""
+  SELECT {_projection(MEASUREMENT_COLUMNS)}
+  FROM (SELECT anchor_id, fqdn, ip_v4, unnest([0, 1, 2]) AS k FROM anchor_dim)""",
+    "probe_dim": f"""
+  SELECT {_projection(PROBE_COLUMNS)} FROM customer JOIN country_dim ON c_nationkey = n_nationkey""",
+    "participant_dim": """
+  SELECT DISTINCT ((probe_id * 7 + i * 13) % (SELECT count(*) FROM supplier)) * 10 + probe_id % 2 AS msm_id, probe_id
+  FROM (SELECT c_custkey - 1 AS probe_id, unnest(range(0, (c_custkey - 1) % 4 + 1)) AS i FROM customer)""",
+})
+
 
 def sql(body: str, extra: dict[str, str] | None = None) -> str:
     """``body`` with the CTEs it needs; ``extra`` adds query-specific ones after them."""

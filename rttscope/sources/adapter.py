@@ -68,71 +68,115 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# fixed values: ISO codes of the nations in the test tables
+ISO = {
+    "ALGERIA": "DZ", "ARGENTINA": "AR", "BRAZIL": "BR", "CANADA": "CA", "CHINA": "CN",
+    "EGYPT": "EG", "ETHIOPIA": "ET", "FRANCE": "FR", "GERMANY": "DE", "INDIA": "IN",
+    "INDONESIA": "ID", "IRAN": "IR", "IRAQ": "IQ", "JAPAN": "JP", "JORDAN": "JO",
+    "KENYA": "KE", "MOROCCO": "MA", "MOZAMBIQUE": "MZ", "PERU": "PE", "ROMANIA": "RO",
+    "RUSSIA": "RU", "SAUDI ARABIA": "SA", "UNITED KINGDOM": "GB", "UNITED STATES": "US",
+    "VIETNAM": "VN",
+}
+
+
+def iso_case(col: str) -> str:
+    """SQL text of the nation-name to code lookup, with the first two letters as default."""
+    arms = " ".join(f"when '{name}' then '{code}'" for name, code in ISO.items())
+    return f"case {col} {arms} else substr({col}, 1, 2) end"
+
+
+# Which continent name of the contract a nation belongs to.
+CONTINENT = (
+    "case when r_name = 'AFRICA' then 'África' when r_name = 'EUROPE' then 'Europa' "
+    "when r_name = 'AMERICA' and n_name in ('ARGENTINA', 'BRAZIL', 'PERU') then 'América do Sul' "
+    "when r_name = 'AMERICA' then 'América do Norte' else 'Ásia' end"
+)
+
+
+def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Country dimension: code, continent, region.  At most one row per nation."""
+    return table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey")
+    ).selectExpr(
+        "n_nationkey", f"{iso_case('n_name')} as country", f"{CONTINENT} as continent",
+        "r_name as region",
+    )
+
+
+ANCHOR_COLUMNS = {
+    "anchor_id": "s_suppkey - 1",
+    "fqdn": "concat('host', cast(s_suppkey as {str}), '.', lower(country), '.example')",
+    "hostname": "case when s_suppkey % 4 = 0 then concat('host', cast(s_suppkey as {str})) else '  ' end",
+    "ip_v4": "case when s_suppkey % 13 = 0 then null else concat('10.', cast(s_suppkey {div} 250 % 250 as {str}), "
+    "'.', cast(s_suppkey % 250 as {str}), '.1') end",
+    "country": "country",
+    "asn_v4": "case when s_suppkey % 16 = 0 then null else 64500 + s_suppkey % 40 end",
+    "lon": "case when s_suppkey % 17 = 0 then null else cast(s_suppkey * 37 % 360 - 180 as double) end",
+    "lat": "case when s_suppkey % 17 = 0 then null else cast(s_suppkey * 53 % 180 - 90 as double) end",
+    "is_disabled": "s_suppkey % 19 = 0",
+}
+MEASUREMENT_COLUMNS = {
+    "msm_id": "anchor_id * 10 + k",
+    "anchor_id": "anchor_id",
+    "target": "case when k = 0 then upper(fqdn) else ip_v4 end",
+    "target_ip": "case when k = 0 then null else ip_v4 end",
+    "type": "case when k = 2 and anchor_id % 3 = 0 then 'traceroute' else 'ping' end",
+    "af": "case when anchor_id % 7 = 0 and k = 1 then 6 else 4 end",
+    "is_public": "not (anchor_id % 11 = 0 and k = 2)",
+    "status": "case when anchor_id % 5 = 0 and k = 2 then 'Stopped' else 'Ongoing' end",
+    "interval": "case when anchor_id % 29 = 28 then null else 240 + 60 * k end",
+    "packets": "3",
+    "is_mesh": "k < 2",
+    "target_url": "concat('https://example.org/anchors/', cast(anchor_id as {str}), '/')",
+}
+PROBE_COLUMNS = {
+    "probe_id": "c_custkey - 1",
+    "country": "country",
+    "continent": "continent",
+    "asn_v4": "case when c_custkey % 12 = 0 then null else 65000 + c_custkey % 60 end",
+    "lon": "case when c_custkey % 31 = 0 then null else cast(c_custkey * 41 % 360 - 180 as double) end",
+    "lat": "case when c_custkey % 31 = 0 then null else cast(c_custkey * 59 % 180 - 90 as double) end",
+    "status": "case when c_custkey % 9 = 0 then 'Disconnected' else 'Connected' end",
+    "is_public": "c_custkey % 14 <> 0",
+    "is_anchor": "c_custkey % 6 = 0",
+    "address_v4": "case when c_custkey % 25 = 0 then null else concat('172.', cast(16 + c_custkey {div} 60000 as {str}), "
+    "'.', cast(c_custkey {div} 250 % 240 as {str}), '.', cast(c_custkey % 250 as {str})) end",
+    "tags": "concat('[{{\"slug\":\"seg-', lower(c_mktsegment), '\"}},\"home\",7]')",
+}
+
+
+def _projection(columns: dict[str, str]) -> list[str]:
+    return [f"{e.format(str='string', div='div')} as {n}" for n, e in columns.items()]
+
+
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One candidate anchor per supplier; some lack coordinates, a country or an address."""
+    """One candidate anchor per supplier; some lack coordinates, an ASN or an address."""
     s = table(spark, sf_dir, "supplier").join(
-        table(spark, sf_dir, "nation"), F.expr("s_nationkey = n_nationkey")
-    ).join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
-    return s.selectExpr(
-        "s_suppkey as anchor_id",
-        "concat('host', cast(s_suppkey as string), '.', lower(replace(n_name, ' ', '-')), '.example') as fqdn",
-        "case when s_suppkey % 13 = 0 then null else concat('10.', cast(s_suppkey div 250 % 250 as string), '.', "
-        "cast(s_suppkey % 250 as string), '.1') end as ip_v4",
-        "n_name as country", "r_name as continent",
-        "cast(64500 + s_suppkey % 40 as bigint) as asn_v4",
-        "case when s_suppkey % 17 = 0 then null else cast(s_suppkey * 37 % 360 - 180 as double) end as lon",
-        "case when s_suppkey % 17 = 0 then null else cast(s_suppkey * 53 % 180 - 90 as double) end as lat",
-        "s_suppkey % 19 = 0 as is_disabled",
-        "1 + case when s_suppkey % 23 = 0 then 1 else 0 end as probe_status",
-        "s_acctbal as acctbal",
+        countries(spark, sf_dir), F.expr("s_nationkey = n_nationkey")
     )
+    return s.selectExpr(*_projection(ANCHOR_COLUMNS))
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two measurements per anchor (by name and by address) plus a few unsuited ones."""
-    a = anchors(spark, sf_dir)
-    return a.selectExpr(
-        "anchor_id", "fqdn", "ip_v4", "explode(sequence(0, 2)) as k"
-    ).selectExpr(
-        "anchor_id * 10 + k as msm_id",
-        "case when k = 0 then upper(fqdn) else ip_v4 end as target",
-        "case when k = 0 then null else ip_v4 end as target_ip",
-        "case when k = 2 and anchor_id % 3 = 0 then 'traceroute' else 'ping' end as type",
-        "case when anchor_id % 7 = 0 and k = 1 then 6 else 4 end as af",
-        "not (anchor_id % 11 = 0 and k = 2) as is_public",
-        "case when anchor_id % 5 = 0 and k = 2 then 'Stopped' else 'Ongoing' end as status",
-        "case when anchor_id % 29 = 0 then null else 240 + 60 * k end as interval",
-        "3 as packets",
-        "k < 2 as is_mesh",
-        "concat('https://example.org/anchors/', cast(anchor_id as string), '/') as target_url",
-    )
+    """Three measurements per anchor, some of an unsuited kind."""
+    a = anchors(spark, sf_dir).selectExpr("anchor_id", "fqdn", "ip_v4", "explode(sequence(0, 2)) as k")
+    return a.selectExpr(*_projection(MEASUREMENT_COLUMNS))
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One probe per customer."""
     c = table(spark, sf_dir, "customer").join(
-        table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")
-    ).join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
-    return c.selectExpr(
-        "c_custkey as probe_id", "n_name as country", "r_name as continent",
-        "cast(65000 + c_custkey % 60 as bigint) as asn_v4",
-        "case when c_custkey % 31 = 0 then null else cast(c_custkey * 41 % 360 - 180 as double) end as lon",
-        "case when c_custkey % 31 = 0 then null else cast(c_custkey * 59 % 180 - 90 as double) end as lat",
-        "case when c_custkey % 9 = 0 then 'Disconnected' else 'Connected' end as status",
-        "c_custkey % 14 <> 0 as is_public",
-        "case when c_custkey % 25 = 0 then null else concat('172.', cast(16 + c_custkey div 60000 as string), '.', "
-        "cast(c_custkey div 250 % 240 as string), '.', cast(c_custkey % 250 as string)) end as address_v4",
-        "concat('[{\"slug\":\"seg-', lower(c_mktsegment), '\"},\"home\",7]') as tags",
+        countries(spark, sf_dir), F.expr("c_nationkey = n_nationkey")
     )
+    return c.selectExpr(*_projection(PROBE_COLUMNS))
 
 
 def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which probes take part in which measurement, as one array row per measurement."""
-    n = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"))
-    c = table(spark, sf_dir, "customer").selectExpr("c_custkey as probe_id")
-    # every probe belongs to a few anchors found by arithmetic, no pairing of tables
-    total = n.agg(F.count(F.lit(1)).alias("n"))
-    linked = c.selectExpr("probe_id", "explode(sequence(0, probe_id % 4)) as i").withColumn(
-        "anchor_id", (F.col("probe_id") * 7 + F.col("i") * 13) % total.scalar() + 1
-    )
-    return linked.selectExpr("anchor_id * 10 + probe_id % 2 as msm_id", "probe_id").dropDuplicates()
+    """Which probes take part in which measurement: 1 to 4 anchors per probe, by arithmetic."""
+    total = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n")).scalar()
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey - 1 as probe_id")
+    linked = c.selectExpr("probe_id", "explode(sequence(0, cast(probe_id % 4 as int))) as i")
+    anchor = (F.col("probe_id") * 7 + F.col("i") * 13) % total
+    return linked.select(
+        (anchor * 10 + F.col("probe_id") % 2).alias("msm_id"), "probe_id"
+    ).dropDuplicates()
