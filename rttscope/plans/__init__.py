@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("core",)
+_MODULES = ("core", "eval", "select", "drift")
 
 
 def load_catalog():
