@@ -19,7 +19,9 @@ def haversine_km(a: Column, b: Column) -> Column:
     lat1, lat2 = F.radians(a["lat"]), F.radians(b["lat"])
     dlat, dlon = lat2 - lat1, F.radians(b["lon"]) - F.radians(a["lon"])
     h = F.pow(F.sin(dlat / 2), 2) + F.cos(lat1) * F.cos(lat2) * F.pow(F.sin(dlon / 2), 2)
-    return F.round(2 * K.EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0)))), 1)
+    # least() skips NULL, so a missing coordinate is guarded explicitly
+    bounded = F.when(h.isNotNull(), F.least(h, F.lit(1.0)))
+    return F.round(2 * K.EARTH_RADIUS_KM * F.asin(F.sqrt(bounded)), 1)
 
 
 def distance_band(km: Column) -> Column:

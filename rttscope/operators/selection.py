@@ -273,3 +273,13 @@ def local_candidates(classes: DataFrame, baseline: DataFrame, excluded: DataFram
         F.when(F.col("_x"), "fluxo excluído"),
     ))
     return rows.select("id_fluxo", "classe_fluxo", F.array_join(why, "; ").alias("motivos"), (F.size(why) == 0).alias("candidato"))
+
+
+def anchor_sample(eligible: DataFrame, n: int, per_anchor: int, home: str = K.HOME_COUNTRY, seed: int = K.SEED) -> DataFrame:
+    """``n - 1`` anchors in seeded order plus one of the home country, each with few measurements."""
+    order = [seeded_order(seed, "anchor_id"), F.col("anchor_id")]
+    drawn = eligible.orderBy(*order).limit(n - 1)
+    fixed = eligible.orderBy((F.col("country") != home).cast("int"), "anchor_id").limit(1)
+    both = drawn.unionByName(fixed).dropDuplicates(["anchor_id"])
+    return both.select("anchor_id", "country", F.size("medicoes").alias("n_medicoes"),
+                       F.slice("medicoes", 1, per_anchor).alias("medicoes"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("core", "eval", "select", "drift")
+_MODULES = ("core", "eval", "select")
 
 
 def load_catalog():

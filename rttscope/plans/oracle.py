@@ -9,8 +9,8 @@ import re
 
 from rttscope import contract as K
 from rttscope.sources.adapter import (
-    A_START, ANCHOR_COLUMNS, B_END, B_START, CONTINENT, GAP_S, INTERVAL_S, MEASUREMENT_COLUMNS,
-    PROBE_COLUMNS, TRAIN_DAYS, VALID_DAYS, iso_case,
+    A_START, ANCHOR_COLUMNS, B_END, B_START, CONTINENT, COUNTRY, GAP_S, INTERVAL_S, MEASUREMENT_COLUMNS,
+    PROBE_COLUMNS, TRAIN_DAYS, VALID_DAYS,
 )
 
 
@@ -180,7 +180,7 @@ CTES: dict[str, str] = {
 
 CTES.update({
     "country_dim": f"""
-  SELECT n_nationkey, {iso_case('n_name')} AS country, {CONTINENT} AS continent, r_name AS region
+  SELECT n_nationkey, {COUNTRY} AS country, {CONTINENT} AS continent, r_name AS region
   FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "anchor_dim": f"""
   SELECT {_projection(ANCHOR_COLUMNS)} FROM supplier JOIN country_dim ON s_nationkey = n_nationkey""",
@@ -191,7 +191,7 @@ CTES.update({
   SELECT {_projection(PROBE_COLUMNS)} FROM customer JOIN country_dim ON c_nationkey = n_nationkey""",
     "participant_dim": """
   SELECT DISTINCT ((probe_id * 7 + i * 13) % (SELECT count(*) FROM supplier)) * 10 + probe_id % 2 AS msm_id, probe_id
-  FROM (SELECT c_custkey - 1 AS probe_id, unnest(range(0, (c_custkey - 1) % 4 + 1)) AS i FROM customer)""",
+  FROM (SELECT c_custkey AS probe_id, unnest(range(0, c_custkey % 4 + 1)) AS i FROM customer)""",
 })
 
 

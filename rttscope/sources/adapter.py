@@ -68,27 +68,13 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# fixed values: ISO codes of the nations in the test tables
-ISO = {
-    "ALGERIA": "DZ", "ARGENTINA": "AR", "BRAZIL": "BR", "CANADA": "CA", "CHINA": "CN",
-    "EGYPT": "EG", "ETHIOPIA": "ET", "FRANCE": "FR", "GERMANY": "DE", "INDIA": "IN",
-    "INDONESIA": "ID", "IRAN": "IR", "IRAQ": "IQ", "JAPAN": "JP", "JORDAN": "JO",
-    "KENYA": "KE", "MOROCCO": "MA", "MOZAMBIQUE": "MZ", "PERU": "PE", "ROMANIA": "RO",
-    "RUSSIA": "RU", "SAUDI ARABIA": "SA", "UNITED KINGDOM": "GB", "UNITED STATES": "US",
-    "VIETNAM": "VN",
-}
-
-
-def iso_case(col: str) -> str:
-    """SQL text of the nation-name to code lookup, with the first two letters as default."""
-    arms = " ".join(f"when '{name}' then '{code}'" for name, code in ISO.items())
-    return f"case {col} {arms} else substr({col}, 1, 2) end"
-
-
+# fixed values: country code given to each nation key, in key order
+ISO = "DZ,BR,CN,FR,IR,EG,AR,IN,DE,IQ,ET,CA,ID,RO,JO,KE,PE,JP,RU,SA,MA,US,VN,GB,OM"
+COUNTRY = f"split_part('{ISO}', ',', cast(n_nationkey as int) + 1)"
 # Which continent name of the contract a nation belongs to.
 CONTINENT = (
-    "case when r_name = 'AFRICA' then 'África' when r_name = 'EUROPE' then 'Europa' "
-    "when r_name = 'AMERICA' and n_name in ('ARGENTINA', 'BRAZIL', 'PERU') then 'América do Sul' "
+    f"case when r_name = 'AFRICA' then 'África' when r_name = 'EUROPE' then 'Europa' "
+    f"when r_name = 'AMERICA' and {COUNTRY} in ('AR', 'BR', 'PE') then 'América do Sul' "
     "when r_name = 'AMERICA' then 'América do Norte' else 'Ásia' end"
 )
 
@@ -98,13 +84,13 @@ def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey")
     ).selectExpr(
-        "n_nationkey", f"{iso_case('n_name')} as country", f"{CONTINENT} as continent",
+        "n_nationkey", f"{COUNTRY} as country", f"{CONTINENT} as continent",
         "r_name as region",
     )
 
 
 ANCHOR_COLUMNS = {
-    "anchor_id": "s_suppkey - 1",
+    "anchor_id": "s_suppkey",
     "fqdn": "concat('host', cast(s_suppkey as {str}), '.', lower(country), '.example')",
     "hostname": "case when s_suppkey % 4 = 0 then concat('host', cast(s_suppkey as {str})) else '  ' end",
     "ip_v4": "case when s_suppkey % 13 = 0 then null else concat('10.', cast(s_suppkey {div} 250 % 250 as {str}), "
@@ -130,7 +116,7 @@ MEASUREMENT_COLUMNS = {
     "target_url": "concat('https://example.org/anchors/', cast(anchor_id as {str}), '/')",
 }
 PROBE_COLUMNS = {
-    "probe_id": "c_custkey - 1",
+    "probe_id": "c_custkey",
     "country": "country",
     "continent": "continent",
     "asn_v4": "case when c_custkey % 12 = 0 then null else 65000 + c_custkey % 60 end",
@@ -174,7 +160,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which probes take part in which measurement: 1 to 4 anchors per probe, by arithmetic."""
     total = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n")).scalar()
-    c = table(spark, sf_dir, "customer").selectExpr("c_custkey - 1 as probe_id")
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey as probe_id")
     linked = c.selectExpr("probe_id", "explode(sequence(0, cast(probe_id % 4 as int))) as i")
     anchor = (F.col("probe_id") * 7 + F.col("i") * 13) % total
     return linked.select(
