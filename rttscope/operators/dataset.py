@@ -115,3 +115,15 @@ def severe_unlabelled(rows: DataFrame) -> DataFrame:
 def zero_jitter_limit(baseline: DataFrame) -> DataFrame:
     """Flows whose jitter limit is zero, so any jitter at all is a warning."""
     return baseline.where(F.col("p95_jitter_A") == 0).select("id_fluxo").distinct()
+
+
+def six_digits(col: Column) -> Column:
+    """A number at six significant digits, the precision of the published final table."""
+    return F.format_string("%.5e", col).cast("double")
+
+
+def published(final_rows: DataFrame) -> DataFrame:
+    """The final table at its published precision."""
+    return final_rows.withColumns({
+        c: six_digits(F.col(c)) for c in K.FEATURES if dict(final_rows.dtypes)[c] == "double"
+    })

@@ -39,3 +39,49 @@ def close_forecasts(forecasts: DataFrame, keys=("id_fluxo",), gap_s: int = K.GAP
         "acerto": F.when(F.col("real").isNotNull(), F.col("previsto") == F.col("real")),
         "lacuna": F.coalesce(F.col("_next") - F.col("timestamp") > gap_s, F.lit(False)),
     }).drop("_next", "since_reset")
+
+
+def counted_rows(forecasts: DataFrame, warmup: int = K.SCORE_WARMUP) -> DataFrame:
+    """Rows that count in session metrics: past the warm-up and not across a gap."""
+    return forecasts.where((F.col("pos") > warmup) & ~F.col("lacuna"))
+
+
+def session_metrics(forecasts: DataFrame) -> DataFrame:
+    """Closed forecasts, transitions, accuracy and macro-F1 of a session."""
+    from rttscope.operators import metrics
+
+    rows = counted_rows(forecasts).where("real is not null")
+    base = metrics.scores(metrics.confusion(rows, [], "real", "previsto"), "zero").select("acuracia", "macro_f1")
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("fechadas"), F.count_if(F.col("real") != F.col("classe")).alias("transicoes")
+    )
+    return counts.withColumns({
+        "acuracia": base.select("acuracia").scalar(), "macro_f1": base.select("macro_f1").scalar(),
+    })
+
+
+def stored_forecasts(forecasts: DataFrame, since: int, limit: int, closed_only: bool = False) -> DataFrame:
+    """Newest stored forecasts since an instant."""
+    rows = forecasts.where(F.col("timestamp") >= since)
+    if closed_only:
+        rows = rows.where("real is not null")
+    return rows.orderBy(F.desc("timestamp"), "id_fluxo", "msm_id").limit(limit)
+
+
+def health(forecasts: DataFrame, now: int) -> DataFrame:
+    """One row: newest instant, lag, gaps, failures and failures of the last day."""
+    bad = F.col("classe") == "FALHA"
+    return forecasts.agg(
+        F.max("timestamp").alias("ultimo"), (F.lit(now) - F.max("timestamp")).alias("atraso_s"),
+        F.count_if("lacuna").alias("lacunas"), F.count_if(bad).alias("falhas"),
+        F.count_if(bad & (F.col("timestamp") >= now - 86400)).alias("falhas_24h"),
+    )
+
+
+def accepted_marks(marks: DataFrame, session: DataFrame) -> DataFrame:
+    """Human marks, accepted only if that exact row exists in the session."""
+    keys = ["id_fluxo", "timestamp", "status", "motivo"]
+    known = session.select(*keys).distinct().withColumn("_known", F.lit(True))
+    return marks.join(known, keys, "left").withColumn(
+        "situacao", F.when(F.col("_known"), "aceita").otherwise("rejeitada")
+    ).drop("_known")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("core", "eval", "select")
+_MODULES = ("core", "eval", "select", "drift", "prod")
 
 
 def load_catalog():

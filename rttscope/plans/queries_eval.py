@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rttscope import contract as K
-from rttscope.operators import metrics, picks, quality
+from rttscope.operators import dataset, metrics, picks, quality
 from rttscope.plans.catalog import register, rounded, stages
 
 CELLS = ", ".join(
@@ -85,7 +85,7 @@ def rule_forecast(spark, sf):
     rule = (
         F.when(F.col("perdas_consecutivas") >= 2, "FALHA").when(F.col("perda_media_w3") > 0, "RISCO").otherwise("OK")
     )
-    return stages(spark, sf).final.withColumn("previsto", rule)
+    return dataset.published(stages(spark, sf).final.withColumn("previsto", rule))
 
 
 @register("g13_transition_matrix", f"""
