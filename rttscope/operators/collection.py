@@ -135,3 +135,30 @@ def high_loss(df: DataFrame, share: float = K.HIGH_LOSS_SHARE) -> DataFrame:
     sums = df.groupBy("id_fluxo").agg(F.sum("sent").alias("enviados"), F.sum("rcvd").alias("recebidos"))
     lost = F.try_divide(F.col("enviados") - F.col("recebidos"), F.col("enviados"))
     return sums.withColumn("fracao_perda", lost).where(F.col("fracao_perda") >= share)
+
+
+def enrich(rows: DataFrame, measurements: DataFrame, anchors: DataFrame, interval_s: int, flow_ip: str) -> DataFrame:
+    """Packets and interval from the measurement, address from the anchor, with fallbacks."""
+    m = measurements.select("msm_id", "packets", F.col("interval").alias("_interval"))
+    a = anchors.select("anchor_id", F.col("ip_v4").alias("_ip"))
+    dst = [F.col("dst_addr")] if "dst_addr" in rows.columns else []
+    return rows.join(m, "msm_id", "left").join(a, "anchor_id", "left").withColumns({
+        "interval": F.coalesce("_interval", F.lit(interval_s)),
+        "anchor_ip": F.coalesce(F.col("_ip"), *dst, F.lit(flow_ip)),
+    }).drop("_interval", "_ip")
+
+
+def origin_address(rows: DataFrame, probes: DataFrame) -> DataFrame:
+    """Newest known source address per flow, else the probe's own."""
+    seen = F.max_by("probe_ip", F.when(F.col("probe_ip").isNotNull(), F.col("timestamp")))
+    flows = rows.groupBy("id_fluxo", "probe_id").agg(seen.alias("_seen"))
+    return flows.join(probes.select("probe_id", "address_v4"), "probe_id", "left").select(
+        "id_fluxo", F.coalesce("_seen", "address_v4").alias("origem")
+    )
+
+
+def family_violations(flows: DataFrame, measurements: DataFrame) -> DataFrame:
+    """Flows whose measurement is unknown or not IPv4; every count must be zero."""
+    m = measurements.select("msm_id", "af")
+    bad = ~F.col("af").eqNullSafe(K.ADDRESS_FAMILY)
+    return flows.join(m, "msm_id", "left").groupBy("id_fluxo").agg(F.count_if(bad).alias("violacoes"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from rttscope import contract as K
@@ -14,7 +16,7 @@ from rttscope.sources import adapter
 END = adapter.B_END
 HOLIDAYS = ["2024-01-25", "2024-01-28"]
 PAIRS = ", ".join(f"{{'feature': '{c}', 'valor': CAST({c} AS DOUBLE)}}" for c in K.FEATURES)
-QS = "[" + ", ".join(str(i / 10) for i in range(11)) + "]"
+QS = "[" + ", ".join(f"{i / 10}::DOUBLE" for i in range(11)) + "]"
 
 
 def _long(rows, keys):
@@ -101,20 +103,35 @@ DRIFT_CTES["mix"] = f"""
 
 
 class Drift:
-    """The drift inputs of one folder."""
+    """The drift inputs of one folder: stored predictions and the stored reference."""
 
-    def __init__(self, spark, sf):
-        final = rule_forecast(spark, sf).withColumnRenamed("previsto", "classe_prevista")
-        self.preds = final.withColumns({"fluxo_id": F.col("id_fluxo"), "rotulo_real": F.col("alvo")})
-        self.continents = adapter.anchors(spark, sf).where("anchor_id <> 0").join(
-            adapter.countries(spark, sf).select("country", F.col("continent").alias("continente")), "country"
-        ).select("anchor_id", "continente")
+    _MADE: dict = {}
 
-    @property
+    def __new__(cls, spark, sf):
+        key = (spark.sparkContext.applicationId, sf)
+        if key not in cls._MADE:
+            made = super().__new__(cls)
+            made.spark, made.sf = spark, sf
+            cls._MADE[key] = made
+        return cls._MADE[key]
+
+    @cached_property
+    def preds(self):
+        final = rule_forecast(self.spark, self.sf).withColumnRenamed("previsto", "classe_prevista")
+        return materialise(final.withColumns({
+            "fluxo_id": F.col("id_fluxo"), "rotulo_real": F.col("alvo")}), "predictions")
+
+    @cached_property
     def ref(self):
-        # one row per feature; written so the blocks read it instead of recomputing it
+        # one row per feature
         return materialise(drift.reference(self.preds, ["id_fluxo", "timestamp"]), "reference")
 
+    @property
+    def continents(self):
+        return adapter.anchors(self.spark, self.sf).where("anchor_id <> 0").join(
+            adapter.countries(self.spark, self.sf).select("country", F.col("continent").alias("continente")), "country"
+        ).select("anchor_id", "continente")
+
     @property
     def ref_props(self):
         rows = self.preds.where(F.col("split").isin("treino", "validacao"))
@@ -130,7 +147,7 @@ def text(array):
 
 
 @register("d12_reference", """
-SELECT e.feature, l.n AS n_ref, 0.0 AS taxa_nulos_ref, round(l.s, 6) AS taxa_sentinela_ref,
+SELECT e.feature, l.n AS n_ref, 0.0::DOUBLE AS taxa_nulos_ref, round(l.s, 6) AS taxa_sentinela_ref,
   array_to_string(list_transform(bordas, lambda x: printf('%.6f', x)), ',') AS bordas,
   (SELECT string_agg(printf('%.6f', p), ',' ORDER BY b) FROM ref_props p WHERE p.feature = e.feature) AS proporcao
 FROM ref_edges e JOIN (SELECT feature, count(*) AS n, avg((valor = -1)::INTEGER) AS s FROM ref_long GROUP BY feature) l USING (feature)""", DRIFT_CTES)
@@ -139,7 +156,7 @@ def d12_reference(spark, sf):
 
 
 @register("d6_feature_block", f"""
-SELECT janela, feature, n, round(psi, 6) AS psi, 0.0 AS taxa_nulos, {status('psi')} AS status_psi, 'estavel' AS status_qualidade FROM cur_psi""", DRIFT_CTES)
+SELECT janela, feature, n, round(psi, 6) AS psi, 0.0::DOUBLE AS taxa_nulos, {status('psi')} AS status_psi, 'estavel' AS status_qualidade FROM cur_psi""", DRIFT_CTES)
 def d6_feature_block(spark, sf):
     d = Drift(spark, sf)
     out = drift.feature_block(d.windows, d.ref)
