@@ -100,8 +100,11 @@ def psi_value(seen: Column, expected: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
 
-def psi_against(counts: DataFrame, ref: DataFrame, keys: list[str]) -> DataFrame:
-    """PSI per (keys, feature) of counted bins against the summarised reference."""
+def psi_against(counts: DataFrame, ref: DataFrame, keys: list[str], summarised: bool = True) -> DataFrame:
+    """PSI per (keys, feature) of counted bins against reference proportions.
+
+    A summarised (stored) reference gets the zero floor once more, on its proportions.
+    """
     edges = ref.select("feature", "bordas")
     rows = proportions(counts, edges, keys).join(
         ref.select("feature", F.col("proporcao").alias("_ref")), "feature"
@@ -109,7 +112,8 @@ def psi_against(counts: DataFrame, ref: DataFrame, keys: list[str]) -> DataFrame
     one = F.size("bordas") < 2
     same = (F.col("menor") == F.col("bordas")[0]) & (F.col("maior") == F.col("bordas")[0])
     total = F.aggregate("_ref", F.lit(0.0), lambda a, x: a + F.greatest(x, F.lit(K.PSI_FLOOR)))
-    expected = F.transform("_ref", lambda x: F.greatest(x, F.lit(K.PSI_FLOOR)) / total)
+    again = F.transform("_ref", lambda x: F.greatest(x, F.lit(K.PSI_FLOOR)) / total)
+    expected = again if summarised else F.col("_ref")
     value = (
         F.when(F.coalesce("n_validos", F.lit(0)) == 0, None)
         .when(one, F.when(same, 0.0).otherwise(1.0))
@@ -382,7 +386,7 @@ def calibration(df: DataFrame, edges: DataFrame, blocks: int = 30, flows_per_blo
     counts = per_flow.join(members, "id_fluxo").groupBy("bloco", "feature", "bin").agg(
         F.sum("c").alias("c"), F.min("menor").alias("menor"), F.max("maior").alias("maior")
     )
-    psi = psi_against(counts, ref, ["bloco"]).where("psi is not null")
+    psi = psi_against(counts, ref, ["bloco"], summarised=False).where("psi is not null")
     return exact_quantiles(psi, ["feature"], "psi", {"mediana": 0.5, "p95": 0.95}).withColumnRenamed("n", "blocos")
 
 

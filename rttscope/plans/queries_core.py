@@ -10,7 +10,7 @@ from rttscope.plans.catalog import register, rounded, stages
 from rttscope.plans.oracle import usage_sql
 from rttscope.sources import adapter
 
-A, B = F.col("periodo") == "A", F.col("periodo") == "B"
+A, B = "periodo = 'A'", "periodo = 'B'"
 
 
 def _round_list(cols, digits=6):
@@ -190,7 +190,7 @@ FROM baseline b LEFT JOIN (SELECT anchor_id, probe_id, median(ttl) AS tb, min(tt
   ON o.anchor_id = b.anchor_id AND o.probe_id = b.probe_id WHERE diferenca <> ''""")
 def j10_compare_ttl(spark, sf):
     s = stages(spark, sf)
-    return baseline.compare_ttl(s.baseline, baseline.ttl_baseline(s.instants.where(B & (F.col("probe_id") != 3))))
+    return baseline.compare_ttl(s.baseline, baseline.ttl_baseline(s.instants.where(B).where("probe_id <> 3")))
 
 
 # ---------------------------------------------------------------- joins with the baseline, labels
@@ -262,7 +262,7 @@ SELECT DISTINCT id_fluxo FROM (SELECT id_fluxo, quantile_cont(jitter_ms, 0.95) A
   WHERE periodo = 'A' AND rcvd = 1 GROUP BY id_fluxo) WHERE p = 0""")
 def p15_zero_jitter_limit(spark, sf):
     # executions with one packet back have zero jitter by definition
-    rows = stages(spark, sf).instants.where(A & (F.col("rcvd") == 1))
+    rows = stages(spark, sf).instants.where(A).where("rcvd = 1")
     return dataset.zero_jitter_limit(baseline.rtt_baseline(rows, minimum=1))
 
 

@@ -63,6 +63,8 @@ DRIFT_CTES = {
     "ref_long": _long("ref_rows", []),
     "ref_edges": f"SELECT feature, list_sort(list_distinct(quantile_cont(valor, {QS}))) AS bordas FROM ref_long GROUP BY feature",
     "ref_props": _props("ref_long", "ref_edges", []),
+    "ref_floored": """
+  SELECT feature, b, greatest(p, 1e-6) / sum(greatest(p, 1e-6)) OVER (PARTITION BY feature) AS p FROM ref_props""",
     "tagged_rows": f"""
   SELECT *, '24h' AS janela, 'corrente' AS papel FROM preds WHERE timestamp >= {END - 24 * 3600} AND timestamp < {END}
   UNION ALL SELECT *, '7d', 'corrente' FROM preds WHERE timestamp >= {END - 168 * 3600} AND timestamp < {END}
@@ -70,7 +72,7 @@ DRIFT_CTES = {
   UNION ALL SELECT *, '7d', 'equivalente' FROM preds WHERE timestamp >= {END - 7 * 86400 - 168 * 3600} AND timestamp < {END - 7 * 86400}""",
     "cur_long": _long("(SELECT * FROM tagged_rows WHERE papel = 'corrente')", ["janela"]),
     "cur_props": _props("cur_long", "ref_edges", ["janela"]),
-    "cur_psi": _psi("cur_props", "ref_props", ["janela"]),
+    "cur_psi": _psi("cur_props", "ref_floored", ["janela"]),
     "eq_long": _long("(SELECT * FROM tagged_rows WHERE papel = 'equivalente')", ["janela"]),
     "eq_edges": f"SELECT janela, feature, list_sort(list_distinct(quantile_cont(valor, {QS}))) AS bordas FROM eq_long GROUP BY ALL",
     "eq_props": _props("eq_long", "eq_edges", ["janela"], "janela, feature"),
@@ -84,7 +86,7 @@ DRIFT_CTES = {
       SELECT anchor_id, c.continent AS continente FROM anchor_dim JOIN country_dim c USING (country) WHERE anchor_id <> 0) a USING (anchor_id)
     UNION ALL SELECT *, 'faixa_rtt', faixa FROM slice_rows)""", ["janela", "tipo", "chave"]),
     "slice_props": _props("sliced_long", "ref_edges", ["janela", "tipo", "chave"]),
-    "slice_psi": _psi("slice_props", "ref_props", ["janela", "tipo", "chave"]),
+    "slice_psi": _psi("slice_props", "ref_floored", ["janela", "tipo", "chave"]),
     "performance": """
   SELECT janela, n, (2.0 * t0 / nullif(s0 + c0, 0) + coalesce(2.0 * t1 / nullif(s1 + c1, 0), 0) + coalesce(2.0 * t2 / nullif(s2 + c2, 0), 0)) / 3 AS macro_f1,
     coalesce(t2 / nullif(s2, 0), 0) AS recall_falha FROM (SELECT janela, count(*) AS n,
