@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rttscope import contract as K
 from rttscope.operators import metrics
+from rttscope.session import materialise
 from rttscope.sources.readers import ContractError, require_columns
 
 # Depth used where a grid says "no limit": the deepest tree the library grows.
@@ -119,7 +119,10 @@ def run_grid(final: DataFrame, families=K.FAMILIES, points: list[dict] | None =
             F.lit(i).alias("candidato"), *KEEP, "previsto"
         ))
     every = reduce(DataFrame.unionByName, scored)
-    return metrics.sliced_scores(every, ["candidato", "split"]), fitted
+    scores = materialise(metrics.sliced_scores(every, ["candidato", "split"]), "grid-scores")
+    for cached in (ready, *weights.values()):
+        cached.unpersist()
+    return scores, fitted
 
 
 def grid_table(scores: DataFrame, fitted: list) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("core", "eval", "select", "drift", "prod", "checks", "io", "ml")
+_MODULES = ("core", "eval", "select", "drift", "prod", "checks", "io", "ml", "stream")
 
 
 def load_catalog():

@@ -23,7 +23,7 @@ def _fit(spark, sf, family="arvore_decisao", **params):
 
 def grid(spark, sf, families):
     scores, fitted = models.run_grid(published(spark, sf).where("split <> 'teste'"), families)
-    return models.grid_table(materialise(scores, "scores"), fitted)
+    return models.grid_table(scores, fitted)
 
 
 @register("m3_grid_naive_bayes")
