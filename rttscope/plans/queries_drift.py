@@ -158,7 +158,8 @@ def d12_reference(spark, sf):
 
 
 @register("d6_feature_block", f"""
-SELECT janela, feature, n, round(psi, 6) AS psi, 0.0::DOUBLE AS taxa_nulos, {status('psi')} AS status_psi, 'estavel' AS status_qualidade FROM cur_psi""", DRIFT_CTES)
+SELECT janela, feature, n, round(psi, 6) AS psi, 0.0::DOUBLE AS taxa_nulos, CASE WHEN n < 30 THEN 'amostra_insuficiente' ELSE {status('psi')} END AS status_psi,
+  CASE WHEN n < 30 THEN 'amostra_insuficiente' ELSE 'estavel' END AS status_qualidade FROM cur_psi""", DRIFT_CTES)
 def d6_feature_block(spark, sf):
     d = Drift(spark, sf)
     out = drift.feature_block(d.windows, d.ref)
@@ -225,8 +226,10 @@ def d9_performance_block(spark, sf):
 
 
 SEASON = f"""
-SELECT c.janela, c.feature, c.psi, c.n, s.psi AS psi_sazonal, {status('c.psi')} AS st, {status('s.psi')} AS ss
-FROM cur_psi c LEFT JOIN season_psi s USING (janela, feature)"""
+SELECT c.janela, c.feature, c.psi, c.n, CASE WHEN c.n >= 30 AND ne >= 30 THEN s.psi END AS psi_sazonal,
+  CASE WHEN c.n < 30 THEN 'amostra_insuficiente' ELSE {status('c.psi')} END AS st, CASE WHEN c.n >= 30 AND ne >= 30 THEN {status('s.psi')} END AS ss
+FROM cur_psi c LEFT JOIN season_psi s USING (janela, feature) JOIN (
+  SELECT janela, count(*) FILTER (papel = 'equivalente') AS ne FROM tagged_rows GROUP BY janela) w USING (janela)"""
 DRIFT_CTES["season"] = SEASON
 FINAL_STATUS = "CASE WHEN ss = 'estavel' AND st IN ('atencao', 'alerta') THEN 'estavel' ELSE st END"
 
@@ -262,7 +265,7 @@ def g23_route_changes(spark, sf):
 
 @register("d11_report", f"""
 SELECT janela, 'data_drift' AS bloco, feature AS chave, n, round(psi, 6) AS valor, {FINAL_STATUS} AS status FROM season
-UNION ALL SELECT janela, 'qualidade_dados', feature, n, 0.0, 'estavel' FROM season
+UNION ALL SELECT janela, 'qualidade_dados', feature, n, 0.0, CASE WHEN n < 30 THEN 'amostra_insuficiente' ELSE 'estavel' END FROM season
 UNION ALL SELECT janela, 'predicao', 'classes', n, round(js, 6), status FROM mix
 UNION ALL SELECT janela, 'desempenho', 'macro_f1', n, round(macro_f1, 6), CASE WHEN n < 30 THEN 'amostra_insuficiente' WHEN macro_f1 < 0.6 OR recall_falha < 0.5 THEN 'alerta' ELSE 'estavel' END FROM performance
 UNION ALL SELECT janela, 'fatia', tipo || ':' || chave, n, NULL, status FROM ({SLICE_STATUS})

@@ -36,6 +36,11 @@ def m3_grid_tree(spark, sf):
     return rounded(grid(spark, sf, ("arvore_decisao",)))
 
 
+@register("m3_grid_forest")
+def m3_grid_forest(spark, sf):
+    return rounded(grid(spark, sf, ("random_forest",)))
+
+
 @register("k11_winner")
 def k11_winner(spark, sf):
     return rounded(models.winner(grid(spark, sf, ("naive_bayes", "arvore_decisao"))))
