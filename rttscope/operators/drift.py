@@ -14,6 +14,7 @@ from rttscope.functions.label import psi_status, rtt_band, worst_status
 from rttscope.functions.privacy import seeded_order
 from rttscope.operators import metrics
 from rttscope.operators.quantiles import exact_quantiles, running_totals
+from rttscope.session import materialise
 
 HOUR, WEEK = 3600, 7 * 86400
 WINDOW_HOURS = {"24h": 24, "7d": 168}
@@ -344,7 +345,8 @@ def route_changes(df: DataFrame, minimum: int = K.MIN_DRIFT_ROWS, flow: str = "f
 def report(df: DataFrame, ref: DataFrame, ref_props: DataFrame, end: int, continents=None, holidays=None) -> DataFrame:
     """All blocks as one long table (janela, bloco, chave, n, valor, status)."""
     windows = tagged_windows(df, end, holidays)
-    features = seasonal_block(windows, feature_block(windows, ref))
+    # one row per window and feature, read by two blocks
+    features = materialise(seasonal_block(windows, feature_block(windows, ref)), "drift-features")
     none = F.lit(None).cast("double")
 
     def rows(source, block, key, n, value, status):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import product
+from math import log, pi
 
-from pyspark.ml.classification import DecisionTreeClassifier, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,15 +61,58 @@ def weighted(df: DataFrame, mode: str | None) -> DataFrame:
     return df.withColumn("peso", F.create_map(*pairs)[F.col("alvo")])
 
 
+class GaussianNB:
+    """Gaussian naive Bayes with variance smoothing, fitted by one aggregate.
+
+    Class means and variances (3 x 21 numbers) come from a single grouped pass; scoring is
+    plain column arithmetic.  The largest overall feature variance times ``var_smoothing``
+    is added to every variance.
+    """
+
+    def __init__(self, stats: dict, smoothing: float, names):
+        self.stats, self.smoothing, self.names = stats, smoothing, names
+
+    @classmethod
+    def statistics(cls, df: DataFrame, names=K.FEATURES) -> dict:
+        """Counts, means and variances per class, and the largest overall variance."""
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for i, f in enumerate(names):
+            x = F.col(f).cast("double")
+            aggs += [F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
+        rows = {r["alvo"]: r for r in df.groupBy("alvo").agg(*aggs).collect()}
+        whole = df.agg(*[F.var_pop(F.col(f).cast("double")).alias(f"v{i}") for i, f in enumerate(names)]).first()
+        return {"classes": rows, "largest": max(whole)}
+
+    def _log_joint(self, row, total: int) -> Column:
+        extra = self.smoothing * self.stats["largest"]
+        out = F.lit(log(row["n"] / total))
+        for i, f in enumerate(self.names):
+            var = row[f"v{i}"] + extra
+            shift = F.col(f).cast("double") - F.lit(row[f"m{i}"])
+            out = out - F.lit(0.5 * log(2 * pi * var)) - shift * shift / F.lit(2 * var)
+        return out
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows = self.stats["classes"]
+        total = sum(r["n"] for r in rows.values())
+        none = F.lit(float("-inf"))
+        joint = df.withColumn("_joint", F.array(*[
+            self._log_joint(rows[c], total) if c in rows else none for c in K.CLASSES
+        ]))
+        weights = F.transform("_joint", lambda x: F.exp(x - F.array_max("_joint")))
+        share = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+        return joint.withColumns({
+            "prediction": F.array_position("_joint", F.array_max("_joint")).cast("double") - 1,
+            "probability": array_to_vector(F.transform(weights, lambda x: x / share)),
+        }).drop("_joint")
+
+
 def build(family: str, params: dict):
-    """The Spark ML estimator of one grid point.
+    """The Spark ML estimator of one tree or forest grid point.
 
-    ``var_smoothing`` has no counterpart (the point is fitted as plain Gaussian NB) and
-    per-tree reweighting is approximated by global class weights.
+    Per-tree reweighting is approximated by global class weights.
     """
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "peso"}
-    if family == "naive_bayes":
-        return NaiveBayes(modelType="gaussian", **common)
     depth = params["max_depth"] or DEEPEST
     tree = {"maxDepth": depth, "minInstancesPerNode": params["min_samples_leaf"], "seed": K.SEED, "maxBins": 64}
     if family == "arvore_decisao":
@@ -109,11 +153,17 @@ def run_grid(final: DataFrame, families=K.FAMILIES, points: list[dict] | None =
     ready = vectors(rows).persist()
     weights: dict = {}
     fitted, scored = [], []
+    stats = None
     for i, point in enumerate(points if points is not None else candidates(families)):
-        mode = point["params"].get("class_weight")
-        if mode not in weights:
-            weights[mode] = weighted(ready.where("split = 'treino'"), mode).persist()
-        model = build(point["familia"], point["params"]).fit(weights[mode])
+        if point["familia"] == "naive_bayes":
+            # the smoothing acts at scoring, so all its grid points share one fit
+            stats = stats or GaussianNB.statistics(ready.where("split = 'treino'"))
+            model = GaussianNB(stats, point["params"]["var_smoothing"], K.FEATURES)
+        else:
+            mode = point["params"]["class_weight"]
+            if mode not in weights:
+                weights[mode] = weighted(ready.where("split = 'treino'"), mode).persist()
+            model = build(point["familia"], point["params"]).fit(weights[mode])
         fitted.append({**point, "candidato": i, "modelo": model})
         scored.append(predicted(model, ready).select(
             F.lit(i).alias("candidato"), *KEEP, "previsto"

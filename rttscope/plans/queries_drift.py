@@ -128,6 +128,12 @@ class Drift:
         # one row per feature
         return materialise(drift.reference(self.preds, ["id_fluxo", "timestamp"]), "reference")
 
+    @cached_property
+    def features(self):
+        # one row per window and feature, read by the alerts and the status row
+        windows = self.windows
+        return materialise(drift.seasonal_block(windows, drift.feature_block(windows, self.ref)), "drift-features")
+
     @property
     def continents(self):
         return adapter.anchors(self.spark, self.sf).where("anchor_id <> 0").join(

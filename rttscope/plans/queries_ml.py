@@ -31,6 +31,28 @@ def m3_grid_naive_bayes(spark, sf):
     return rounded(grid(spark, sf, ("naive_bayes",)))
 
 
+NB = {
+    "pub": "SELECT id_fluxo, timestamp, split, alvo, " + ", ".join(
+        f"CAST(printf('%.5e', CAST({c} AS DOUBLE)) AS DOUBLE) AS {c}" for c in K.FEATURES) + " FROM final",
+    "nb_long": "SELECT id_fluxo, timestamp, split, alvo, rn, u.feature AS feature, u.valor AS valor FROM (SELECT id_fluxo, timestamp, split, alvo, "
+    "rn, unnest([" + ", ".join(f"{{'feature': '{c}', 'valor': {c}}}" for c in K.FEATURES) + "]) AS u FROM (SELECT *, row_number() OVER () AS rn FROM pub))",
+    "nb_extra": "SELECT 1e-9::DOUBLE * max(v) AS e FROM (SELECT var_pop(valor) AS v FROM nb_long WHERE split = 'treino' GROUP BY feature)",
+    "nb_stats": "SELECT alvo AS c, feature, avg(valor) AS m, var_pop(valor) + (SELECT e FROM nb_extra) AS v FROM nb_long WHERE split = 'treino' GROUP BY ALL",
+    "nb_prior": "SELECT alvo AS c, ln(count(*)::DOUBLE / (SELECT count(*) FROM pub WHERE split = 'treino')) AS p FROM pub WHERE split = 'treino' GROUP BY alvo",
+}
+
+
+@register("m2_gaussian_nb", """
+SELECT id_fluxo, timestamp, arg_max(c, j) AS previsto FROM (
+  SELECT id_fluxo, timestamp, rn, s.c, max(p) + sum(-0.5 * ln(2 * pi() * v) - pow(valor - m, 2) / (2 * v)) AS j
+  FROM nb_long JOIN nb_stats s USING (feature) JOIN nb_prior r ON r.c = s.c WHERE split = 'validacao' GROUP BY ALL) GROUP BY id_fluxo, timestamp, rn""", NB)
+def m2_gaussian_nb(spark, sf):
+    rows = published(spark, sf)
+    stats = models.GaussianNB.statistics(rows.where("split = 'treino'"))
+    model = models.GaussianNB(stats, 1e-9, K.FEATURES)
+    return models.predicted(model, rows.where("split = 'validacao'")).select("id_fluxo", "timestamp", "previsto")
+
+
 @register("m3_grid_tree")
 def m3_grid_tree(spark, sf):
     return rounded(grid(spark, sf, ("arvore_decisao",)))

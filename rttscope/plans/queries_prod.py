@@ -281,7 +281,7 @@ ALL_CTES = {**PROD_CTES, **ITEM_CTES, **IMPORTANCE, "alert_rows": ALERTS}
 def all_alerts(spark, sf):
     d = Drift(spark, sf)
     ref, windows = d.ref, d.windows
-    features = drift.seasonal_block(windows, drift.feature_block(windows, ref))
+    features = d.features
     state = items(spark, sf).select(
         F.lit(False).alias("falha_coleta"), F.coalesce(F.col("motivo") == "timestamp_invalido", F.lit(False)).alias("contrato_invalido"))
     parts = [
@@ -324,8 +324,7 @@ SELECT n_previsoes, inicio, fim, coletadas, descartadas, timeouts, veredito, ale
 def g33_status_row(spark, sf):
     from rttscope.functions.label import worst_status
     d = Drift(spark, sf)
-    ref, windows = d.ref, d.windows
-    features = drift.seasonal_block(windows, drift.feature_block(windows, ref)).where("janela = '24h'")
+    features = d.features.where("janela = '24h'")
     parts = [
         scoring.period(scored_rows(spark, sf)[1]).withColumnRenamed("n", "n_previsoes"),
         scoring.operation_counters(collection_log(spark, sf)).select("coletadas", "descartadas", "timeouts"),
