@@ -150,17 +150,17 @@ class Drift:
         return drift.tagged_windows(self.preds, END)
 
 
-def text(array):
-    return F.array_join(F.transform(array, lambda x: F.format_string("%.6f", x)), ",")
+def text(array, digits=6):
+    return F.array_join(F.transform(array, lambda x: F.format_string(f"%.{digits}f", x)), ",")
 
 
 @register("d12_reference", """
 SELECT e.feature, l.n AS n_ref, 0.0::DOUBLE AS taxa_nulos_ref, round(l.s, 6) AS taxa_sentinela_ref,
-  array_to_string(list_transform(bordas, lambda x: printf('%.6f', x)), ',') AS bordas,
+  array_to_string(list_transform(bordas, lambda x: printf('%.9f', x)), ',') AS bordas,
   (SELECT string_agg(printf('%.6f', p), ',' ORDER BY b) FROM ref_props p WHERE p.feature = e.feature) AS proporcao
 FROM ref_edges e JOIN (SELECT feature, count(*) AS n, avg((valor = -1)::INTEGER) AS s FROM ref_long GROUP BY feature) l USING (feature)""", DRIFT_CTES)
 def d12_reference(spark, sf):
-    return rounded(Drift(spark, sf).ref).withColumns({"bordas": text(F.col("bordas")), "proporcao": text(F.col("proporcao"))})
+    return rounded(Drift(spark, sf).ref).withColumns({"bordas": text(F.col("bordas"), 9), "proporcao": text(F.col("proporcao"))})
 
 
 @register("d6_feature_block", f"""
@@ -260,13 +260,13 @@ def g22_drift_slices(spark, sf):
 
 
 ROUTES = """SELECT id_fluxo AS fluxo_id, count(*) AS n, quantile_cont(razao_rtt_p95, 0.5) AS razao_mediana, quantile_cont(perda_pct, 0.5) AS perda_mediana,
-  'mudanca_de_rota_provavel' AS status FROM final GROUP BY id_fluxo HAVING count(*) >= 30 AND quantile_cont(razao_rtt_p95, 0.5) > {} AND quantile_cont(perda_pct, 0.5) < 5"""
+  'mudanca_de_rota_provavel' AS status FROM preds GROUP BY id_fluxo HAVING count(*) >= 30 AND quantile_cont(razao_rtt_p95, 0.5) > {} AND quantile_cont(perda_pct, 0.5) < 5"""
 
 
-@register("g23_route_changes", "SELECT fluxo_id, n, round(razao_mediana, 6) AS razao_mediana, perda_mediana, status FROM (" + ROUTES.format(0.25) + ")")
+@register("g23_route_changes", "SELECT fluxo_id, n, round(razao_mediana, 9) AS razao_mediana, perda_mediana, status FROM (" + ROUTES.format(0.25) + ")", DRIFT_CTES)
 def g23_route_changes(spark, sf):
     # a low ratio limit, since no derived flow shifts its route
-    return rounded(drift.route_changes(Drift(spark, sf).preds, ratio_limit=0.25))
+    return rounded(drift.route_changes(Drift(spark, sf).preds, ratio_limit=0.25), 9)
 
 
 @register("d11_report", f"""
