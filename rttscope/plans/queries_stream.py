@@ -44,11 +44,23 @@ def run(spark, sf, known_flows=True):
     return _RUNS[key]
 
 
+def with_baseline(spark, sf, rows):
+    """Rows of flows used in both periods with a valid period-A baseline.
+
+    The batch tables hold the same labels only for these; the stream gives the others a
+    baseline from their own history, which ``t2_fallback_baseline`` reports.
+    """
+    s = stages(spark, sf)
+    flows = s.classes.where("classe_fluxo = 'A+B'").select("id_fluxo").join(
+        s.baseline.where(F.col("status_baseline") == K.STATUS_VALID).select("id_fluxo"), "id_fluxo")
+    return rows.join(flows, "id_fluxo", "left_semi")
+
+
 @register("t1_scored_flows", f"""
 SELECT id_fluxo, timestamp, CASE WHEN pos < 12 THEN 'aquecimento' WHEN classe IS NULL THEN 'sem_classe' ELSE 'previsto' END AS estado,
   CASE WHEN pos >= 12 THEN classe END AS previsto, classe, perdas_consecutivas, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in ('razao_rtt_p95', 'perda_media_w12', 'rtt_p95_max_w6', 'n_rtt_acima_p95_w3'))} FROM candidates""")
 def t1_scored_flows(spark, sf):
-    rows = run(spark, sf).read("forecasts")
+    rows = with_baseline(spark, sf, run(spark, sf).read("forecasts"))
     return rounded(rows.select("id_fluxo", "timestamp", "estado", "previsto", "classe", K.STREAK_FEATURE, "razao_rtt_p95",
                                "perda_media_w12", "rtt_p95_max_w6", "n_rtt_acima_p95_w3"))
 
@@ -60,9 +72,9 @@ def t2_fallback_baseline(spark, sf):
     return rows.groupBy("id_fluxo", "origem_baseline", "estado").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("inicio"))
 
 
-@register("t3_live_labels", "SELECT id_fluxo, timestamp, classe, motivo_rotulagem FROM labelled")
+@register("t3_live_labels", "SELECT id_fluxo, timestamp, classe, motivo_rotulagem FROM labelled WHERE status_baseline = 'VALIDO'")
 def t3_live_labels(spark, sf):
-    return run(spark, sf).read("forecasts").select("id_fluxo", "timestamp", "classe", "motivo_rotulagem")
+    return with_baseline(spark, sf, run(spark, sf).read("forecasts")).select("id_fluxo", "timestamp", "classe", "motivo_rotulagem")
 
 
 @register("t4_filtered_messages", f"""
@@ -79,9 +91,9 @@ def t4_filtered_messages(spark, sf):
 @register("t5_closed_forecasts", """
 SELECT id_fluxo, timestamp, classe AS previsto, real, classe = real AS acerto, coalesce(timestamp - ant > 600, false) OR prox - timestamp > 600 AS lacuna FROM (
   SELECT *, lag(timestamp) OVER w AS ant, lead(timestamp) OVER w AS prox FROM forecasts WINDOW w AS (PARTITION BY id_fluxo ORDER BY timestamp, msm_id))
-WHERE fechada AND pos >= 12""", FORECASTS)
+WHERE fechada AND pos >= 12 AND status_baseline = 'VALIDO'""", FORECASTS)
 def t5_closed_forecasts(spark, sf):
-    return run(spark, sf).read("closed").select("id_fluxo", "timestamp", "previsto", "real", "acerto", "lacuna")
+    return with_baseline(spark, sf, run(spark, sf).read("closed")).select("id_fluxo", "timestamp", "previsto", "real", "acerto", "lacuna")
 
 
 @register("t6_upserted_forecasts", """
