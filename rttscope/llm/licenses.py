@@ -5,7 +5,7 @@ Tokens are ordered by their document frequency over all texts, rarest first.  A
 contain ``need`` of a template's ``m`` tokens if it holds one of the template's first ``m - need + 1``
 (prefix filter), has ``need`` template tokens at all (length filter), and has enough tokens left
 behind the place where the two first meet (positional filter).  Survivors are counted exactly.
-Every block at or above the threshold is found; none is sampled.
+Every block at or above the threshold is found; it gets the labels of the templates it contains most of.
 
 Defined results: a null text counts as empty: no words, empty labels, score 0; repeated rows and
 null ids are scanned row by row; an empty table gives an empty result.  Only the id and text
@@ -74,26 +74,26 @@ def template_table(spark, templates=TEMPLATES, threshold: float = CONTAINMENT) -
 
 
 def blocks_of(docs: DataFrame, ordered: list[str]) -> DataFrame:
-    """(row, tokens): the template tokens of each line and of each run of ``SPAN`` lines, in global order."""
+    """(row, block, tokens): the template tokens of each line and of each run of ``SPAN`` lines, in global order."""
     known = F.array(*map(F.lit, ordered))  # array_intersect keeps the first array's order
     lines = docs.select("row", F.split("lowered", "\n").alias("lines"))
     runs = F.when(F.size("lines") > 1, F.expr(f"transform(lines, (x, i) -> array_join(slice(lines, i + 1, {SPAN}), ' '))")).otherwise(F.array().cast("array<string>"))
-    blocks = lines.select("row", F.explode(F.concat("lines", runs)).alias("block"))
-    return blocks.select("row", F.array_intersect(known, words_of(F.col("block"))).alias("tokens"))
+    blocks = lines.select("row", F.posexplode(F.concat("lines", runs)).alias("block", "part"))
+    return blocks.select("row", "block", F.array_intersect(known, words_of(F.col("part"))).alias("tokens"))
 
 
 def containment(blocks: DataFrame, templates: DataFrame, ordered: list[str]) -> DataFrame:
-    """(row, label, containment) of every block that contains enough of a template."""
+    """(row, block, label, containment) of every block that contains enough of a template."""
     known = F.array(*map(F.lit, ordered))
     ranked = templates.withColumn("tokens", F.array_intersect(known, F.col("tokens"))).withColumn("m", F.size("tokens"))
     prefix = ranked.select("*", F.posexplode(F.slice("tokens", F.lit(1), F.col("m") - F.col("need") + 1)).alias("i", "token"))
-    probe = blocks.select("row", F.col("tokens").alias("own"), F.posexplode("tokens").alias("j", "token"))
+    probe = blocks.select("row", "block", F.col("tokens").alias("own"), F.posexplode("tokens").alias("j", "token"))
     left = F.least(F.col("m") - F.col("i"), F.size("own") - F.col("j"))
     met = probe.join(prefix, "token").where((F.size("own") >= F.col("need")) & (left + F.least("i", "j") >= F.col("need")))
     shared = F.array_intersect("own", "tokens")
     # a block and a template may meet at several prefix tokens; they count at the first
     exact = met.where((F.col("token") == F.element_at(shared, 1)) & (F.size(shared) >= F.col("need")))
-    return exact.select("row", "label", (F.size(shared) / F.col("m")).alias("containment"))
+    return exact.select("row", "block", "label", (F.size(shared) / F.col("m")).alias("containment"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
@@ -114,8 +114,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         "license-words")
     counts = {r.token: r.n for r in table.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # one row per template token
     ordered = sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
-    by_row = containment(blocks_of(table.where("may_match"), ordered), rules, ordered).groupBy("row").agg(
-        F.collect_set("label").alias("method"), F.max("containment").alias("containment"))
+    found = containment(blocks_of(table.where("may_match"), ordered), rules, ordered)
+    # licenses are worded alike: a block is labelled by the templates it contains most of; a text has few labels
+    best = found.groupBy("row", "block").agg(F.max(F.struct("containment")).alias("best"), F.collect_set(F.struct("containment", "label")).alias("all"))
+    labels = best.select("row", F.col("best.containment").alias("containment"), F.explode(F.filter("all", lambda x: x["containment"] == F.col("best.containment"))).alias("x"))
+    by_row = labels.groupBy("row").agg(F.collect_set("x.label").alias("method"), F.max("containment").alias("containment"))
     cut = table.where("has_phrase").select("row", words_of(F.col("lowered")).alias("words"))
     base = cut.select("row", *(places("words", p.split()).alias(f"at{k}") for k, (p, _) in enumerate(phrases)))
     everywhere = F.concat(*(F.col(f"at{k}") for k in range(len(phrases))))

@@ -120,9 +120,9 @@ blocks as (
 sets as (select r, list_distinct(regexp_extract_all(b, '{_WORD}')) as b from blocks),
 notices(k, label, m) as (values {_NOTICES}),
 met as (
-  select r, label, len(list_intersect(m, b)) / len(m) as part from sets join notices on len(b) >= {licenses.CONTAINMENT} * len(m) - 1e-9
+  select r, label, len(list_intersect(m, b)) / len(m) as part, max(len(list_intersect(m, b)) / len(m)) over (partition by r, sets.b) as most from sets join notices on len(b) >= {licenses.CONTAINMENT} * len(m) - 1e-9
   where len(list_intersect(m, b)) >= {licenses.CONTAINMENT} * len(m) - 1e-9),
-method as (select r, list(distinct label) as labels, max(part) as part from met group by r)
+method as (select r, list(distinct label) as labels, max(part) as part from met where part = most group by r)
 select doc_id, n_words, len(starts) as n_base, list_min(starts) - 1 as first_word, list_max(starts) - 1 as last_word,
   array_to_string(list_sort(list_distinct(base.labels)), ',') as base_labels,
   array_to_string(list_sort(list_distinct(base.labels || coalesce(method.labels, []))), ',') as labels,
