@@ -144,10 +144,15 @@ def one_label(labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFra
     return labels.where(F.col(id_col).isNotNull() & F.col(column).isNotNull()).groupBy(id_col).agg(F.max(column).alias("label"))
 
 
-def fit_forest(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Forest | None:
+def labelled(statistics: DataFrame, labels: DataFrame, id_col: str, label_id: str) -> DataFrame:
+    """``statistics`` with column ``label``; rows that the base rule rejects take no part."""
+    given = one_label(labels, "quality", label_id).withColumnRenamed(label_id, "label_id")
+    return statistics.where(~F.col("base_failed")).join(given, F.col(id_col) == F.col("label_id"))
+
+
+def fit_forest(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_id: str = "doc_id", fit_rows: int = FIT_ROWS) -> Forest | None:
     """A forest over a bounded sample of labelled rows; None if fewer than two are good."""
-    labelled = statistics.join(one_label(labels, "quality", id_col), id_col).where(~F.col("base_failed"))
-    first = labelled.orderBy(F.xxhash64(id_col), id_col, *RATIOS).limit(fit_rows).select("label", *RATIOS).toPandas()
+    first = labelled(statistics, labels, id_col, label_id).orderBy(F.xxhash64("label_id"), "label_id", *RATIOS).limit(fit_rows).select("label", *RATIOS).toPandas()
     box = first[list(RATIOS)].to_numpy(float)
     good = box[first["label"].to_numpy() == 1]
     return Forest(good, box) if len(good) > 1 else None
@@ -166,13 +171,13 @@ def with_score(statistics: DataFrame, forest: Forest | None) -> DataFrame:
     return statistics.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in statistics.schema) + ", anomaly double")
 
 
-def threshold(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", good_loss: float = GOOD_LOSS) -> float:
+def threshold(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_id: str = "doc_id", good_loss: float = GOOD_LOSS) -> float:
     """The lowest score that rejects at most ``good_loss`` of all labelled good rows.
 
-    Rows that the base rule rejects take no part.  Only counts per score bin reach the driver.
+    Only counts per score bin reach the driver.
     """
     bins = (
-        scored.join(one_label(labels, "quality", id_col), id_col).where(~F.col("base_failed"))
+        labelled(scored, labels, id_col, label_id)
         .groupBy(F.ceil(F.col("anomaly") * SCORE_BINS).alias("bin")).agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("good"), F.count("*").alias("n")).collect()
     )
     good = sum(r.good for r in bins)
@@ -187,11 +192,26 @@ def threshold(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", good
     return cut / SCORE_BINS
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, base verdict, anomaly and final verdict for every row of ``docs``."""
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", join_id: str | None = None, label_id: str = "doc_id") -> DataFrame:
+    """Counts, base verdict, anomaly and final verdict for every row of ``docs``.
+
+    ``join_id`` names the id that labels go by where ``id_col`` is a struct that holds it.
+    """
+    join_id = join_id or id_col
     base = rule_statistics(docs, id_col, text_col).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     )
     base = materialise(base, "rule-statistics")
-    scored = materialise(with_score(base, fit_forest(base, labels, id_col)), "rule-scores")
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= threshold(scored, labels, id_col)))
+    scored = materialise(with_score(base, fit_forest(base, labels, join_id, label_id)), "rule-scores")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= threshold(scored, labels, join_id, label_id)))
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns.
+
+    The rejected rows are told by id and text hash, so rows of equal id but other text keep their own verdict.
+    """
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    verdicts = judge(docs.select(F.struct(F.col(id_col).alias("i"), h.alias("h")).alias("rule_key"), F.col(text_col).alias("rule_text")), labels, "rule_key", "rule_text", "rule_key.i", id_col)
+    rejected = verdicts.where(~F.col("kept")).select("rule_key").distinct()
+    return docs.join(rejected, F.col(id_col).eqNullSafe(F.col("rule_key.i")) & (h == F.col("rule_key.h")), "left_anti")

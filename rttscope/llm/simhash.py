@@ -204,3 +204,172 @@ def group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col:
     smallest = classes.groupBy("root").agg(F.min("first").alias("component"))
     named = materialise(classes.join(smallest, "root").select("fp", "component"), "fingerprint-classes")
     return own.join(named, "fp").select(id_col, "fp", "component")
+
+
+# Near copies by similarity of shingle sets, where a radius of a few bits would miss most of them.
+
+#: Agreement per bit of two texts whose shingle sets have Jaccard similarity s: 1 - acos(2s / (1 + s)) / pi.
+RECALL = 0.99
+LEAST_WORDS = 8
+SMALL_SHARD = 48
+
+
+def agreement(similarity: float) -> float:
+    return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+
+
+def wide_plan(n: int, similarity: float) -> tuple[int, int, int, int]:
+    """(words, width, blocks, most): fingerprint words, bits per block, blocks, largest distance of a candidate.
+
+    Blocks are wide enough for shards of some dozen random rows; as many are taken as find a pair of
+    just the similarity with probability ``RECALL``.
+    """
+    p = agreement(similarity)
+    width = int(np.clip(np.ceil(np.log2(max(n, 2) / 32)), 6, 20))
+    blocks = int(np.ceil(np.log(1 - RECALL) / np.log1p(-(p**width))))
+    words = max(LEAST_WORDS, -(-blocks * width // BITS))
+    bits = words * BITS
+    return words, width, blocks, int(np.ceil(bits * (1 - p) + 4 * np.sqrt(bits * p * (1 - p))))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> list[int]:
+    """``words`` independent fingerprints of the distinct shingles, each from another mix of their hashes."""
+    out = []
+    for k in range(words):
+        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(signed(fingerprint(mixed ^ (mixed >> np.uint64(29)))))
+    return out
+
+
+def content(text: str | None) -> int:
+    """A digest of the lower-cased word sequence."""
+    return signed(xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()), SEED))
+
+
+def grow(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a minimum spanning forest among the rows of ``values`` at distance up to ``most``.
+
+    Nearest rows are joined first, so no group is split that a larger distance would not split too.
+    Memory is linear in the rows.
+    """
+    n = len(values)
+    nearest, best, free = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.ones(n, bool)
+    at, a, b = 0, [], []
+    for _ in range(n):
+        free[at] = False
+        distance = np.bitwise_count(values ^ values[at]).sum(1, dtype=np.int64)
+        closer = free & (distance < best)
+        best[closer], nearest[closer] = distance[closer], at
+        open_best = np.where(free, best, np.iinfo(np.int64).max)
+        at = int(open_best.argmin())
+        if not free[at]:
+            break
+        if best[at] <= most:
+            a.append(at), b.append(nearest[at])
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def near_links(reps: DataFrame, words: int, width: int, blocks: int, most: int) -> DataFrame:
+    """(a, b): candidate links between contents that agree in a block and lie within ``most`` bits."""
+    parts = []
+    for k in range(blocks):
+        word, bit = divmod(k * width, BITS)
+        value = F.shiftrightunsigned(F.col("fp")[word], bit)
+        if bit + width > BITS:
+            value = value.bitwiseOR(F.shiftleft(F.col("fp")[word + 1], BITS - bit))
+        parts.append(F.struct(F.lit(k).alias("block"), value.bitwiseAND((1 << width) - 1).alias("value")))
+    rows = reps.select("content", "fp", F.explode(F.array(*parts)).alias("s")).select("s.block", "s.value", "content", "fp")
+    dealt = rows.repartition(F.col("block"), F.col("value")).sortWithinPartitions("block", "value", "content")
+
+    def run(frames):
+        import pandas as pd
+
+        held, key = [], None
+
+        def found(parts):
+            names = np.concatenate([p[0] for p in parts])
+            values = np.concatenate([p[1] for p in parts])
+            if len(names) <= SMALL_SHARD:
+                near = np.bitwise_count(values[:, None] ^ values[None]).sum(2, dtype=np.int64) <= most
+                i, j = np.nonzero(np.triu(near, 1))
+            else:
+                i, j = grow(values, most)
+            return np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
+
+        for frame in frames:
+            cell = frame[["block", "value"]].to_numpy(np.int64)
+            names, values = frame["content"].to_numpy(np.int64), np.stack(frame["fp"].to_numpy()).astype(np.int64).view(np.uint64) if len(frame) else None
+            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1).tolist(), len(cell)]
+            out = []
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if key is not None and tuple(cell[a]) != key:
+                    if sum(len(p[0]) for p in held) > 1:
+                        out.append(found(held))
+                    held = []
+                key = tuple(cell[a])
+                held.append((names[a:b], values[a:b]))
+            if out:
+                yield pd.DataFrame({"a": np.concatenate([x[0] for x in out]), "b": np.concatenate([x[1] for x in out])})
+        if sum(len(p[0]) for p in held) > 1:
+            a, b = found(held)
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, copies, keep): one row per id and text; ``keep`` marks the one of its group that stays.
+
+    Groups are the components of links with a Jaccard similarity of at least ``similarity`` between sets of
+    ``shingle``-word shingles.  Candidates come from blocks of wide fingerprints; every candidate is verified
+    on the shingle sets.  The smallest id of a group stays (of equal ids the smaller text hash; null ids last).
+    """
+    from rttscope.llm.contamination import bit_filter, passes
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    words, width, blocks, most = wide_plan(rows.count(), similarity)
+
+    def of(ids, hashes, texts):
+        return [(i, h, content(t), wide_fingerprint(np.unique(shingle_hashes(t, shingle)), words)) for i, h, t in zip(ids, hashes, texts, strict=True)]
+
+    own = materialise(map_texts(rows, ["id", "h", "text"], f"id {kind}, h long, content long, fp array<long>", of, 64), "wide-fingerprints")
+    reps = own.groupBy("content").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("h"))).alias("first"), F.any_value("fp").alias("fp"))
+    reps = materialise(reps, "contents")
+    candidates = materialise(near_links(reps, words, width, blocks, most), "near-candidates")
+
+    # shingle sets of the candidates' first documents only: a second scan keeps what a filter of fixed size lets through
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+    wanted = materialise(ends.join(reps.select("content", F.col("first.h").alias("h")), "content"), "near-ends")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.col("h").alias("hash"))))
+
+    def sets(hashes, texts):
+        ok = passes(shared.value, np.array(hashes, np.int64)) if hashes else []
+        return [(h, np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist()) for h, t, o in zip(hashes, texts, ok, strict=True) if o]
+
+    found = map_texts(rows, ["h", "text"], "h long, shingles array<long>", sets, 64).groupBy("h").agg(F.any_value("shingles").alias("shingles"))
+    with_set = materialise(wanted.join(found, "h").select("content", "shingles"), "near-sets")
+    left, right = (with_set.select(F.col("content").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    links = candidates.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
+    roots = components(materialise(links, "near-links"), "a", "b")
+    classes = reps.select("content", "first").join(roots, F.col("content") == F.col("node"), "left").select("content", "first", F.coalesce("root", "content").alias("root"))
+    stays = classes.groupBy("root").agg(F.min("first").alias("stay"))
+    kept = materialise(stays.select(F.col("stay.id").alias("kid"), F.col("stay.h").alias("kh")), "near-kept")
+    counted = own.groupBy("id", "h").agg(F.count("*").alias("copies"))
+    return counted.join(kept, F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh")), "left").select("id", "h", "copies", F.col("kh").isNotNull().alias("keep"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group; of equal rows one stays."""
+    names = docs.columns
+    kept = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("keep"), "near-decisions")
+    kept = kept.select(F.col("id").alias("near_id"), F.col("h").alias("near_h"), F.col("copies").alias("near_copies"))
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    joined = docs.join(kept, F.col(id_col).eqNullSafe(F.col("near_id")) & (h == F.col("near_h")))
+    once, again = joined.where("near_copies = 1").select(*names), joined.where("near_copies > 1").dropDuplicates(["near_id", "near_h"]).select(*names)
+    return once.unionByName(again)
