@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rttscope.llm.contamination import bit_filter, passes
+from rttscope.llm.contamination import bit_filter
 from rttscope.llm.text import map_texts
 from rttscope.session import materialise
 
@@ -136,16 +136,17 @@ def base_table(rows: DataFrame) -> DataFrame:
 
 
 class Seen(dict):
-    """Whether a word's digest passes the filter; emptied when large."""
+    """A word's digest if it passes the filter, else 0; emptied when large."""
 
     def __init__(self, bitmap: np.ndarray):
-        self.bitmap = bitmap
+        self.bits = bitmap.tobytes()
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 400_000:
             self.clear()
         d = digest(word)
-        self[word] = found = d if is_term(word) and passes(self.bitmap, np.array([d], np.int64))[0] else 0
+        place = d % (8 * len(self.bits))
+        self[word] = found = d if self.bits[place >> 3] >> (place & 7) & 1 and is_term(word) else 0
         return found
 
 
