@@ -12,10 +12,13 @@ empty result.  Only the id and text columns are read.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections import defaultdict
+from functools import lru_cache
+from itertools import chain
 
-import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +33,12 @@ FAN_IN = 16
 SLACK = 8
 #: Rows sorted by size before they are placed.
 LOOKAHEAD = 4096
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
+#: Below it, letters change by lower-casing one by one and have no other form.
+LATIN = "\u0130"
+#: The vocabulary writes bytes as letters: printable Latin-1 ones as they are, the rest from 256 on in order.
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+END_ID = struct.pack("<I", 0)
 #: A task numbers its sequences in so many bits.
 TASK_BITS = 36
 
@@ -75,31 +83,61 @@ class Bins:
                 yield i, self.capacity - free
 
 
-def encoder(path: str):
-    """A function from a text to its ids; parts between blanks and line breaks are encoded once and remembered.
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-    The tokenizer's pieces never span white space, so a text's ids are those of its parts in turn.
-    """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    seen: dict[str, list[int]] = {}
+class Encoder:
+    """Texts to little-endian 32-bit ids; parts between blanks and line breaks are encoded once and remembered.
 
-    def encode(text: str) -> np.ndarray:
-        parts = text.replace("\n", " ").split(" ")
-        new = list({p for p in parts if p not in seen})
-        if len(seen) > WORDS_KEPT:
-            seen.clear()
-            new = list(set(parts))
-        if new:
-            seen.update(zip(new, (e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        ids: list[int] = []
-        for p in parts:
-            ids += seen[p]
-        ids.append(0)
-        return np.array(ids, "<u4")
+    The tokenizer's pieces never span white space, so a text's ids are those of its parts in turn.  A part that is
+    letters between plain marks is looked up in three: the tokenizer always cuts between letters and marks.
+    """
 
-    return encode
+    SPLIT = re.compile(r"([!-&(-;=-@\[-`{-~]*)([^\W\d_]+)([!-&(-;=-@\[-`{-~]*)")  # no apostrophe, no "<"
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parts: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode the unknown parts of a slice of texts together."""
+        if len(self.parts) > WORDS_KEPT:
+            self.parts = {"": b""}
+        if len(self.pieces) > WORDS_KEPT:
+            self.pieces = {"": b""}
+        new = set(chain.from_iterable(texts)).difference(self.parts)
+        cut = {}
+        for p in new:
+            m = self.SPLIT.fullmatch(p)
+            cut[p] = (m[1], m[2].lower() if max(m[2]) < LATIN else m[2], m[3]) if m and m[2].isalpha() else (p,)
+        unknown = {x for xs in cut.values() for x in xs if x not in self.pieces}
+        # lower-case Latin letters are one word that normalisation leaves alone: the model alone encodes it
+        plain = [x for x in unknown if x.isalpha() and max(x) < LATIN and x.islower()]
+        model = self.tokenizer.model.tokenize
+        for x in plain:
+            self.pieces[x] = packed([t.id for t in model(x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_LETTERS))])
+        unknown = list(unknown.difference(plain))
+        for x, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False) if unknown else (), strict=True):
+            self.pieces[x] = packed(e.ids)
+        known = self.pieces
+        for p, xs in cut.items():
+            self.parts[p] = b"".join([known[x] for x in xs])
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        self.learn(split)
+        of = self.parts.__getitem__
+        return [b"".join([*map(of, parts), END_ID]) for parts in split]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for a Python worker, which runs many tasks."""
+    return Encoder(path)
 
 
 FIELDS = "piece int, start long, length long, ids_crc32 long, unit long, inner long"
@@ -122,11 +160,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, open_bins: int,
                 rows = []
                 for start in range(at, min(at + LOOKAHEAD, batch.num_rows), 256):
                     part = batch.slice(start, min(256, at + LOOKAHEAD - start))
-                    for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        ids = encode(text or "")
-                        for k, first in enumerate(range(0, len(ids), capacity)):
-                            cut = ids[first : first + capacity]
-                            rows.append((i, k, first, len(cut), zlib.crc32(cut.tobytes())))
+                    for i, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                        for k, first in enumerate(range(0, len(ids) // 4, capacity)):
+                            cut = ids[4 * first : 4 * (first + capacity)]
+                            rows.append((i, k, first, len(cut) // 4, zlib.crc32(cut)))
                 rows.sort(key=lambda r: -r[3])
                 placed = [(*r, *bins.place(r[3])) for r in rows]
                 if placed:
