@@ -74,8 +74,6 @@ def scores(wide: DataFrame, absent: str = "skip") -> DataFrame:
         "macro_f1": macro_f1(absent) if absent == "skip" else F.when(n > 0, macro_f1(absent)),
         "f1_ponderado": F.try_divide(weighted, n),
         "acuracia": F.try_divide(_total([F.col(cell(c, c)) for c in K.CLASSES]), n),
-        "recall_falha": F.col("recall_FALHA"),
-        "f1_falha": F.col("f1_FALHA"),
     })
 
 

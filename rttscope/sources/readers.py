@@ -185,8 +185,8 @@ def period_windows(rows: list[dict], zone_required: bool = False) -> tuple[tuple
 
 
 def period_dimension(spark: SparkSession, path: str, zone_required: bool = False):
-    """Period windows from the metadata document (a handful of rows)."""
+    """Period windows from the metadata document: every one is checked."""
     schema = T.StructType([T.StructField("periodos", T.ArrayType(T.StructType([
         T.StructField(c, T.StringType()) for c in ("nome", "inicio", "fim")])))])
-    doc = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("periodos")).limit(100)
+    doc = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("periodos"))
     return period_windows([r.asDict() for r in doc.collect()], zone_required)
