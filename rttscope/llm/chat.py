@@ -14,7 +14,7 @@ every text can be read back.  The loss mask covers the texts of ``assistant`` tu
 Defined results: a null text or role counts as empty; messages of equal turn are ordered by
 role, then text, then repeated; a parent that does not exist makes its message a root; messages
 on a parent cycle belong to no path; of equally ranked leaves the smaller id goes first; rows with a
-null conversation form one conversation; an empty table gives an empty result.  Only the named
+null conversation form one conversation; rows that repeat a message id count as one, the smallest; an empty table gives an empty result.  Only the named
 columns are read.
 """
 
@@ -59,24 +59,23 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     there = slim.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("p")).distinct()
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     tree = slim.join(there, same("conv_id", "c") & (F.col("parent") == F.col("p")), "left").select("conv_id", "msg_id", F.col("p").alias("up"), F.lit(1).alias("steps"), "score")
-    # round k: ``up`` is the ancestor 2^k steps above, ``score`` the sum over the steps below it
-    rounds, most = [materialise(tree, "reply-up")], 2 * slim.count()
-    while not rounds[-1].where("up is not null").isEmpty():
-        now = rounds[-1]
-        above = now.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
-        # a chain has no more messages than the table; a longer one is a cycle
-        if 2 ** len(rounds) > most:
-            break
-        nxt = now.join(above, same("conv_id", "c") & (F.col("up") == F.col("m")), "left").select(
-            "conv_id", "msg_id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
-        rounds.append(materialise(nxt, "reply-up"))
-    done = rounds[-1].where("up is null").select("conv_id", "msg_id", F.col("steps").alias("depth"), F.col("score").alias("total"))
-    parents = rounds[0].where("up is not null").select(F.col("conv_id").alias("c"), F.col("up").alias("m")).distinct()
+    # in round k ``up`` is the ancestor 2^k steps above, ``score`` the sum over the steps below it; rows that
+    # have reached their root wait, so a round joins only what is longer
+    state, rounds, most = materialise(tree, "reply-up"), [], 2 * slim.count()
+    parents = state.where("up is not null").select(F.col("conv_id").alias("c"), F.col("up").alias("m")).distinct()
+    # a chain has no more messages than the table; a longer one is a cycle
+    while 2 ** len(rounds) <= most and not state.where("up is not null").isEmpty():
+        rounds.append(state)
+        above = state.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
+        nxt = state.where("up is not null").join(above, same("conv_id", "c") & (F.col("up") == F.col("m"))).select(
+            "conv_id", "msg_id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("score") + F.col("score2")).alias("score"))
+        state = materialise(nxt.unionByName(state.where("up is null")), "reply-up")
+    done = state.where("up is null").select("conv_id", "msg_id", F.col("steps").alias("depth"), F.col("score").alias("total"))
     leaves = done.join(parents, same("conv_id", "c") & (F.col("msg_id") == F.col("m")), "left_anti")
     order = W.partitionBy("conv_id").orderBy(F.desc(F.col("total") / F.col("depth")), "msg_id")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
     marked = materialise(chosen.select("conv_id", F.col("msg_id").alias("leaf"), "rank", "msg_id"), "reply-paths")
-    for table in reversed(rounds[:-1]):
+    for table in reversed(rounds):
         step = table.where("up is not null").select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"), "up")
         higher = marked.join(step, same("conv_id", "c") & (F.col("msg_id") == F.col("m"))).select("conv_id", "leaf", "rank", F.col("up").alias("msg_id"))
         marked = materialise(marked.union(higher), "reply-paths")
@@ -86,7 +85,8 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 def formatted(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(conv_id, leaf, rank, formatted): one string per chosen path."""
-    messages = materialise(messages.select("conv_id", "msg_id", "parent", "role", "text", "score"), "chat-messages")
+    once = messages.groupBy("conv_id", "msg_id").agg(F.min(F.struct("parent", "role", "text", "score")).alias("x"))
+    messages = materialise(once.select("conv_id", "msg_id", "x.*"), "chat-messages")
     body = messages.select(F.col("conv_id").alias("c"), F.col("msg_id").alias("m"),
                            F.concat(F.lit(TURN), escape(F.col("role"), True), F.lit("\n"), escape(F.col("text")), F.lit(END)).alias("piece"))
     rows = paths(messages, branches).join(body, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("msg_id") == F.col("m")))
