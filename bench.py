@@ -1,7 +1,6 @@
 """Headline timings: one JSON line.
 
-``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the local cores, ``BENCH_FOREST=1`` adds
-the 24-point random-forest grid.  Stage tables are built once and timed as their own entries; every
+``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the local cores.  Stage tables are built once and timed as their own entries; every
 other entry times one full run of a registered query into a discarding sink.
 """
 
@@ -44,9 +43,6 @@ def main() -> None:
     stages = catalog.stages(spark, SF_DIR)
     for name in STAGES:
         timed(f"stage_{name}", lambda name=name: getattr(stages, name))
-    if os.environ.get("BENCH_FOREST"):
-        from rttscope.plans.queries_ml import grid
-        timed("m3_grid_forest", lambda: grid(spark, SF_DIR, ("random_forest",)).collect())
     for name in QUERIES:
         timed(name, lambda name=name: catalog.QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save())
     print(json.dumps({

@@ -88,7 +88,7 @@ def long_matrix(wide: DataFrame, keys: list[str]) -> DataFrame:
 
 def dominant_anchor(df: DataFrame, keys: list[str], real: str = "alvo") -> DataFrame:
     """Per group the anchor with most FALHA rows (ties: smallest id as text) and its share."""
-    by_anchor = df.where(F.col(real) == "FALHA").groupBy(
+    by_anchor = df.where((F.col(real) == "FALHA") & F.col("anchor_id").isNotNull()).groupBy(
         *keys, F.col("anchor_id").cast("string").alias("anchor_id")
     ).agg(F.count(F.lit(1)).alias("c"))
     best = F.min(F.struct((-F.col("c")).alias("neg"), F.col("anchor_id").alias("id")))
@@ -98,34 +98,39 @@ def dominant_anchor(df: DataFrame, keys: list[str], real: str = "alvo") -> DataF
     )
 
 
-def in_slices(df: DataFrame, dominant: DataFrame, keys: list[str], real="alvo", now="classe_atual") -> DataFrame:
-    """Replicate each row into the evaluation slices it belongs to (at most four)."""
-    if keys:
-        rows = df.join(dominant, keys, "left")
-    else:
-        row = dominant.select("anchor_dominante")
-        rows = df.withColumn("anchor_dominante", row.scalar())
+def _sliced_counts(df: DataFrame, keys: list[str], real: str, pred: str, now: str) -> DataFrame:
+    """One row per group with a struct of nine counters per slice.
+
+    Rows are counted once per (group, anchor), combined in each task before the shuffle; the slice
+    without the dominant anchor is the general slice less that anchor's counters, so no row is
+    replicated or joined.
+    """
     r, c = F.col(real), F.col(now)
-    outside = ~F.coalesce(F.col("anchor_id").cast("string") == F.col("anchor_dominante"), F.lit(False))
-    member = F.array_compact(F.array(
-        F.lit("geral"),
-        F.when(c != r, "transicoes"),
-        F.when((c != "FALHA") & (r == "FALHA"), "inicio_falha"),
-        F.when(outside, "sem_anchor_dominante"),
-    ))
-    return rows.withColumn("fatia", F.explode(member)).drop("anchor_dominante", "fracao_dominante")
+    inside = {"geral": F.lit(True), "transicoes": c != r, "inicio_falha": (c != "FALHA") & (r == "FALHA")}
+    names = [(s, a, b) for s in inside for a, b in CELLS]
+    per_anchor = df.groupBy(*keys, F.col("anchor_id").cast("string").alias("_anchor")).agg(*[
+        F.count_if(inside[s] & (r == a) & (F.col(pred) == b)).alias(f"{s}_{cell(a, b)}") for s, a, b in names
+    ], F.count_if(r == "FALHA").alias("_falhas"))
+    own = F.struct(*[F.col(f"geral_{cell(a, b)}").alias(cell(a, b)) for a, b in CELLS])
+    rank = F.struct((-F.col("_falhas")).alias("neg"), F.col("_anchor").alias("id"), own.alias("own"))
+    total = per_anchor.groupBy(*keys).agg(
+        *[F.sum(f"{s}_{cell(a, b)}").alias(f"{s}_{cell(a, b)}") for s, a, b in names],
+        F.min(F.when((F.col("_falhas") > 0) & F.col("_anchor").isNotNull(), rank)).alias("_top"),
+    )
+    def of(slice_):
+        if slice_ in inside:
+            return [F.col(f"{slice_}_{cell(a, b)}") for a, b in CELLS]
+        return [F.col(f"geral_{cell(a, b)}") - F.coalesce(F.col("_top.own")[cell(a, b)], F.lit(0)) for a, b in CELLS]
+
+    return total.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(s).alias("fatia"), *[x.alias(cell(a, b)) for x, (a, b) in zip(of(s), CELLS)]) for s in K.SLICES
+    ])))
 
 
 def sliced_scores(df: DataFrame, keys: list[str], real="alvo", pred="previsto", now="classe_atual",
                   absent="skip") -> DataFrame:
     """Metric row per (group, slice); a slice without rows appears with n = 0."""
-    dominant = dominant_anchor(df, keys, real)
-    counted = confusion(in_slices(df, dominant, keys, real, now), [*keys, "fatia"], real, pred)
-    groups = counted.select(*keys).distinct() if keys else None
-    if groups is not None:
-        every = groups.withColumn("fatia", F.explode(F.array(*[F.lit(s) for s in K.SLICES])))
-        counted = every.join(counted, [*keys, "fatia"], "left").na.fill(0)
-    return scores(counted, absent)
+    return scores(_sliced_counts(df, keys, real, pred, now), absent)
 
 
 def gain(model: DataFrame, persistence: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from rttscope import contract as K
 from rttscope.operators import metrics
-from rttscope.session import materialise
+from rttscope.session import work_path
 from rttscope.sources.readers import ContractError, require_columns
 
 # Depth used where a grid says "no limit": the deepest tree the library grows.
 DEEPEST = 30
+# Histogram bins per feature when a tree looks for a cut.
+MAX_BINS = 64
 KEEP = ("id_fluxo", "anchor_id", "timestamp", "split", "classe_atual", "alvo")
 
 
@@ -33,10 +35,9 @@ def candidates(families=K.FAMILIES) -> list[dict]:
 
 
 def parameter_text(params: dict) -> str:
-    shown = {None: "nenhum"}
-    return ";".join(
-        f"{k}={'sem_limite' if v is None and k == 'max_depth' else shown.get(v, v)}" for k, v in params.items()
-    )
+    """Parameters as used: a depth without limit shows the depth that trees may reach."""
+    shown = {"max_depth": DEEPEST}
+    return ";".join(f"{k}={shown.get(k, 'nenhum') if v is None else v}" for k, v in params.items())
 
 
 def class_index(col: str) -> Column:
@@ -114,7 +115,7 @@ def build(family: str, params: dict):
     """
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "peso"}
     depth = params["max_depth"] or DEEPEST
-    tree = {"maxDepth": depth, "minInstancesPerNode": params["min_samples_leaf"], "seed": K.SEED, "maxBins": 64}
+    tree = {"maxDepth": depth, "minInstancesPerNode": params["min_samples_leaf"], "seed": K.SEED, "maxBins": MAX_BINS}
     if family == "arvore_decisao":
         return DecisionTreeClassifier(**common, **tree)
     return RandomForestClassifier(
@@ -144,16 +145,22 @@ def predicted(model, data: DataFrame) -> DataFrame:
 def run_grid(final: DataFrame, families=K.FAMILIES, points: list[dict] | None = None) -> tuple[DataFrame, list]:
     """Fit every candidate on ``treino`` and score both splits.
 
-    Each fit is a distributed job over the cached feature vectors; each candidate adds one
-    narrow scored table and all confusion counts come from a single aggregate at the end.
-    Returns the counts (``candidato``, ``split``, ``fatia``) and the fitted candidates.
+    Each fit is a distributed job over the cached feature vectors.  A tree or forest is scored
+    and counted before the next one is fitted, so one model at a time is held; the naive Bayes
+    points share one fit and one aggregate.  Returns the scores (``candidato``, ``split``,
+    ``fatia``) and the candidates.
     """
     rows = final.where(F.col("split").isin("treino", "validacao"))
     time_ordered(final)
     ready = vectors(rows).persist()
     weights: dict = {}
-    fitted, scored = [], []
+    path = work_path(final.sparkSession, "grid-scores")
+    fitted, narrow = [], []
     stats = None
+
+    def counted(scored):
+        metrics.sliced_scores(scored, ["candidato", "split"]).write.mode("append").parquet(path)
+
     for i, point in enumerate(points if points is not None else candidates(families)):
         if point["familia"] == "naive_bayes":
             # the smoothing acts at scoring, so all its grid points share one fit
@@ -164,15 +171,17 @@ def run_grid(final: DataFrame, families=K.FAMILIES, points: list[dict] | None =
             if mode not in weights:
                 weights[mode] = weighted(ready.where("split = 'treino'"), mode).persist()
             model = build(point["familia"], point["params"]).fit(weights[mode])
-        fitted.append({**point, "candidato": i, "modelo": model})
-        scored.append(predicted(model, ready).select(
-            F.lit(i).alias("candidato"), *KEEP, "previsto"
-        ))
-    every = reduce(DataFrame.unionByName, scored)
-    scores = materialise(metrics.sliced_scores(every, ["candidato", "split"]), "grid-scores")
+        fitted.append({**point, "candidato": i})
+        scored = predicted(model, ready).select(F.lit(i).alias("candidato"), *KEEP, "previsto")
+        if point["familia"] == "naive_bayes":
+            narrow.append(scored)
+        else:
+            counted(scored)
+    if narrow:
+        counted(reduce(DataFrame.unionByName, narrow))
     for cached in (ready, *weights.values()):
         cached.unpersist()
-    return scores, fitted
+    return final.sparkSession.read.parquet(path), fitted
 
 
 def grid_table(scores: DataFrame, fitted: list) -> DataFrame:
@@ -181,16 +190,16 @@ def grid_table(scores: DataFrame, fitted: list) -> DataFrame:
     described = spark.createDataFrame(
         [(
             p["candidato"], p["familia"], parameter_text(p["params"]), p["ordem"], K.FAMILIES.index(p["familia"]),
-            p["params"].get("max_depth", 0) if p["params"].get("max_depth", 0) is not None else 10**9,
-            p["params"].get("n_estimators", 0),
+            p["params"].get("max_depth", 0) or (DEEPEST if "max_depth" in p["params"] else 0),
+            p["params"].get("n_estimators", 0), MAX_BINS if "max_depth" in p["params"] else None,
         ) for p in fitted],
-        "candidato int, familia string, hiperparametros string, ordem int, simplicidade int, profundidade long, arvores int",
+        "candidato int, familia string, hiperparametros string, ordem int, simplicidade int, profundidade long, arvores int, max_bins int",
     )
     general = scores.where("fatia = 'geral'").groupBy("candidato").agg(
         F.max(F.when(F.col("split") == "treino", F.col("macro_f1"))).alias("macro_f1_treino"),
         F.max(F.when(F.col("split") == "validacao", F.col("macro_f1"))).alias("macro_f1_validacao"),
-        F.max(F.when(F.col("split") == "validacao", F.col("f1_falha"))).alias("f1_falha_validacao"),
-        F.max(F.when(F.col("split") == "validacao", F.col("recall_falha"))).alias("recall_falha_validacao"),
+        F.max(F.when(F.col("split") == "validacao", F.col("f1_FALHA"))).alias("f1_falha_validacao"),
+        F.max(F.when(F.col("split") == "validacao", F.col("recall_FALHA"))).alias("recall_falha_validacao"),
     ).withColumn("gap", F.col("macro_f1_treino") - F.col("macro_f1_validacao"))
     return described.join(general, "candidato")
 
@@ -202,6 +211,16 @@ def winner(grid: DataFrame) -> DataFrame:
     ).limit(1)
 
 
+def refit(grid: DataFrame, final: DataFrame):
+    """The winning grid point fitted once more on ``treino``: the grid keeps no models."""
+    best = winner(grid).select("familia", "ordem").first()
+    params = candidates((best["familia"],))[best["ordem"]]["params"]
+    rows = vectors(final.where("split = 'treino'"))
+    if best["familia"] == "naive_bayes":
+        return GaussianNB(GaussianNB.statistics(rows), params["var_smoothing"], K.FEATURES)
+    return build(best["familia"], params).fit(weighted(rows, params["class_weight"]))
+
+
 def score(model, df: DataFrame) -> DataFrame:
     """Class and probability map by class name for each row."""
     out = predicted(model, vectors(df))

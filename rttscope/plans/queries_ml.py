@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rttscope import contract as K
-from rttscope.operators import dataset, metrics, models, picks
+from rttscope.operators import metrics, models, picks
 from rttscope.plans.catalog import register, rounded, stages
 from rttscope.plans.queries_eval import SLICE_CTES
 from rttscope.session import materialise
 
 
 def published(spark, sf):
-    return dataset.published(stages(spark, sf).final)
+    return stages(spark, sf).published
 
 
 def _fit(spark, sf, family="arvore_decisao", **params):
@@ -21,14 +21,9 @@ def _fit(spark, sf, family="arvore_decisao", **params):
     return models.build(family, point).fit(models.weighted(rows, point["class_weight"]))
 
 
-def grid(spark, sf, families):
-    scores, fitted = models.run_grid(published(spark, sf).where("split <> 'teste'"), families)
-    return models.grid_table(scores, fitted)
-
-
 @register("m3_grid_naive_bayes")
 def m3_grid_naive_bayes(spark, sf):
-    return rounded(grid(spark, sf, ("naive_bayes",)))
+    return rounded(stages(spark, sf).grid("naive_bayes"))
 
 
 NB = {
@@ -55,25 +50,23 @@ def m2_gaussian_nb(spark, sf):
 
 @register("m3_grid_tree")
 def m3_grid_tree(spark, sf):
-    return rounded(grid(spark, sf, ("arvore_decisao",)))
+    return rounded(stages(spark, sf).grid("arvore_decisao"))
 
 
 @register("m2_random_forest")
 def m2_random_forest(spark, sf):
-    """The first forest of the grid; the whole forest grid runs through :func:`grid`."""
-    points = models.candidates(("random_forest",))[:1]
-    scores, fitted = models.run_grid(published(spark, sf).where("split <> 'teste'"), points=points)
-    return rounded(models.grid_table(scores, fitted))
+    """All 24 forests of the grid."""
+    return rounded(stages(spark, sf).grid("random_forest"))
 
 
 @register("k11_winner")
 def k11_winner(spark, sf):
-    return rounded(models.winner(grid(spark, sf, ("naive_bayes", "arvore_decisao"))))
+    return rounded(models.winner(stages(spark, sf).grid(*K.FAMILIES)))
 
 
 @register("m5_test_evaluation")
 def m5_test_evaluation(spark, sf):
-    out = models.evaluate_test(_fit(spark, sf), published(spark, sf))
+    out = models.evaluate_test(stages(spark, sf).model, published(spark, sf))
     return rounded(out.select("split", "fatia", "n", "macro_f1", "macro_f1_persistencia", "ganho", "recall_falha", "acuracia"))
 
 
@@ -104,7 +97,7 @@ def v8_tree_checks(spark, sf):
 @register("m7_metric_flags")
 def m7_metric_flags(spark, sf):
     final = published(spark, sf)
-    model = _fit(spark, sf)
+    model = stages(spark, sf).model
     rows = final.where("split <> 'teste'")
     keys = ["split", "fatia"]
     mine = metrics.sliced_scores(models.predicted(model, models.vectors(rows)), ["split"])
@@ -118,7 +111,7 @@ def m7_metric_flags(spark, sf):
 
 @register("m8_batch_scoring")
 def m8_batch_scoring(spark, sf):
-    out = models.score(_fit(spark, sf), published(spark, sf).where("split = 'teste'"))
+    out = models.score(stages(spark, sf).model, published(spark, sf).where("split = 'teste'"))
     total = F.aggregate(F.map_values("proba"), F.lit(0.0), lambda a, x: a + x)
     return out.select("id_fluxo", "timestamp", "classe_prevista", F.round(total, 6).alias("soma"))
 
@@ -127,5 +120,5 @@ def m8_batch_scoring(spark, sf):
 def d14_permutation_importance(spark, sf):
     final = published(spark, sf)
     key = ["id_fluxo", "timestamp"]
-    sample = materialise(picks.hashed_sample(final.where("split <> 'teste'"), 200, key), "sample")
-    return rounded(models.permutation_importance(_fit(spark, sf), sample, key))
+    sample = materialise(picks.hashed_sample(final.where("split = 'treino'"), 200, key), "sample")
+    return rounded(models.permutation_importance(stages(spark, sf).model, sample, key))

@@ -9,14 +9,14 @@ otherwise; a lost executor re-reads files instead of recomputing the chain.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rttscope import contract as K
 from rttscope.functions.parse import instant_metrics
-from rttscope.operators import baseline, collection, dataset
+from rttscope.operators import baseline, collection, dataset, models
 from rttscope.session import materialise
 from rttscope.sources import adapter
 
@@ -107,3 +107,25 @@ class Stages:
     @cached_property
     def final(self) -> DataFrame:
         return dataset.final(self.split)
+
+    @cached_property
+    def published(self) -> DataFrame:
+        """The final table at the digits it is published with."""
+        return dataset.published(self.final)
+
+    @cached_property
+    def _grids(self) -> dict[str, DataFrame]:
+        return {}
+
+    def grid(self, *families: str) -> DataFrame:
+        """Scores of every grid point of ``families``; a family is fitted once per object."""
+        for family in families:
+            if family not in self._grids:
+                scores, points = models.run_grid(self.published.where("split <> 'teste'"), (family,))
+                self._grids[family] = self._stored(models.grid_table(scores, points), f"grid-{family}")
+        return reduce(DataFrame.unionByName, [self._grids[f] for f in families])
+
+    @cached_property
+    def model(self):
+        """The winner of all families, fitted on the training rows."""
+        return models.refit(self.grid(*K.FAMILIES), self.published)
