@@ -58,6 +58,13 @@ INTERVAL_S = 240
 DIVERGENCE_MS = 0.01
 HIGH_LOSS_SHARE = 0.20
 REASON_TYPE = "type diferente de ping"
+ITEM_OFFLINE = "probe_offline"
+ITEM_OTHER_PROBE = "probe_diferente"
+ITEM_BAD_TIME = "timestamp_invalido"
+ITEM_BAD_LOSS = "perda_fora_de_0_a_100"
+ITEM_NEGATIVE = "latencia_negativa"
+ITEM_NO_LATENCY = "latencia_ausente"
+ITEM_REPEATED = "timestamp_duplicado"
 REASON_WINDOW = "timestamp fora da janela do período"
 REASON_AF = "af da medição divergente entre as fontes ou diferente de 4"
 REASON_MSM_TYPE = "medição não é ping Ongoing"

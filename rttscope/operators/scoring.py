@@ -180,26 +180,33 @@ def compare_scores(recorded: DataFrame, rescored: DataFrame, keys=("id_fluxo", "
     )
 
 
-def classify_item(df: DataFrame, probe: Column) -> DataFrame:
-    """Contract classifier of one collected item: situation and reason, first match."""
+def classify_item(df: DataFrame, probe: Column, timeout_is_loss: bool = True) -> DataFrame:
+    """Contract classifier of one collected item: situation and reason, first match.
+
+    An offline item has its own situation and no reason.  With ``timeout_is_loss`` any timeout mark
+    takes RTT, latency and jitter away, also from a partly answered ping.
+    """
     offline = F.coalesce("offline", F.lit(False))
-    lost = F.coalesce(F.col("perda_pct") >= 100 - K.LOSS_EPS, F.lit(False))
+    lost = F.coalesce(F.col("rcvd") == 0, F.lit(False))
     avg = F.col("avg")
-    timeout = F.col("tem_timeout") | F.coalesce(avg == -1, F.lit(False))
+    timeout = F.coalesce(F.col("tem_timeout"), F.lit(False)) | F.coalesce(avg == -1, F.lit(False))
     reason = first_match([
-        (offline, "probe_offline"),
-        (~F.coalesce(F.col("probe_id") == probe, F.lit(False)), "probe_divergente"),
-        (F.col("timestamp").isNull(), "timestamp_invalido"),
-        (~F.coalesce(F.col("perda_pct").between(0, 100), F.lit(False)), "perda_fora_de_0_a_100"),
-        (F.coalesce(avg < 0, F.lit(False)) & ~timeout, "latencia_negativa"),
-        (F.col("rtt_avg").isNull() & ~timeout & ~lost, "latencia_ausente"),
+        (offline, F.lit(None).cast("string")),
+        (~F.coalesce(F.col("probe_id") == probe, F.lit(False)), K.ITEM_OTHER_PROBE),
+        (F.col("timestamp").isNull(), K.ITEM_BAD_TIME),
+        (~F.coalesce(F.col("perda_pct").between(0, 100), F.lit(False)), K.ITEM_BAD_LOSS),
+        (F.coalesce(avg < 0, F.lit(False)) & ~timeout & ~lost, K.ITEM_NEGATIVE),
+        (F.col("rtt_avg").isNull() & ~timeout & ~lost, K.ITEM_NO_LATENCY),
     ])
     rows = df.withColumn("motivo", reason)
     situation = first_match([
-        (F.col("motivo") == "probe_offline", "sem_resultado"), (F.col("motivo").isNotNull(), "invalida"),
-        (timeout, "timeout"),
+        (offline, K.ITEM_OFFLINE), (F.col("motivo").isNotNull(), "invalida"), (timeout, "timeout"),
     ], "ok")
-    return rows.withColumn("situacao", situation)
+    rows = rows.withColumn("situacao", situation)
+    if timeout_is_loss:
+        gone = ("rtt_min", "rtt_max", "rtt_avg", "latencia_ms", "jitter_ms")
+        rows = rows.withColumns({c: F.when(~timeout, F.col(c)) for c in gone})
+    return rows
 
 
 def in_batch(start: int, end: int) -> Column:
@@ -211,12 +218,10 @@ def in_batch(start: int, end: int) -> Column:
 def new_rows(batch: DataFrame, known: DataFrame, keys=("id_fluxo", "timestamp"), order=("event_id",)):
     """New rows of a batch and, apart, rows repeating a time inside it.
 
-    Rows already known are skipped silently; the second and later row of one time in the
-    batch is a reject.
+    The second and later row of one time in the batch is a reject, also of a known time; the
+    first is skipped silently where its time is known.
     """
-    fresh = batch.join(known.select(*keys).distinct(), list(keys), "left_anti")
     w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = fresh.withColumn("_n", F.row_number().over(w))
-    return ranked.where("_n = 1").drop("_n"), ranked.where("_n > 1").drop("_n").withColumn(
-        "motivo", F.lit("timestamp_repetido")
-    )
+    ranked = batch.withColumn("_n", F.row_number().over(w))
+    fresh = ranked.where("_n = 1").drop("_n").join(known.select(*keys).distinct(), list(keys), "left_anti")
+    return fresh, ranked.where("_n > 1").drop("_n").withColumn("motivo", F.lit(K.ITEM_REPEATED))

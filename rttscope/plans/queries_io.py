@@ -81,7 +81,7 @@ def s7_log_folder(spark, sf):
     path = work_path(spark, "collection-log")
     log = collection_log(spark, sf).select(
         F.concat(F.lit("run-"), F.col("arquivo").cast("string")).alias("run_id"), "fluxo_id",
-        F.struct("ok", "timeout", "invalida", "sem_resultado").alias("situacoes"))
+        F.struct("ok", "timeout", "invalida", "sem_resultado", "probe_offline").alias("situacoes"))
     sinks.append_json(log, path)
     got = readers.read_log(spark, path, schemas.COLLECTION_LOG)
     return got.where("arquivo is not null").groupBy(F.col("fluxo_id").alias("fluxo")).agg(

@@ -169,10 +169,10 @@ ITEMS = f"""
     CASE WHEN event_id % 73 = 0 THEN -1 ELSE 3 END AS sent2, contains(result, '"x"') AS to_,
     CASE WHEN event_id % 71 = 0 THEN -5.0 ELSE avg END AS avg2 FROM pings"""
 CLASSIFIED = """
-  SELECT event_id, motivo, CASE WHEN motivo = 'probe_offline' THEN 'sem_resultado' WHEN motivo IS NOT NULL THEN 'invalida'
-    WHEN to_ OR avg2 = -1 THEN 'timeout' ELSE 'ok' END AS situacao, id_fluxo, timestamp, t2 FROM (SELECT *, CASE WHEN offline THEN 'probe_offline'
-    WHEN probe_id <> user_probe THEN 'probe_divergente' WHEN t2 IS NULL THEN 'timestamp_invalido' WHEN sent2 <= 0 THEN 'perda_fora_de_0_a_100'
-    WHEN avg2 < 0 AND NOT (to_ OR avg2 = -1) THEN 'latencia_negativa' END AS motivo FROM (SELECT *, CASE WHEN event_id % 67 = 0 THEN 99 ELSE probe_id END AS user_probe FROM items))"""
+  SELECT event_id, motivo, CASE WHEN offline THEN 'probe_offline' WHEN motivo IS NOT NULL THEN 'invalida'
+    WHEN to_ OR avg2 = -1 THEN 'timeout' ELSE 'ok' END AS situacao, id_fluxo, timestamp, t2, probe_id = user_probe AS own_probe FROM (SELECT *, CASE WHEN offline THEN NULL
+    WHEN probe_id <> user_probe THEN 'probe_diferente' WHEN t2 IS NULL THEN 'timestamp_invalido' WHEN sent2 <= 0 THEN 'perda_fora_de_0_a_100'
+    WHEN avg2 < 0 AND NOT (to_ OR avg2 = -1) AND rcvd <> 0 THEN 'latencia_negativa' END AS motivo FROM (SELECT *, CASE WHEN event_id % 67 = 0 THEN 99 ELSE probe_id END AS user_probe FROM items))"""
 ITEM_CTES = {"items": ITEMS, "classified_items": CLASSIFIED}
 
 
@@ -186,7 +186,7 @@ def items(spark, sf):
         "tem_timeout": has_timeout("result"),
     })
     probe = F.when(F.col("event_id") % 67 == 0, 99).otherwise(F.col("probe_id"))
-    return scoring.classify_item(instant_metrics(rows), probe)
+    return scoring.classify_item(instant_metrics(rows), probe).withColumn("do_probe", F.col("probe_id") == probe)
 
 
 @register("p8_contract_items", "SELECT event_id, situacao, motivo FROM classified_items", ITEM_CTES)
@@ -201,8 +201,8 @@ def p9_batch_window(spark, sf):
 
 
 @register("w8_new_rows", f"""
-SELECT event_id, n > 1 AS rejeitada FROM (SELECT *, row_number() OVER (PARTITION BY id_fluxo, timestamp ORDER BY event_id) AS n FROM tagged WHERE periodo = 'B'
-  AND (id_fluxo, timestamp) NOT IN (SELECT (id_fluxo, timestamp) FROM tagged WHERE periodo = 'B' AND event_id % 5 = 0))""")
+SELECT event_id, n > 1 AS rejeitada FROM (SELECT *, row_number() OVER (PARTITION BY id_fluxo, timestamp ORDER BY event_id) AS n FROM tagged WHERE periodo = 'B')
+WHERE n > 1 OR (id_fluxo, timestamp) NOT IN (SELECT (id_fluxo, timestamp) FROM tagged WHERE periodo = 'B' AND event_id % 5 = 0)""")
 def w8_new_rows(spark, sf):
     rows = collection.with_period(adapter.pings(spark, sf), adapter.PERIODS).where("periodo = 'B'")
     fresh, rejected = scoring.new_rows(rows, rows.where("event_id % 5 = 0"))
@@ -211,14 +211,15 @@ def w8_new_rows(spark, sf):
 
 OPERATION = """SELECT sum(o + t)::BIGINT AS coletadas, sum(i)::BIGINT AS descartadas, sum(t)::BIGINT AS timeouts, sum(s)::BIGINT AS sem_resultado, count(DISTINCT arquivo) AS n_execucoes FROM (
   SELECT t2 // 86400 AS arquivo, id_fluxo, count(*) FILTER (situacao = 'ok') AS o, count(*) FILTER (situacao = 'timeout') AS t, count(*) FILTER (situacao = 'invalida') AS i,
-    count(*) FILTER (situacao = 'sem_resultado') AS s FROM classified_items WHERE t2 IS NOT NULL GROUP BY ALL)"""
+    (count(*) FILTER (own_probe) = 0)::INTEGER AS s FROM classified_items WHERE t2 IS NOT NULL GROUP BY ALL)"""
 
 
 def collection_log(spark, sf):
     """One entry per day and flow, each written twice as a retried run would."""
     day = F.floor(F.col("timestamp") / 86400).alias("arquivo")
     log = items(spark, sf).where("timestamp is not null").groupBy(day, F.col("id_fluxo").alias("fluxo_id")).agg(*[
-        F.count_if(F.col("situacao") == s).alias(s) for s in ("ok", "timeout", "invalida", "sem_resultado")])
+        F.count_if(F.col("situacao") == s).alias(s) for s in ("ok", "timeout", "invalida", K.ITEM_OFFLINE)
+    ], (F.count_if("do_probe") == 0).cast("long").alias("sem_resultado"))
     return log.unionByName(log)
 
 

@@ -81,7 +81,7 @@ def t3_live_labels(spark, sf):
 SELECT DISTINCT id_fluxo, msm_id, timestamp FROM tagged WHERE periodo = 'B' AND type = 'ping' AND probe_id = 1""")
 def t4_filtered_messages(spark, sf):
     out = work_path(spark, "messages")
-    rows = scorer.filtered_messages(replayed(spark, sf), F.lit(1), *WINDOW, watermark="600 seconds")
+    rows = scorer.filtered_messages(replayed(spark, sf), F.lit(1), *WINDOW)
     query = rows.select("id_fluxo", "msm_id", "timestamp").writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -125,6 +125,6 @@ def t7_replayed_rows(spark, sf):
 
 
 @register("t9_quarantined", """
-SELECT event_id, 'timestamp_repetido' AS motivo FROM (SELECT *, row_number() OVER (PARTITION BY id_fluxo, timestamp ORDER BY event_id) AS n FROM tagged WHERE periodo = 'B' AND type = 'ping') WHERE n > 1""")
+SELECT event_id, 'timestamp_duplicado' AS motivo FROM (SELECT *, row_number() OVER (PARTITION BY id_fluxo, timestamp ORDER BY event_id) AS n FROM tagged WHERE periodo = 'B' AND type = 'ping') WHERE n > 1""")
 def t9_quarantined(spark, sf):
     return run(spark, sf).read("quarantine").select("event_id", "motivo")

@@ -32,7 +32,7 @@ PREDICTION = T.StructType([
 # fixed values: one collection-log entry
 COLLECTION_LOG = T.StructType([
     T.StructField("run_id", _S), T.StructField("fluxo_id", _S),
-    T.StructField("situacoes", _struct(ok=_L, timeout=_L, invalida=_L, sem_resultado=_L)),
+    T.StructField("situacoes", _struct(ok=_L, timeout=_L, invalida=_L, sem_resultado=_L, probe_offline=_L)),
 ])
 # fixed values: one raw API ping result
 API_RESULT = T.StructType([

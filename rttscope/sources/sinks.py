@@ -51,14 +51,14 @@ def with_day(df: DataFrame, ts: str = "ts_previsao") -> DataFrame:
     return df.withColumn("data", F.substring(ts, 1, 10))
 
 
-def write_predictions(df: DataFrame, path: str) -> None:
+def write_predictions(df: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """Replace the dates present in ``df``, leaving the others; files are sized by date.
 
-    Rows are spread over several tasks per date, so one busy date is not one task.
+    The rebalance hint lets the planner split a busy date into as many tasks as its size asks for
+    and join small dates; files end at ``rows_per_file``.
     """
-    dated = with_day(df)
-    spread = dated.repartition(F.col("data"), F.pmod(F.xxhash64("fluxo_id", "ts_previsao"), F.lit(16)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("data").parquet(path)
+    spread = with_day(df).hint("rebalance", "data")
+    spread.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("partitionOverwriteMode", "dynamic").partitionBy("data").parquet(path)
 
 
 def append_json(df: DataFrame, path: str) -> None:

@@ -119,18 +119,39 @@ def test_duplicates_late_rows_and_replay(spark):
     job = stream(spark, [rows[:20], [rows[19], message(98, "1_1", rows[20][5]), *rows[20:], late]], profile)
     out = job.read("forecasts")
     assert out.count() == 31 and out.where("timestamp = %d" % late[5]).count() == 1
-    assert [tuple(r) for r in job.read("quarantine").select("event_id", "motivo").collect()] == [(98, "timestamp_repetido")]
+    assert [tuple(r) for r in job.read("quarantine").select("event_id", "motivo").collect()] == [(98, "timestamp_duplicado")]
     before = sorted(map(str, out.collect()))
     job(spark.createDataFrame([rows[19], message(98, "1_1", rows[20][5]), *rows[20:], late], SCHEMA), 1)  # the same batch again
     assert sorted(map(str, job.read("forecasts").collect())) == before
 
 
+def test_a_row_sent_again_after_the_history_cap_is_not_scored_twice(spark):
+    rows = [message(i, "1_1", 1000 + 240 * i) for i in range(70)]
+    job = stream(spark, [rows, rows[:3]], [(1, 1, 54.0, 11.0, 12.0, 1.0, "VALIDO")])
+    assert job.read("forecasts").count() == 70
+
+
+def test_items_refused_by_the_live_path(spark):
+    rows = [message(i, "1_1", 1000 + 240 * i) for i in range(5)]
+    untyped = (*rows[0][:13], None, 4)
+    other = (11, 9, *rows[1][2:])
+    negative = (*rows[2][:12], -5.0, "ping", 4)
+    silent = (*rows[3][:9], "[]", None, None, None, "ping", 4)
+    job = stream(spark, [[untyped, other, negative, silent]], [(1, 1, 54.0, 11.0, 12.0, 1.0, "VALIDO")])
+    assert [r.timestamp for r in job.read("forecasts").collect()] == [1000]
+    assert sorted(r.motivo for r in job.read("quarantine").collect()) == ["latencia_ausente", "latencia_negativa", "probe_diferente"]
+
+
 def test_fallback_baseline_is_frozen(spark):
     rows = [message(i, "3_1", 1000 + 240 * i, cents=1000 + i) for i in range(80)]
-    job = stream(spark, [rows[:20], rows[20:40], rows[40:]], [(1, 1, 54.0, 11.0, 12.0, 1.0, "VALIDO")])
-    out = job.read("forecasts")
-    assert {r.estado for r in out.where("timestamp < %d" % rows[20][5]).collect()} == {"aquecimento"}
-    limits = {(r.p95_rtt_A, r.origem_baseline) for r in out.where("timestamp >= %d" % rows[20][5]).collect()}
+    profile = [(1, 1, 54.0, 11.0, 12.0, 1.0, "VALIDO")]
+    cols = ["timestamp", "estado", "previsto", "classe", "p95_rtt_A", "origem_baseline"]
+    parts = [stream(spark, cut, profile).read("forecasts") for cut in ([rows], [rows[:20], rows[20:40], rows[40:]])]
+    one, three = (sorted(map(str, out.select(*cols).collect())) for out in parts)
+    assert one == three and len(one) == 80
+    first = rows[29][5]  # the thirtieth RTT
+    assert {r.estado for r in parts[0].where(f"timestamp < {first}").collect()} == {"aquecimento"}
+    limits = {(r.p95_rtt_A, r.origem_baseline) for r in parts[0].where(f"timestamp >= {first}").collect()}
     assert len(limits) == 1 and next(iter(limits))[1] == "historico"
 
 
