@@ -179,26 +179,33 @@ def d1_psi_raw(spark, sf):
         long.where("papel = 'equivalente'").drop("papel"), long.where("papel = 'corrente'").drop("papel"), ["janela"]))
 
 
-@register("d3_ks", f"""
-SELECT feature, round(max(abs(fa - fb)), 6) AS ks FROM (
-  SELECT feature, valor, sum(a) OVER w / sum(a) OVER (PARTITION BY feature) AS fa, sum(b) OVER w / sum(b) OVER (PARTITION BY feature) AS fb
-  FROM (SELECT feature, valor, sum(a) AS a, sum(b) AS b FROM (
-    SELECT feature, valor, 1 AS a, 0 AS b FROM ks_ref UNION ALL SELECT feature, valor, 0, 1 FROM cur_long WHERE janela = '7d') GROUP BY ALL)
-  WINDOW w AS (PARTITION BY feature ORDER BY valor)) GROUP BY feature""", {**DRIFT_CTES, "ks_ref": _long(
-    "(SELECT * FROM ref_rows ORDER BY md5(concat_ws('|', '42', id_fluxo, timestamp::VARCHAR)), id_fluxo, timestamp LIMIT 2000)", [])})
-def d3_ks(spark, sf):
+# both distribution functions at every value, over all reference rows; then the largest gap
+KS_CTES = {**DRIFT_CTES, "ks_ref": _long("ref_rows", []), "ks_gap": """
+  SELECT feature, max(na) AS na, max(nb) AS nb, max(abs(fa - fb)) AS d FROM (
+    SELECT feature, sum(a) OVER p AS na, sum(b) OVER p AS nb, sum(a) OVER w / sum(a) OVER p AS fa, sum(b) OVER w / sum(b) OVER p AS fb
+    FROM (SELECT feature, valor, sum(a) AS a, sum(b) AS b FROM (
+      SELECT feature, valor, 1 AS a, 0 AS b FROM ks_ref UNION ALL SELECT feature, valor, 0, 1 FROM cur_long WHERE janela = '7d') GROUP BY ALL)
+    WINDOW w AS (PARTITION BY feature ORDER BY valor), p AS (PARTITION BY feature)) GROUP BY feature"""}
+
+
+def ks_rows(spark, sf):
     d = Drift(spark, sf)
-    sample = drift.reference_sample(d.preds, ["id_fluxo", "timestamp"])
+    ref = drift.unpivot(d.preds.where(F.col("split").isin("treino", "validacao")), [])
     cur = drift.unpivot(drift.trailing(d.preds, END, 168), [])
-    return rounded(drift.ks(sample, cur, ["feature"]).select("feature", "ks"))
+    return rounded(drift.ks(ref, cur, ["feature"]))
+
+
+@register("d3_ks", "SELECT feature, round(d, 6) AS ks FROM ks_gap", KS_CTES)
+def d3_ks(spark, sf):
+    return ks_rows(spark, sf).select("feature", "ks")
 
 
-@register("d3_ks_p_values")
+@register("d3_ks_p_values", """
+SELECT feature, round(d, 6) AS ks, round(CASE WHEN d = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(
+  [CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0::DOUBLE * k * k * (na * nb / (na + nb)) * d * d) for k in range(1, 101)]))) END, 6) AS ks_p
+FROM (SELECT feature, d, na::DOUBLE AS na, nb::DOUBLE AS nb FROM ks_gap)""", KS_CTES)
 def d3_ks_p_values(spark, sf):
-    d = Drift(spark, sf)
-    sample = drift.reference_sample(d.preds, ["id_fluxo", "timestamp"])
-    cur = drift.unpivot(drift.trailing(d.preds, END, 168), [])
-    return rounded(drift.ks(sample, cur, ["feature"]))
+    return ks_rows(spark, sf)
 
 
 CHI = " + ".join(f"pow(c.k{i} - greatest(r.k{i} / r.t * c.t, 1e-6), 2) / greatest(r.k{i} / r.t * c.t, 1e-6)" for i in range(3))
