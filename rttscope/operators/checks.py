@@ -79,14 +79,16 @@ def duplicated_keys(final: DataFrame, keys=("id_fluxo", "timestamp")) -> DataFra
 
 
 def feature_differences(left: DataFrame, right: DataFrame, keys: list[str], names=K.FEATURES) -> DataFrame:
-    """Full equi join of two feature tables; one row per (key, feature) that differs."""
-    def long(df, side):
-        return df.select(*keys, F.inline(F.array(*[
-            F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias(side)) for n in names
-        ])))
+    """Full equi join of two feature tables by key; one row per (key, feature) that differs."""
+    def side(df, name):
+        return df.select(*keys, F.struct(*[F.col(n).cast("double").alias(n) for n in names]).alias(name))
 
-    both = long(left, "a").join(long(right, "b"), [*keys, "feature"], "full_outer")
-    return both.where(~near(F.col("a"), F.col("b")))
+    both = side(left, "l").join(side(right, "r"), keys, "full_outer")
+    differing = F.array_compact(F.array(*[
+        F.when(~near(F.col(f"l.{n}"), F.col(f"r.{n}")), F.struct(F.lit(n).alias("feature"), F.col(f"l.{n}").alias("a"), F.col(f"r.{n}").alias("b")))
+        for n in names
+    ]))
+    return both.select(*keys, F.inline(differing))
 
 
 def mutated_future(series: DataFrame, cut: int) -> DataFrame:
@@ -99,6 +101,8 @@ def mutated_future(series: DataFrame, cut: int) -> DataFrame:
     return series.withColumns({
         "perda_pct": F.when(later, 100 - F.col("perda_pct")).otherwise(F.col("perda_pct")),
         **{c: shifted(c) for c in ("rtt_avg", "rtt_min", "rtt_max", "jitter_ms")},
+        "delta_ttl": F.when(later, F.coalesce("delta_ttl", F.lit(0)) + 2 * K.TTL_RESET).otherwise(F.col("delta_ttl")),
+        "classe": F.when(later, F.when(F.col("classe").eqNullSafe("OK"), "FALHA").otherwise("OK")).otherwise(F.col("classe")),
     })
 
 

@@ -30,10 +30,10 @@ def unpivot(df: DataFrame, keys: list[str], names=K.FEATURES) -> DataFrame:
 
 # ---------------------------------------------------------------- reference
 def bin_edges(long: DataFrame, keys: list[str], bins: int = K.QUANTILE_BINS) -> DataFrame:
-    """Distinct quantile edges 0, 1/bins, ..., 1 per key."""
+    """Distinct quantile edges 0, 1/bins, ..., 1 per key, as a written table."""
     probs = {f"q{i}": i / bins for i in range(bins + 1)}
     wide = exact_quantiles(long, keys, "valor", probs)
-    return wide.select(*keys, F.array_distinct(F.array(*probs)).alias("bordas"))
+    return materialise(wide.select(*keys, F.array_distinct(F.array(*probs)).alias("bordas")), "bin-edges")
 
 
 def bin_of(edges: Column, value: Column) -> Column:
@@ -43,8 +43,15 @@ def bin_of(edges: Column, value: Column) -> Column:
 
 
 def bin_counts(long: DataFrame, edges: DataFrame, keys: list[str], edge_keys=("feature",)) -> DataFrame:
-    """Rows per (keys, feature, bin).  ``edges`` has one row per feature (and edge key)."""
-    placed = long.join(edges, list(edge_keys))
+    """Rows per (keys, feature, bin).  ``edges`` has one row per feature (and window).
+
+    Edges reach the rows as one map value, so no row is shuffled before it is counted; rows
+    without edges are left out.
+    """
+    key = F.struct(*edge_keys)
+    # one entry per feature and window, each with at most QUANTILE_BINS + 1 edges
+    table = edges.agg(F.map_from_entries(F.collect_list(F.struct(key, "bordas")))).scalar()
+    placed = long.withColumn("bordas", F.try_element_at(table, key)).where("bordas is not null")
     missing = F.col("valor").isNull() | F.isnan("valor")
     b = F.when(~missing, bin_of(F.col("bordas"), F.col("valor")))
     return placed.withColumn("bin", b).groupBy(*keys, "feature", "bin").agg(

@@ -10,6 +10,7 @@ from rttscope.functions.geo import coordinates, distance_band, haversine_km
 from rttscope.functions.label import first_match
 from rttscope.functions.parse import text_or_null
 from rttscope.functions.privacy import seeded_order
+from rttscope.session import materialise
 
 
 # ---------------------------------------------------------------- measurements
@@ -172,16 +173,22 @@ def probe_candidates(participants: DataFrame, probes: DataFrame, targets: DataFr
 def pick_probes(candidates: DataFrame, seed: int = K.SEED) -> DataFrame:
     """Up to five diverse probes per anchor, chosen greedily.
 
-    Fewer than three candidates give one (flagged), three or four are all kept.  Each of
-    the five rounds scores every candidate against the little state of its anchor and
-    takes the minimum with a map-side combined aggregate, so an anchor with very many
-    candidates never sits in one task.  ``candidates`` should be a written table.
+    Fewer than three candidates give one (flagged), three or four are all kept.  Candidates
+    alike in all scored attributes differ by their draw only, so no more than the first five
+    of each such class can be chosen; that limit runs inside each task before the shuffle.
+    The five rounds score this small table against one written state row per anchor and take
+    the minimum with a map-side combined aggregate.  A missing country, continent or band is
+    a value of its own; a missing ASN never counts as used.  ``candidates`` should be a
+    written table.
     """
     draw = seeded_order(seed, "anchor_id", "probe_id")
     rows = candidates.where("coords is not null").select(
         "anchor_id", "probe_id", "asn_v4", "distance_band", "continent", "country", "is_anchor",
         "measurement_id", "distancia_km", draw.alias("_draw"),
     )
+    alike = Window.partitionBy("anchor_id", "is_anchor", "asn_v4", "distance_band", "continent", "country")
+    first = rows.withColumn("_r", F.row_number().over(alike.orderBy("_draw", "probe_id")))
+    first = materialise(first.where(F.col("_r") <= K.MAX_PROBES).drop("_r"), "probe-classes")
     sizes = rows.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n_candidatas"))
     state = sizes.withColumn(
         "quota",
@@ -192,29 +199,34 @@ def pick_probes(candidates: DataFrame, seed: int = K.SEED) -> DataFrame:
         "_band": F.array().cast("array<string>"), "_cont": F.array().cast("array<string>"),
         "_country": F.array().cast("array<string>"), "_common": F.lit(0),
     })
+    state = materialise(state, "probe-state")
+
+    def used(name, value):
+        """Whether the list holds the value, a missing one included."""
+        return F.exists(name, lambda x: x.eqNullSafe(F.col(value))).cast("int")
+
     for turn in range(K.MAX_PROBES):
-        joined = rows.join(state, "anchor_id").where(
+        joined = first.join(state, "anchor_id").where(
             (F.col("quota") > turn) & ~F.array_contains("_ids", F.col("probe_id"))
         )
         score = F.struct(
             F.when(F.col("_common") < 1, F.col("is_anchor").cast("int")).otherwise(0).alias("s1"),
             F.coalesce(F.array_contains("_asn", F.col("asn_v4")), F.lit(False)).cast("int").alias("s2"),
-            F.array_contains("_band", F.col("distance_band")).cast("int").alias("s3"),
-            F.array_contains("_cont", F.col("continent")).cast("int").alias("s4"),
-            F.array_contains("_country", F.col("country")).cast("int").alias("s5"),
+            used("_band", "distance_band").alias("s3"), used("_cont", "continent").alias("s4"),
+            used("_country", "country").alias("s5"),
             F.col("_draw").alias("draw"), F.col("probe_id").alias("id"), F.col("asn_v4").alias("asn"),
             F.col("distance_band").alias("band"), F.col("continent").alias("cont"),
             F.col("country").alias("country"), (~F.col("is_anchor")).cast("int").alias("common"),
         )
         best = joined.groupBy("anchor_id").agg(F.min(score).alias("b"))
-        state = state.join(best, "anchor_id", "left").select(
+        state = materialise(state.join(best, "anchor_id", "left").select(
             "anchor_id", "n_candidatas", "quota",
             *[
                 F.when(F.col("b").isNull(), F.col(c)).otherwise(F.array_append(c, F.col(f"b.{f}"))).alias(c)
                 for c, f in (("_ids", "id"), ("_asn", "asn"), ("_band", "band"), ("_cont", "cont"), ("_country", "country"))
             ],
             (F.col("_common") + F.coalesce("b.common", F.lit(0))).alias("_common"),
-        )
+        ), "probe-state")
     picked = state.select("anchor_id", "n_candidatas", F.posexplode("_ids").alias("ordem", "probe_id"))
     kept = rows.drop("_draw").join(picked, ["anchor_id", "probe_id"])
     return kept.withColumn("poucas_origens", F.col("n_candidatas") < K.MIN_PROBES)

@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from rttscope.session import materialise
+
 CHUNK_S = 86_400
 _CHUNK, _RN, _N, _LAST_RESET = "_chunk", "_rn", "_n", "_last_reset"
 
@@ -54,6 +56,8 @@ def series_windows(
         _LAST_RESET: F.max(F.when(F.col("_is_reset"), F.col(_RN))).over(running),
         **exprs(w),
     })
+    # summary, body and border read this table; unwritten, each would shuffle and window the series again
+    base = materialise(base, "series-chunks")
 
     placed = base.join(_carried(base, keys, part), part, "left")
     placed = placed.withColumns({
