@@ -118,8 +118,8 @@ def zero_jitter_limit(baseline: DataFrame) -> DataFrame:
 
 
 def six_digits(col: Column) -> Column:
-    """A number at six significant digits, the precision of the published final table."""
-    return F.format_string("%.5e", col).cast("double")
+    """A number at six significant digits, the precision of the published final table; missing stays missing."""
+    return F.when(col.isNotNull(), F.format_string("%.5e", col)).try_cast("double")
 
 
 def published(final_rows: DataFrame) -> DataFrame:

@@ -67,11 +67,11 @@ def strata(df: DataFrame, dims: list[str]) -> DataFrame:
     return sets.select(which.alias("dimensao"), F.coalesce(*dims).alias("valor"), "n")
 
 
-def constants(df: DataFrame, columns: list[str], shown: int = 20) -> DataFrame:
+def constants(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column its distinct-value count and whether it is constant.
 
     Values are counted as (column, value) pairs, so a column of many values is spread over
-    tasks; only its smallest ``shown`` values are listed.
+    tasks; its smallest and largest value are listed.
     """
     pairs = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("coluna"), F.col(c).cast("string").alias("valor")) for c in columns

@@ -151,11 +151,10 @@ def p25_collection_window(spark, sf):
 
 
 @register("p16_projection", "SELECT " + ", ".join(
-    f"count(*) FILTER ({c} IS NULL) AS {c}" for c in ("perda_pct", "rtt_ausente", "ttl_reset")) + " FROM final")
+    f"count(*) FILTER ({c} IS NULL) AS {c}" for c in K.FEATURES) + " FROM final")
 def p16_projection(spark, sf):
     from rttscope.sources.readers import model_input
-    names = ("perda_pct", "rtt_ausente", "ttl_reset")
-    return model_input(stages(spark, sf).final, names).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names])
+    return model_input(stages(spark, sf).final).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in K.FEATURES])
 
 
 @register("v7_online_labels", "SELECT id_fluxo, timestamp, msm_id FROM labelled WHERE false")

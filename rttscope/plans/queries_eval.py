@@ -144,11 +144,17 @@ def g21_class_proportions(spark, sf):
     return rounded(stages(spark, sf).final.groupBy("split").agg(*metrics.proportions("alvo")))
 
 
-@register("g29_fingerprint", """
-SELECT split, count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', id_fluxo, timestamp::VARCHAR, classe_atual, alvo)), 1, 8))::BIGINT)::BIGINT AS impressao
+WHOLE_ROW = (*K.FINAL_META, K.TARGET, *K.FEATURES)
+
+
+@register("g29_fingerprint", f"""
+SELECT split, count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', {', '.join(
+    f"coalesce(CAST(round({c}::DOUBLE * 1000000) AS BIGINT)::VARCHAR, '∅')" if c in K.FEATURES else f"coalesce({c}::VARCHAR, '∅')" for c in WHOLE_ROW)})), 1, 8))::BIGINT)::BIGINT AS impressao
 FROM final GROUP BY split""")
 def g29_fingerprint(spark, sf):
-    out = quality.fingerprint(stages(spark, sf).final, ["split"], ["id_fluxo", "timestamp", "classe_atual", "alvo"])
+    """Every column of the row counts; features enter in millionths, so summation order does not show."""
+    rows = stages(spark, sf).final.withColumns({c: F.round(F.col(c).cast("double") * 1_000_000).cast("long") for c in K.FEATURES})
+    out = quality.fingerprint(rows, ["split"], list(WHOLE_ROW))
     return out.withColumn("impressao", F.col("impressao").cast("long"))
 
 

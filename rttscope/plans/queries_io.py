@@ -27,12 +27,12 @@ def raw_table(spark, sf):
 
 
 @register("s1_raw_csv", """
-SELECT id_fluxo, periodo, anchor_id, probe_id, msm_id, ttl, result, rcvd, sent, round(min, 6) AS min, round(max, 6) AS max, round(avg, 6) AS avg, timestamp, type FROM tagged""")
+SELECT id_fluxo, periodo, anchor_id, '10.0.0.' || anchor_id AS anchor_ip, probe_id, CASE WHEN event_id % 3 <> 0 THEN '172.16.0.' || probe_id END AS probe_ip, msm_id, ttl, result,
+  0 AS dup, rcvd, sent, round(min, 6) AS min, round(max, 6) AS max, round(avg, 6) AS avg, timestamp, type, 3 AS packets, 240 AS interval FROM tagged""")
 def s1_raw_csv(spark, sf):
     path = work_path(spark, "raw-csv")
     sinks.write_csv(raw_table(spark, sf), path, list(K.RAW_COLUMNS))
-    cols = ("id_fluxo", "periodo", "anchor_id", "probe_id", "msm_id", "ttl", "result", "rcvd", "sent", "min", "max", "avg", "timestamp", "type")
-    return readers.read_raw(spark, path).select(*cols)
+    return readers.read_raw(spark, path).select(*K.RAW_COLUMNS)
 
 
 @register("s3_split_scan", "SELECT split, count(*) AS n FROM final WHERE split <> 'teste' GROUP BY split")
@@ -131,7 +131,8 @@ def s10_anchor_continents(spark, sf):
 
 
 @register("s11_ttl_dimension", """
-SELECT anchor_id, probe_id, median(ttl) AS ttl_baseline, count(ttl) AS n_amostras_A FROM instants WHERE periodo = 'A' GROUP BY ALL HAVING count(ttl) >= 30""")
+SELECT anchor_id, probe_id, median(ttl) AS ttl_baseline, count(ttl) AS n_amostras_A, min(ttl)::DOUBLE AS ttl_min_A, max(ttl)::DOUBLE AS ttl_max_A,
+  count(DISTINCT ttl) AS n_ttl_distintos_A FROM instants WHERE periodo = 'A' GROUP BY ALL HAVING count(ttl) >= 30""")
 def s11_ttl_dimension(spark, sf):
     from pyspark.sql import types as T
     from rttscope.functions.parse import number, whole
@@ -142,7 +143,8 @@ def s11_ttl_dimension(spark, sf):
     schema = T.StructType([T.StructField(c, T.StringType()) for c in table.columns])
     text = readers.read_csv(spark, path, schema)
     return text.select(whole("anchor_id").alias("anchor_id"), whole("probe_id").alias("probe_id"),
-                       number("ttl_baseline").alias("ttl_baseline"), whole("n_amostras_A").alias("n_amostras_A"))
+                       *[number(c).alias(c) for c in ("ttl_baseline", "ttl_min_A", "ttl_max_A")],
+                       *[whole(c).alias(c) for c in ("n_amostras_A", "n_ttl_distintos_A")])
 
 
 @register("s13_cells", """
@@ -153,8 +155,8 @@ def s13_cells(spark, sf):
     return sinks.rendered(rows).withColumn("event_id", F.col("event_id").cast("long"))
 
 
-@register("s14_final_csv", """
-SELECT id_fluxo, timestamp, CAST(printf('%.5e', perda_media_w12) AS DOUBLE) AS perda_media_w12, alvo FROM final""")
+@register("s14_final_csv", f"""
+SELECT id_fluxo, anchor_id, probe_id, timestamp, split, classe_atual, alvo, {', '.join(f"CAST(printf('%.5e', {c}::DOUBLE) AS DOUBLE) AS {c}" for c in K.FEATURES)} FROM final""")
 def s14_final_csv(spark, sf):
     from pyspark.sql import types as T
     from rttscope.functions.parse import number, whole
@@ -162,7 +164,8 @@ def s14_final_csv(spark, sf):
     final = stages(spark, sf).final
     sinks.write_final_csv(final, path)
     text = readers.read_csv(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in final.columns]))
-    return text.select("id_fluxo", whole("timestamp").alias("timestamp"), number("perda_media_w12").alias("perda_media_w12"), "alvo")
+    return text.select("id_fluxo", "split", "classe_atual", "alvo", *[whole(c).alias(c) for c in ("anchor_id", "probe_id", "timestamp")],
+                       *[number(c).alias(c) for c in K.FEATURES])
 
 
 @register("s19_event_log", """
@@ -183,12 +186,11 @@ def s20_expired_days(spark, sf):
 
 
 @register("s23_summary_tables", f"""
-SELECT classe_atual AS classe, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('perda_pct', 'perda_media_w3', 'perdas_consecutivas'))} FROM final GROUP BY classe_atual""")
+SELECT classe_atual AS classe, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in K.FEATURES)} FROM final GROUP BY classe_atual""")
 def s23_summary_tables(spark, sf):
     path = work_path(spark, "summary")
-    names = ("perda_pct", "perda_media_w3", "perdas_consecutivas")
     table = stages(spark, sf).final.groupBy(F.col("classe_atual").alias("classe")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names])
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in K.FEATURES])
     table.write.parquet(path)
     return rounded(spark.read.schema(table.schema).parquet(path))
 

@@ -323,9 +323,9 @@ def g25_strata(spark, sf):
 
 @register("p20_constants", " UNION ALL ".join(
     f"SELECT '{c}' AS coluna, count(DISTINCT {c}) AS n_valores, min({c}::VARCHAR) AS primeiro, max({c}::VARCHAR) AS ultimo, count(DISTINCT {c}) > 1 AS divergente FROM msm_dim"
-    for c in ("type", "af", "packets", "interval")))
+    for c in adapter.MEASUREMENT_COLUMNS))
 def p20_constants(spark, sf):
-    return quality.constants(adapter.measurements(spark, sf), ["type", "af", "packets", "interval"])
+    return quality.constants(adapter.measurements(spark, sf), list(adapter.MEASUREMENT_COLUMNS))
 
 
 @register("p21_live_checklist", """

@@ -58,11 +58,10 @@ def with_baseline(spark, sf, rows):
 
 @register("t1_scored_flows", f"""
 SELECT id_fluxo, timestamp, CASE WHEN pos < 12 THEN 'aquecimento' WHEN classe IS NULL THEN 'sem_classe' ELSE 'previsto' END AS estado,
-  CASE WHEN pos >= 12 THEN classe END AS previsto, classe, perdas_consecutivas, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in ('razao_rtt_p95', 'perda_media_w12', 'rtt_p95_max_w6', 'n_rtt_acima_p95_w3'))} FROM candidates""")
+  CASE WHEN pos >= 12 THEN classe END AS previsto, classe, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in K.FEATURES)} FROM candidates""")
 def t1_scored_flows(spark, sf):
     rows = with_baseline(spark, sf, run(spark, sf).read("forecasts"))
-    return rounded(rows.select("id_fluxo", "timestamp", "estado", "previsto", "classe", K.STREAK_FEATURE, "razao_rtt_p95",
-                               "perda_media_w12", "rtt_p95_max_w6", "n_rtt_acima_p95_w3"))
+    return rounded(rows.select("id_fluxo", "timestamp", "estado", "previsto", "classe", *K.FEATURES))
 
 
 @register("t2_fallback_baseline")

@@ -41,10 +41,19 @@ def write_final(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def short_text(col: str) -> Column:
+    """Six significant digits without trailing zeros; an exponent below 0.0001 and from a million on."""
+    x = six_digits(F.col(col))
+    plain = F.regexp_replace(x.cast("decimal(20,10)").cast("string"), r"\.?0+$", "")
+    power = F.regexp_replace(F.format_string("%.5e", x), r"\.?0+e", "e")
+    fixed = F.abs(x).between(0.0001, 999_999.5)
+    return F.when(x.isNotNull() & ~F.isnan(x), F.when(x == 0, "0").when(fixed, plain).otherwise(power))
+
+
 def write_final_csv(df: DataFrame, path: str) -> None:
     """The final table as text at six significant digits."""
     doubles = [c for c, t in df.dtypes if t == "double" and c in K.FEATURES]
-    write_csv(df.withColumns({c: six_digits(F.col(c)) for c in doubles}), path)
+    write_csv(df.withColumns({c: short_text(c) for c in doubles}), path)
 
 
 def with_day(df: DataFrame, ts: str = "ts_previsao") -> DataFrame:

@@ -169,3 +169,10 @@ def test_tiny_chunks_do_not_change_the_dataset(spark, sf, monkeypatch):
     monkeypatch.setattr(series.series_windows, "__defaults__", (None, 3600))
     b = sorted(map(str, Stages.of(spark, sf).final.select("id_fluxo", "timestamp", *K.FEATURES, "alvo").collect()))
     assert a == b and len(a) > 0
+
+
+def test_six_significant_digits_as_text(spark):
+    rows = [0.0, 1.0, -1.0, 100.0, 0.005328219, 0.0969391, 33.3333333, 0.00012345678, 0.000012345678, 1234567.0, 0.1, None, float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, x double")
+    got = [r.t for r in df.select("i", sinks.short_text("x").alias("t")).orderBy("i").collect()]
+    assert got == [None if v is None or v != v else f"{v:.6g}" for v in rows]
