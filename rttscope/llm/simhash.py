@@ -212,6 +212,10 @@ def group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col:
 RECALL = 0.99
 LEAST_WORDS = 8
 SMALL_SHARD = 48
+#: Rows of a chunk of a large shard; pairs compared at a time; shingles of a part of the verified sets.
+CELL = 5_000
+PAIRS = 1 << 21
+SET_WORDS = 2_000_000
 
 
 def agreement(similarity: float) -> float:
@@ -270,8 +274,20 @@ def grow(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def near_links(reps: DataFrame, words: int, width: int, blocks: int, most: int) -> DataFrame:
-    """(a, b): candidate links between contents that agree in a block and lie within ``most`` bits."""
+def block_values(values: np.ndarray, width: int, blocks: int) -> np.ndarray:
+    """Block values of fingerprints, one column per block."""
+    out = np.empty((len(values), blocks), np.int64)
+    for k in range(blocks):
+        word, bit = divmod(k * width, BITS)
+        value = values[:, word] >> np.uint64(bit)
+        if bit + width > BITS:
+            value = value | values[:, word + 1] << np.uint64(BITS - bit)
+        out[:, k] = (value & np.uint64((1 << width) - 1)).view(np.int64)
+    return out
+
+
+def near_shards(reps: DataFrame, width: int, blocks: int) -> DataFrame:
+    """(block, value, content, fp): every content once per block."""
     parts = []
     for k in range(blocks):
         word, bit = divmod(k * width, BITS)
@@ -279,45 +295,164 @@ def near_links(reps: DataFrame, words: int, width: int, blocks: int, most: int)
         if bit + width > BITS:
             value = value.bitwiseOR(F.shiftleft(F.col("fp")[word + 1], BITS - bit))
         parts.append(F.struct(F.lit(k).alias("block"), value.bitwiseAND((1 << width) - 1).alias("value")))
-    rows = reps.select("content", "fp", F.explode(F.array(*parts)).alias("s")).select("s.block", "s.value", "content", "fp")
-    dealt = rows.repartition(F.col("block"), F.col("value")).sortWithinPartitions("block", "value", "content")
+    return reps.select("content", "fp", F.explode(F.array(*parts)).alias("s")).select("s.block", "s.value", "content", "fp")
+
+
+def chunk(n, *seed):
+    """A content's part of ``n`` parts; the seed differs by block, so that blocks part a group unlike."""
+    return F.pmod(F.xxhash64("content", *seed), n)
+
+
+def by_cell(rows: DataFrame, keys: list[str], fields: list[str], found) -> DataFrame:
+    """``found(key, columns)`` yields (a, b) arrays for every cell; rows come sorted by cell, so a task holds one cell."""
+    dealt = rows.select(*keys, *fields).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "content")
 
     def run(frames):
         import pandas as pd
 
         held, key = [], None
 
-        def found(parts):
-            names = np.concatenate([p[0] for p in parts])
-            values = np.concatenate([p[1] for p in parts])
-            if len(names) <= SMALL_SHARD:
-                near = np.bitwise_count(values[:, None] ^ values[None]).sum(2, dtype=np.int64) <= most
-                i, j = np.nonzero(np.triu(near, 1))
-            else:
-                i, j = grow(values, most)
-            return np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
+        def flush():
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            if len(columns[0]) > 1:
+                for a, b in found(key, columns):
+                    if len(a):
+                        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
         for frame in frames:
-            cell = frame[["block", "value"]].to_numpy(np.int64)
-            names, values = frame["content"].to_numpy(np.int64), np.stack(frame["fp"].to_numpy()).astype(np.int64).view(np.uint64) if len(frame) else None
+            if not len(frame):
+                continue
+            cell = frame[keys].to_numpy(np.int64)
+            columns = [np.stack(frame[f].to_numpy()).astype(np.int64).view(np.uint64) if f == "fp" else frame[f].to_numpy(np.int64) for f in fields]
             cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1).tolist(), len(cell)]
-            out = []
             for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
                 if key is not None and tuple(cell[a]) != key:
-                    if sum(len(p[0]) for p in held) > 1:
-                        out.append(found(held))
+                    yield from flush()
                     held = []
                 key = tuple(cell[a])
-                held.append((names[a:b], values[a:b]))
-            if out:
-                yield pd.DataFrame({"a": np.concatenate([x[0] for x in out]), "b": np.concatenate([x[1] for x in out])})
-        if sum(len(p[0]) for p in held) > 1:
-            a, b = found(held)
-            yield pd.DataFrame({"a": a, "b": b})
+                held.append([c[a:b] for c in columns])
+        if held:
+            yield from flush()
+
+    return dealt.mapInPandas(run, "a long, b long")
+
+
+def near_links(shards: DataFrame, most: int) -> DataFrame:
+    """(a, b): first candidates, within ``most`` bits: all pairs of a small shard, a forest of a large one."""
+    def found(key, columns):
+        names, values = columns
+        if len(names) <= SMALL_SHARD:
+            i, j = np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None]).sum(2, dtype=np.int64) <= most, 1))
+        else:
+            i, j = grow(values, most)
+        yield names[i], names[j]
 
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    return by_cell(shards, ["block", "value"], ["content", "fp"], found).distinct()
+
+
+def crowd_links(shards: DataFrame, large: DataFrame, roots: DataFrame, width: int, blocks: int, most: int) -> DataFrame:
+    """(a, b): every pair of a large shard within ``most`` bits that no verified link has put into one group.
+
+    A shard's largest group is never compared with itself.  The others are dealt into chunks, and each two
+    chunks of which one is not of the largest group meet in a cell of their own.  A pair is found in the first
+    block in which it agrees.
+    """
+    rows = shards.join(large.select("block", "value"), ["block", "value"]).join(roots.withColumnRenamed("node", "content"), "content", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "content"))
+    groups = rows.groupBy("block", "value", "root").agg(F.count("*").alias("c"))
+    sizes = groups.groupBy("block", "value").agg(F.max_by("root", "c").alias("main"), F.max("c").alias("m"), F.sum("c").alias("n")).where("n > m")
+    sizes = materialise(sizes.select("block", "value", "main", F.ceil((F.col("n") - F.col("m")) / CELL).alias("others"), F.ceil(F.col("m") / CELL).alias("mains")), "near-crowds")
+    rows = rows.join(sizes, ["block", "value"])
+    rows = rows.withColumn("chunk", F.when(F.col("root") == F.col("main"), F.col("others") + chunk(F.col("mains"))).otherwise(chunk(F.col("others"))))
+    partners = F.sequence(F.lit(0).cast("long"), F.when(F.col("root") == F.col("main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
+    rows = rows.withColumn("other", F.explode(partners)).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+
+    def found(key, columns):
+        names, values, groups, chunks = columns
+        block, _, low, high = key
+        left, right = np.flatnonzero(chunks == low), np.flatnonzero(chunks == high)
+        if not len(left) or not len(right):
+            return
+        before = block_values(values, width, blocks)[:, :block]
+        step = max(1, PAIRS // len(right))
+        for start in range(0, len(left), step):
+            part = left[start : start + step]
+            near = groups[part][:, None] != groups[right][None]
+            distance = np.zeros(near.shape, np.int16)
+            for k in range(values.shape[1]):
+                distance += np.bitwise_count(values[part, k][:, None] ^ values[right, k][None])
+            i, j = np.nonzero(near & (distance <= most))
+            i, j = part[i], right[j]
+            once = i < j if low == high else np.ones(len(i), bool)
+            i, j = i[once], j[once]
+            for at in range(0, len(i), PAIRS // 16):
+                a, b = i[at : at + PAIRS // 16], j[at : at + PAIRS // 16]
+                new = ~(before[a] == before[b]).any(1)
+                yield names[a[new]], names[b[new]]
+
+    return by_cell(rows, ["block", "value", "low", "high"], ["content", "fp", "root", "chunk"], found)
+
+
+def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The candidates whose shingle sets (content, shingles) have at least the similarity.
+
+    Contents are dealt into parts of about ``SET_WORDS`` shingles; a cell holds the sets of two parts once,
+    and its pairs stream past them.
+    """
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    parts = F.lit(-(-int(total) // SET_WORDS) or 1)
+    pa_, pb = (F.pmod(F.xxhash64(c), parts) for c in "ab")
+    pairs = candidates.select(F.least(pa_, pb).alias("low"), F.greatest(pa_, pb).alias("high"), "a", "b")
+    ends = pairs.select("low", "high", F.explode(F.array("a", "b")).alias("content")).distinct()
+    given = ends.join(sets, "content").select("low", "high", F.lit(0).alias("kind"), F.col("content").alias("a"), F.lit(0).cast("long").alias("b"), "shingles")
+    asked = pairs.select("low", "high", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("shingles"))
+    dealt = given.unionByName(asked).repartition("low", "high").sortWithinPartitions("low", "high", "kind", "a", "b")
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, held, ready = None, {}, None
+
+        def index():
+            """Every set as numbers of the cell's distinct shingles."""
+            names = list(held)
+            ends = np.cumsum([len(held[n]) for n in names])[:-1] if names else []
+            distinct, numbers = np.unique(np.concatenate([held[n] for n in names]), return_inverse=True) if names else (np.zeros(0), np.zeros(0, np.int64))
+            return dict(zip(names, np.split(numbers, ends), strict=True)), np.zeros(len(distinct) + 1, np.int64)
+
+        for batch in batches:
+            low, high, kind, a, b = (batch.column(k).to_numpy() for k in range(5))
+            shingles = batch.column(5)
+            turn = (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (kind[1:] != kind[:-1]) | ((kind[1:] == 1) & (a[1:] != a[:-1]))
+            cuts = [0, *(np.flatnonzero(turn) + 1).tolist(), len(a)]
+            kept = []
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                if (low[x], high[x]) != key:
+                    key, held, ready = (low[x], high[x]), {}, None
+                if kind[x] == 0:
+                    held.update((int(a[k]), shingles[k].values.to_numpy()) for k in range(x, y))
+                    continue
+                if ready is None:
+                    ready, held = index(), {}
+                numbers, mark = ready
+                own = numbers[int(a[x])]
+                mark[own] = 1
+                for start in range(x, y, 1024):
+                    stop = min(start + 1024, y)
+                    others = [numbers[v] for v in b[start:stop].tolist()]
+                    sizes = np.array([len(o) for o in others])
+                    sums = np.concatenate([[0], np.cumsum(mark[np.concatenate(others)])])
+                    ends = np.cumsum(sizes)
+                    both = sums[ends] - sums[ends - sizes]
+                    kept.append(start + np.flatnonzero(both >= similarity * (len(own) + sizes - both) - 1e-9))
+                mark[own] = 0
+            if kept:
+                k = np.concatenate(kept)
+                yield pa.RecordBatch.from_arrays([pa.array(a[k], pa.int64()), pa.array(b[k], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,23 +475,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     own = materialise(map_texts(rows, ["id", "h", "text"], f"id {kind}, h long, content long, fp array<long>", of, 64), "wide-fingerprints")
     reps = own.groupBy("content").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("h"))).alias("first"), F.any_value("fp").alias("fp"))
     reps = materialise(reps, "contents")
-    candidates = materialise(near_links(reps, words, width, blocks, most), "near-candidates")
-
-    # shingle sets of the candidates' first documents only: a second scan keeps what a filter of fixed size lets through
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    wanted = materialise(ends.join(reps.select("content", F.col("first.h").alias("h")), "content"), "near-ends")
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.col("h").alias("hash"))))
-
-    def sets(hashes, texts):
-        ok = passes(shared.value, np.array(hashes, np.int64)) if hashes else []
-        return [(h, np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist()) for h, t, o in zip(hashes, texts, ok, strict=True) if o]
-
-    found = map_texts(rows, ["h", "text"], "h long, shingles array<long>", sets, 64).groupBy("h").agg(F.any_value("shingles").alias("shingles"))
-    with_set = materialise(wanted.join(found, "h").select("content", "shingles"), "near-sets")
-    left, right = (with_set.select(F.col("content").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = candidates.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
-    roots = components(materialise(links, "near-links"), "a", "b")
+    shards = near_shards(reps, width, blocks)
+    large = materialise(shards.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_SHARD), "near-large-shards")
+
+    def linked(candidates):
+        # shingle sets of the candidates' first documents only: a further scan keeps what a filter of fixed size lets through
+        ends = candidates.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+        wanted = materialise(ends.join(reps.select("content", F.col("first.h").alias("h")), "content"), "near-ends")
+        shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.col("h").alias("hash"))))
+
+        def sets(hashes, texts):
+            ok = passes(shared.value, np.array(hashes, np.int64)) if hashes else []
+            return [(h, np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist()) for h, t, o in zip(hashes, texts, ok, strict=True) if o]
+
+        found = map_texts(rows, ["h", "text"], "h long, shingles array<long>", sets, 64).groupBy("h").agg(F.any_value("shingles").alias("shingles"))
+        with_set = materialise(wanted.join(found, "h").select("content", "shingles"), "near-sets")
+        return materialise(verified(candidates, with_set, similarity), "near-links")
+
+    links = linked(materialise(near_links(shards, most), "near-candidates"))
+    roots = components(links, "a", "b")
+    if not large.isEmpty():
+        # a forest's link that failed stood for others: what is still apart in a large shard is compared pair by pair
+        crowd = materialise(crowd_links(shards, large, roots, width, blocks, most), "near-crowd-candidates")
+        if not crowd.isEmpty():
+            roots = components(links.union(linked(crowd)), "a", "b")
     classes = reps.select("content", "first").join(roots, F.col("content") == F.col("node"), "left").select("content", "first", F.coalesce("root", "content").alias("root"))
     stays = classes.groupBy("root").agg(F.min("first").alias("stay"))
     kept = materialise(stays.select(F.col("stay.id").alias("kid"), F.col("stay.h").alias("kh")), "near-kept")

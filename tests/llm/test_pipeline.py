@@ -70,6 +70,42 @@ def test_spanning_forest_keeps_groups_whole():
     assert len(a) == len(values) - len(set(root.values())) and all(root[i] == root[j] for i, j in zip(a.tolist(), b.tolist()))
 
 
+def crowd(families, seed=3):
+    """Texts of one template: two of a family at a similarity of 0.816, families mostly below 0.8."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    template = [f"t{k}" for k in range(400)]
+    texts = []
+    for f in range(families):
+        places = [int(5 * p) + 2 for p in rng.permutation(79)[:14]]
+        for n, at in enumerate((places[:6], places)):
+            texts.append(" ".join(f"f{f}n{n if k in places[6:] else 0}k{k}" if k in at else w for k, w in enumerate(template)))
+    return list(enumerate(texts))
+
+
+def test_crowd_of_one_template_matches_brute_force(spark):
+    texts = crowd(1000)
+    sets = [{hash(g) for g in shingle_set(t)} for _, t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            c = len(s & sets[j])
+            if c >= 0.8 * (len(s) + len(sets[j]) - c) - 1e-9:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(texts, "doc_id long, text string"), None)
+    kept, want = {r.doc_id for r in got.collect()}, {i for i in range(len(sets)) if find(i) == i}
+    # blocks find a pair of just the similarity with probability RECALL; a pair that no block holds stays apart
+    assert want <= kept and len(kept - want) <= 2 * (1 - simhash.RECALL) * (len(sets) - len(want))
+
+
 def test_quality_stage(spark, sf, odd, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id for r in queries.op6_rules(spark, sf).where("kept").collect()}
