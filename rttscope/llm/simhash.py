@@ -337,8 +337,11 @@ def by_cell(rows: DataFrame, keys: list[str], fields: list[str], found) -> DataF
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def near_links(shards: DataFrame, most: int) -> DataFrame:
-    """(a, b): first candidates, within ``most`` bits: all pairs of a small shard, a forest of a large one."""
+def near_links(shards: DataFrame, large: DataFrame, most: int) -> DataFrame:
+    """(a, b): first candidates, within ``most`` bits: all pairs of a small shard, forests of the cells of a large one."""
+    cells = large.where(F.col("n") > CELL).select("block", "value", F.ceil(F.col("n") / CELL).alias("cells"))
+    rows = shards.join(cells, ["block", "value"], "left").withColumn("cell", F.coalesce(chunk(F.col("cells"), "block"), F.lit(0)))
+
     def found(key, columns):
         names, values = columns
         if len(names) <= SMALL_SHARD:
@@ -347,7 +350,7 @@ def near_links(shards: DataFrame, most: int) -> DataFrame:
             i, j = grow(values, most)
         yield names[i], names[j]
 
-    return by_cell(shards, ["block", "value"], ["content", "fp"], found).distinct()
+    return by_cell(rows, ["block", "value", "cell"], ["content", "fp"], found).distinct()
 
 
 def crowd_links(shards: DataFrame, large: DataFrame, roots: DataFrame, width: int, blocks: int, most: int) -> DataFrame:
@@ -492,7 +495,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         with_set = materialise(wanted.join(found, "h").select("content", "shingles"), "near-sets")
         return materialise(verified(candidates, with_set, similarity), "near-links")
 
-    links = linked(materialise(near_links(shards, most), "near-candidates"))
+    links = linked(materialise(near_links(shards, large, most), "near-candidates"))
     roots = components(links, "a", "b")
     if not large.isEmpty():
         # a forest's link that failed stood for others: what is still apart in a large shard is compared pair by pair

@@ -106,6 +106,22 @@ def test_crowd_of_one_template_matches_brute_force(spark):
     assert want <= kept and len(kept - want) <= 2 * (1 - simhash.RECALL) * (len(sets) - len(want))
 
 
+def test_large_shards_are_dealt_in_bounded_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 64)
+    by_cell, largest = simhash.by_cell, []
+
+    def watched(rows, keys, fields, found):
+        largest.append(rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+        return by_cell(rows, keys, fields, found)
+
+    monkeypatch.setattr(simhash, "by_cell", watched)
+    texts = crowd(150)
+    want = {i for i, c in jaccard_classes(texts).items() if c == i}
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(texts, "doc_id long, text string"), None).collect()}
+    assert want <= got and len(got - want) <= 5
+    assert len(largest) == 2 and max(largest) <= 4 * 64  # two chunks, dealt by a hash
+
+
 def test_quality_stage(spark, sf, odd, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id for r in queries.op6_rules(spark, sf).where("kept").collect()}
