@@ -115,18 +115,26 @@ def log_odds(counts: DataFrame, share: float = PRIOR) -> tuple[DataFrame, int, i
 
 
 class Lexicon:
-    """Positive token scores in a table of fixed size, addressed by the low bits of the digest."""
+    """Positive token scores in a table of fixed size, addressed by the low bits of the digest.
+
+    Tokens whose slot is taken stand in a dictionary.
+    """
 
     def __init__(self, rows: list):
         self.key = np.zeros(SLOTS, np.int64)
         self.value = np.zeros(SLOTS, np.float32)
+        self.more: dict[int, float] = {}
         for r in rows:
-            self.key[r.slot], self.value[r.slot] = r.token, r.score
+            slot = r.token & (SLOTS - 1)
+            if self.value[slot] > 0:
+                self.more[r.token] = float(np.float32(r.score))
+            else:
+                self.key[slot], self.value[slot] = r.token, r.score
 
     def of(self, word: str) -> float:
         d = digest(word)
         slot = d & (SLOTS - 1)
-        return float(self.value[slot]) if self.key[slot] == d else 0.0
+        return float(self.value[slot]) if self.key[slot] == d else self.more.get(d, 0.0)
 
 
 class Memo(dict):
@@ -170,7 +178,7 @@ def segments(scores: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, f
 
 def segment_table(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str) -> DataFrame:
     """Per text: its tokens, its segments and their scores."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # SLOTS entries
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # SLOTS entries and the few whose slot is taken
     memo: list[Memo] = []
 
     def of(ids, texts):
@@ -219,8 +227,8 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, i
     """Every text's toxic segments, rarity and score; rows of the held-out fold are not learned from."""
     sample = labelled_sample(labels, modulus, held, id_col)
     table, _, n_clean = log_odds(materialise(token_counts(docs, sample, id_col, text_col), "token-counts"))
-    lower = table.withColumn("score", F.col("odds") - MARGIN * F.col("error") - DRIFT).where("score > 0").withColumn("slot", F.col("token").bitwiseAND(SLOTS - 1))
-    rows = lower.groupBy("slot").agg(F.max_by(F.struct("token", "score", "clean"), F.col("score")).alias("x")).select("slot", "x.*").collect()  # at most SLOTS
+    lower = table.withColumn("score", F.col("odds") - MARGIN * F.col("error") - DRIFT).where("score > 0")
+    rows = lower.select("token", "score", "clean").collect()  # words with LEAST_CONTEXTS toxic contexts in the bounded sample
     found = materialise(segment_table(docs, Lexicon(rows), id_col, text_col), "toxic-segments")
 
     learned = found.where(fold_remainder(id_col, modulus) != held).join(one_label(labels, "toxic", id_col), id_col)

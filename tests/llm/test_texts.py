@@ -97,6 +97,17 @@ def test_toxicity_held_out(spark):
     assert n[1, 1] > 0.75 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) < 0.01 * n[0, 0]
 
 
+def test_lexicon_keeps_tokens_that_share_a_slot():
+    from pyspark.sql import Row
+
+    words = [f"bad{k}" for k in range(20_000)]
+    digests = [toxicity.digest(w) for w in words]
+    rows = [Row(slot=d & (toxicity.SLOTS - 1), token=d, score=1.0 + k % 7, clean=0) for k, d in enumerate(digests)]
+    assert len({r.slot for r in rows}) < len(rows)
+    lexicon = toxicity.Lexicon(rows)
+    assert [lexicon.of(w) for w in words] == [r.score for r in rows] and lexicon.of("other") == 0.0
+
+
 def test_toxicity_odd_texts(odd, labels, none):
     got = toxicity.score(odd, labels).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
