@@ -1,11 +1,11 @@
-"""The ten registered queries: each applies its operator to a whole table, and their SQL checks."""
+"""The registered queries: each applies its operator to a whole table, and their SQL checks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rttscope.llm import anomaly, chat, contamination, licenses, packing, pii, quality_trees, simhash, toxicity, url_rules
+from rttscope.llm import anomaly, chat, checks, contamination, filter_audit, licenses, mixing, packing, pii, quality_trees, repair, simhash, toxicity, url_rules
 
 #: Host, path, verdict.
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -74,7 +74,21 @@ def op10_pii(spark, sf_dir):
         F.sha2(listed(F.filter("spans", lambda s: s["kind"] != "term")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_contamination, op2_quality, op3_urls, op4_packing, op5_licenses, op6_rules, op7_chat, op8_toxicity, op9_simhash, op10_pii)}
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_mixing(spark, sf_dir):
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op13_repair(spark, sf_dir):
+    return repair.summary(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_contamination, op2_quality, op3_urls, op4_packing, op5_licenses, op6_rules, op7_chat, op8_toxicity, op9_simhash, op10_pii, op11_filter_audit, op12_mixing, op13_repair)}
 
 _UPPER, _LOWER = url_rules.UPPER, url_rules.LOWER
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -130,4 +144,4 @@ select doc_id, n_words, len(starts) as n_base, list_min(starts) - 1 as first_wor
 from base left join method using (r)
 """
 
-ORACLE = {"op3_urls": _URLS, "op5_licenses": _LICENSES, "op7_chat": _CHAT}
+ORACLE = {"op3_urls": _URLS, "op5_licenses": _LICENSES, "op7_chat": _CHAT, **checks.ORACLE}
