@@ -1,11 +1,14 @@
 """License scan: phrase places, and an exact containment join of text blocks with license templates.
 
-Blocks are a text's lines, and every run of ``SPAN`` lines (notices may be wrapped).
+A block is a line and the words behind it, over line breaks and blank lines, as many as the longest template has
+less one: so every window of so many consecutive words lies in a block, however a notice is wrapped.
 Tokens are ordered by their document frequency over all texts, rarest first.  A block can only
 contain ``need`` of a template's ``m`` tokens if it holds one of the template's first ``m - need + 1``
 (prefix filter), has ``need`` template tokens at all (length filter), and has enough tokens left
 behind the place where the two first meet (positional filter).  Survivors are counted exactly.
-Every block at or above the threshold is found; it gets the labels of the templates it contains most of.
+Every block and template at or above the threshold is found, and each gives its label.  Licenses are worded alike, so
+one look-alike is left out: a template all of whose words found in the block are words of another one found there,
+of which the block contains more.
 
 Defined results: a null text counts as empty: no words, empty labels, score 0; repeated rows and
 null ids are scanned row by row; an empty table gives an empty result.  Only the id and text
@@ -40,7 +43,6 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 CONTAINMENT = 0.8
-SPAN = 4
 
 
 def lower_ascii(text: Column) -> Column:
@@ -67,23 +69,25 @@ def phrase_test(text: Column, phrases) -> Column:
 
 
 def template_table(spark, templates=TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
-    """(template, label, tokens, need): distinct tokens, and how many of them a block must contain."""
+    """(template, label, tokens, need, length): distinct tokens, how many of them a block must contain, words in all."""
     rows = spark.createDataFrame([(k, *t) for k, t in enumerate(templates)], "template int, label string, notice string")
-    tokens = rows.select("template", "label", F.array_distinct(words_of(lower_ascii(F.col("notice")))).alias("tokens")).where("size(tokens) > 0")
+    words = words_of(lower_ascii(F.col("notice")))
+    tokens = rows.select("template", "label", F.array_distinct(words).alias("tokens"), F.size(words).alias("length")).where("size(tokens) > 0")
     return tokens.withColumn("need", F.greatest(F.lit(1), F.ceil(F.size("tokens") * threshold - 1e-9).cast("int")))
 
 
-def blocks_of(docs: DataFrame, ordered: list[str]) -> DataFrame:
-    """(row, block, tokens): the template tokens of each line and of each run of ``SPAN`` lines, in global order."""
+def blocks_of(docs: DataFrame, ordered: list[str], length: int) -> DataFrame:
+    """(row, block, tokens): the template tokens of each line with the ``length`` - 1 words behind it, in global order."""
     known = F.array(*map(F.lit, ordered))  # array_intersect keeps the first array's order
-    lines = docs.select("row", F.split("lowered", "\n").alias("lines"))
-    runs = F.when(F.size("lines") > 1, F.expr(f"transform(lines, (x, i) -> array_join(slice(lines, i + 1, {SPAN}), ' '))")).otherwise(F.array().cast("array<string>"))
-    blocks = lines.select("row", F.posexplode(F.concat("lines", runs)).alias("block", "part"))
-    return blocks.select("row", "block", F.array_intersect(known, words_of(F.col("part"))).alias("tokens"))
+    lines = docs.select("row", F.filter(F.transform(F.split("lowered", "\n"), words_of), lambda w: F.size(w) > 0).alias("lines"))
+    heads = lines.select("row", "lines", F.transform("lines", lambda w: F.slice(w, 1, max(1, length - 1))).alias("heads"))
+    behind = lambda i: F.slice(F.flatten(F.slice("heads", i + 2, F.lit(length - 1))), 1, length - 1)
+    tokens = F.transform("lines", lambda w, i: F.array_intersect(known, F.concat(w, behind(i))))
+    return heads.select("row", F.posexplode(tokens).alias("block", "tokens"))
 
 
 def containment(blocks: DataFrame, templates: DataFrame, ordered: list[str]) -> DataFrame:
-    """(row, block, label, containment) of every block that contains enough of a template."""
+    """(row, block, label, containment, shared) of every block that contains enough of a template."""
     known = F.array(*map(F.lit, ordered))
     ranked = templates.withColumn("tokens", F.array_intersect(known, F.col("tokens"))).withColumn("m", F.size("tokens"))
     prefix = ranked.select("*", F.posexplode(F.slice("tokens", F.lit(1), F.col("m") - F.col("need") + 1)).alias("i", "token"))
@@ -93,13 +97,21 @@ def containment(blocks: DataFrame, templates: DataFrame, ordered: list[str]) ->
     shared = F.array_intersect("own", "tokens")
     # a block and a template may meet at several prefix tokens; they count at the first
     exact = met.where((F.col("token") == F.element_at(shared, 1)) & (F.size(shared) >= F.col("need")))
-    return exact.select("row", "block", "label", (F.size(shared) / F.col("m")).alias("containment"))
+    return exact.select("row", "block", "label", (F.size(shared) / F.col("m")).alias("containment"), shared.alias("shared"))
+
+
+def told_apart(found: DataFrame) -> DataFrame:
+    """(row, label, containment) without look-alikes; a block is met by no more rows than there are templates."""
+    blocks = found.groupBy("row", "block").agg(F.collect_list(F.struct("containment", "label", "shared")).alias("met"))
+    within = lambda x, y: (y["containment"] > x["containment"]) & (F.size(F.array_except(x["shared"], y["shared"])) == 0)
+    own = F.filter("met", lambda x: ~F.exists("met", lambda y: within(x, y)))
+    return blocks.select("row", F.explode(own).alias("x")).select("row", "x.label", "x.containment")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
     """Words, phrase places, labels and score of every row of ``docs``."""
     rules = template_table(docs.sparkSession, templates, threshold)
-    needs = rules.select("tokens", "need").collect()  # the templates given
+    needs = rules.select("tokens", "need", "length").collect()  # the templates given
     vocabulary = sorted({t for r in needs for t in r.tokens})
     known = F.array(*map(F.lit, vocabulary)).cast("array<string>")
     lowered = docs.select(F.col(id_col).alias("id"), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("lowered"))
@@ -114,11 +126,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         "license-words")
     counts = {r.token: r.n for r in table.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # one row per template token
     ordered = sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
-    found = containment(blocks_of(table.where("may_match"), ordered), rules, ordered)
-    # licenses are worded alike: a block is labelled by the templates it contains most of; a text has few labels
-    best = found.groupBy("row", "block").agg(F.max(F.struct("containment")).alias("best"), F.collect_set(F.struct("containment", "label")).alias("all"))
-    labels = best.select("row", F.col("best.containment").alias("containment"), F.explode(F.filter("all", lambda x: x["containment"] == F.col("best.containment"))).alias("x"))
-    by_row = labels.groupBy("row").agg(F.collect_set("x.label").alias("method"), F.max("containment").alias("containment"))
+    found = containment(blocks_of(table.where("may_match"), ordered, max((r.length for r in needs), default=1)), rules, ordered)
+    labels = told_apart(found)
+    by_row = labels.groupBy("row").agg(F.collect_set("label").alias("method"), F.max("containment").alias("containment"))
     cut = table.where("has_phrase").select("row", words_of(F.col("lowered")).alias("words"))
     base = cut.select("row", *(places("words", p.split()).alias(f"at{k}") for k, (p, _) in enumerate(phrases)))
     everywhere = F.concat(*(F.col(f"at{k}") for k in range(len(phrases))))

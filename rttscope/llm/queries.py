@@ -116,7 +116,7 @@ select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_cha
 """
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_NOTICES = ", ".join(f"({k}, '{label}', list_distinct(string_split('{notice}', ' ')))" for k, (label, notice) in enumerate(licenses.TEMPLATES))
+_NOTICES = ", ".join(f"({k}, '{label}', {len(notice.split())}, list_distinct(string_split('{notice}', ' ')))" for k, (label, notice) in enumerate(licenses.TEMPLATES))
 _STARTS = " || ".join(
     "[i for i in range(1, len(w) + 1) if " + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + "]" for p, _ in licenses.PHRASES)
 _BASE = ", ".join(
@@ -126,17 +126,17 @@ with low as (select doc_id, row_number() over () as r, translate(coalesce(text,
 words as (select doc_id, r, regexp_extract_all(t, '{_WORD}') as w from low),
 base as (
   select doc_id, r, len(w) as n_words, {_STARTS} as starts, [x for x in [{_BASE}] if x is not null] as labels from words),
-lines as (select r, string_split(t, chr(10)) as l from low),
-blocks as (
-  select distinct r, b from (
-    select r, unnest(l) as b from lines union all
-    select r, unnest([array_to_string(l[i:i + {licenses.SPAN - 1}], ' ') for i in range(1, len(l) + 1)]) from lines where len(l) > 1)),
-sets as (select r, list_distinct(regexp_extract_all(b, '{_WORD}')) as b from blocks),
-notices(k, label, m) as (values {_NOTICES}),
+lines as (
+  select r, words, lens, unnest(range(1, len(lens) + 1)) as i from (
+    select r, w as words, list_filter([len(regexp_extract_all(l, '{_WORD}')) for l in string_split(t, chr(10))], lambda n: n > 0) as lens from low join words using (r))),
+notices(k, label, n, m) as (values {_NOTICES}),
+sets as (
+  select r, i, list_distinct(words[coalesce(list_sum(lens[1:i - 1]), 0)::bigint + 1 : list_sum(lens[1:i])::bigint + (select max(n) from notices) - 1]) as b from lines),
 met as (
-  select r, label, len(list_intersect(m, b)) / len(m) as part, max(len(list_intersect(m, b)) / len(m)) over (partition by r, sets.b) as most from sets join notices on len(b) >= {licenses.CONTAINMENT} * len(m) - 1e-9
+  select r, i, label, list_intersect(m, b) as shared, len(list_intersect(m, b)) / len(m) as part from sets join notices on len(b) >= {licenses.CONTAINMENT} * len(m) - 1e-9
   where len(list_intersect(m, b)) >= {licenses.CONTAINMENT} * len(m) - 1e-9),
-method as (select r, list(distinct label) as labels, max(part) as part from met where part = most group by r)
+apart as (select * from met x where not exists (from met y where y.r = x.r and y.i = x.i and y.part > x.part and list_has_all(y.shared, x.shared))),
+method as (select r, list(distinct label) as labels, max(part) as part from apart group by r)
 select doc_id, n_words, len(starts) as n_base, list_min(starts) - 1 as first_word, list_max(starts) - 1 as last_word,
   array_to_string(list_sort(list_distinct(base.labels)), ',') as base_labels,
   array_to_string(list_sort(list_distinct(base.labels || coalesce(method.labels, []))), ',') as labels,

@@ -169,3 +169,17 @@ def test_license_places(odd, none):
     labels = {r.doc_id: r.labels for r in got}
     assert labels[10] == "cc-by,cc-by-nc,gpl,reserved" and labels[11] == "mit" and labels[0] == ""
     assert licenses.scan(none).count() == 0
+
+
+def test_every_license_of_a_line_is_found(spark):
+    bsd = next(notice for label, notice in licenses.TEMPLATES if label == "bsd").split()
+    lines = lambda n, end: end.join(" ".join(bsd[k : k + n]) for k in range(0, len(bsd), n))
+    texts = {
+        1: ("Released under the MIT License. Licensed under the Apache License, Version 2.", "apache-2.0,mit"),
+        2: (lines(4, "\n"), "bsd"), 3: (lines(8, "\n\n \t\n"), "bsd"), 4: (lines(1, "\n"), "bsd"),
+        5: ("other words before the notice in its first line; " * 3 + lines(3, "\n* "), "bsd"),
+        6: ("licensed under cc by nc 4.0", "cc-by,cc-by-nc"), 7: ("licensed under cc by sa 4.0 and licensed under cc by nc 4.0", "cc-by,cc-by-nc,cc-by-sa"),
+        8: ("licensed under\n\nthe apache\nlicense", ""), 9: (" ".join(bsd[:10]) + " " + "x " * 40 + " ".join(bsd[10:]), "bsd"), 10: (" ".join(bsd[:10]) + "\n" + "x " * 40 + "\n" + " ".join(bsd[10:]), ""),
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")).collect()}
+    assert got == {i: labels for i, (_, labels) in texts.items()}
