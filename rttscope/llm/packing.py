@@ -18,6 +18,7 @@ import zlib
 from collections import defaultdict
 from functools import lru_cache
 from itertools import chain
+from unicodedata import ucd_3_2_0
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -87,6 +88,14 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def letters(text: str) -> bool:
+    """Whether all are letters, in Unicode's first versions too: the tokenizer may know no later ones.
+
+    Lower-cased text is asked for: a dotted capital I becomes an i and a mark, which joins the marks behind it.
+    """
+    return text.isascii() and text.isalpha() or all(ucd_3_2_0.category(c)[0] == "L" for c in text)
+
+
 class Encoder:
     """Texts to little-endian 32-bit ids; parts between blanks and line breaks are encoded once and remembered.
 
@@ -113,7 +122,7 @@ class Encoder:
         cut = {}
         for p in new:
             m = self.SPLIT.fullmatch(p)
-            cut[p] = (m[1], m[2].lower() if max(m[2]) < LATIN else m[2], m[3]) if m and m[2].isalpha() else (p,)
+            cut[p] = (m[1], m[2].lower() if max(m[2]) < LATIN else m[2], m[3]) if m and letters(m[2].lower()) else (p,)
         unknown = {x for xs in cut.values() for x in xs if x not in self.pieces}
         # lower-case Latin letters are one word that normalisation leaves alone: the model alone encodes it
         plain = [x for x in unknown if x.isalpha() and max(x) < LATIN and x.islower()]

@@ -34,8 +34,9 @@ def test_containment_of_odd_rows(spark, odd, none):
     assert {(r.doc_id, r.item_id, r.found) for r in got} == want
     assert sum(r.item_id == 1 and r.doc_id == 50 for r in got) == 2  # the item is there twice
     assert contamination.search(none, table).count() == 0 and contamination.search(odd, table.where("false")).count() == 0
-    kept = contamination.clean(docs.withColumn("bad_id", F.lit(0)).drop("bad_id"), table)
-    assert kept.columns == docs.columns and {50, 51} .isdisjoint({r.doc_id for r in kept.collect()})
+    clash = docs.selectExpr("*", "0 bad_id", "1 bad_hash", "2 k", "3 t")
+    kept = contamination.clean(clash, table)
+    assert kept.columns == clash.columns and {50, 51} .isdisjoint({r.doc_id for r in kept.collect()})
 
 
 def test_sketch_loses_no_item():
@@ -103,6 +104,24 @@ def test_packing_round_trip(spark, sf, odd, none):
     assert packing.pack(none, queries.tokenizer_path()).count() == 0
 
 
+def test_ids_of_every_script(spark):
+    """Random parts of letters of all scripts, marks and breaks against the tokenizer itself."""
+    rng = np.random.default_rng(11)
+    letters = [chr(c) for c in range(0x41, 0x1E900) if chr(c).isalpha()]
+    marks = list("!\"#$%&()*+,-./:;=>?@[]^_`{|}~'<") + ["\u0307", "\u0301", "\u0308", "\u200d", "\u00b7", "1", "\u0663"]
+    breaks = [" ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\u0085"]
+    parts = []
+    for _ in range(6000):
+        kind = rng.integers(4)
+        pool = ["\u0130", "i", "S", "\u03a3", "\u1e9e", "\u01c5", "\ufb01"] if kind == 0 else [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()] if kind == 1 else letters
+        word = "".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 5)))
+        side = lambda: "".join(marks[k] for k in rng.integers(0, len(marks), rng.integers(0, 3)))
+        parts.append(side() + word + side() + breaks[rng.integers(len(breaks))])
+    texts = [(k, "".join(parts[k * 3 : k * 3 + 3])) for k in range(2000)] + [(9001, "\u0130> \u0130_ x\u0130! \u0130\u0130[")]
+    table = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 piece", "2 start", "3 unit", "4 sequence_id", "5 offset")
+    packed_right(packing.pack(table, queries.tokenizer_path()).collect(), texts)
+
+
 def test_bins_place_in_the_fullest():
     bins = packing.Bins(100, 2, 0)
     assert [bins.place(s) for s in (50, 60, 40, 30)] == [(0, 0), (1, 0), (1, 60), (0, 50)]
