@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rttscope.llm.text import SPACE, map_texts, numbered
+from rttscope.llm.text import SPACE, free_names, map_texts, numbered
 from rttscope.session import materialise
 
 SYMBOLS = b"#*$%&|<>"
@@ -213,5 +213,6 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     """
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     verdicts = judge(docs.select(F.struct(F.col(id_col).alias("i"), h.alias("h")).alias("rule_key"), F.col(text_col).alias("rule_text")), labels, "rule_key", "rule_text", "rule_key.i", id_col)
-    rejected = verdicts.where(~F.col("kept")).select("rule_key").distinct()
-    return docs.join(rejected, F.col(id_col).eqNullSafe(F.col("rule_key.i")) & (h == F.col("rule_key.h")), "left_anti")
+    i, key = free_names(docs.columns, "rejected_id", "rejected_hash")
+    rejected = verdicts.where(~F.col("kept")).select(F.col("rule_key.i").alias(i), F.col("rule_key.h").alias(key)).distinct()
+    return docs.join(rejected, F.col(id_col).eqNullSafe(F.col(i)) & (h == F.col(key)), "left_anti")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rttscope.llm.text import map_texts
+from rttscope.llm.text import free_names, map_texts
 from rttscope.session import materialise
 
 WORD = re.compile(r"[^\W_]+")
@@ -152,6 +152,7 @@ def search(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold:
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that contain an item; a null id is told apart by its text."""
-    found = search(docs.select(F.struct(id_col, F.xxhash64(text_col).alias("h")).alias("k"), F.col(text_col).alias("t")), items, id_col="k", text_col="t", **options)
-    bad = found.select(F.col(f"k.{id_col}").alias("bad_id"), F.col("k.h").alias("bad_hash")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")) & (F.xxhash64(text_col) == F.col("bad_hash")), "left_anti")
+    bad_id, bad_hash = free_names(docs.columns, "bad_id", "bad_hash")
+    found = search(docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")).alias("k"), F.col(text_col).alias("t")), items, id_col="k", text_col="t", **options)
+    bad = found.select(F.col("k.i").alias(bad_id), F.col("k.h").alias(bad_hash)).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(bad_id)) & (F.xxhash64(text_col) == F.col(bad_hash)), "left_anti")

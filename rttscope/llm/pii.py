@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rttscope.llm.contamination import bit_filter
-from rttscope.llm.text import map_texts
+from rttscope.llm.text import free_names, map_texts
 from rttscope.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -238,9 +238,10 @@ def rewritten(text: str, spans: list) -> str:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans of every text replaced; a null text stays null."""
-    found = find(docs, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["id", "h"]).select(F.col("id").alias("pii_id"), F.col("h").alias("pii_h"), F.col("spans").alias("pii_spans"))
+    names = free_names(docs.columns, "pii_id", "pii_h", "pii_spans")
+    found = find(docs, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["id", "h"]).select(*(F.col(c).alias(n) for c, n in zip(("id", "h", "spans"), names, strict=True)))
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("pii_id")) & (h == F.col("pii_h")), "left")
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(names[0])) & (h == F.col(names[1])), "left")
 
     @F.pandas_udf("string")
     def replace(texts, spans):
@@ -248,6 +249,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         return pd.Series([rewritten(t, s) if s is not None and t is not None else t for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    return joined.withColumn(text_col, replace(F.col(text_col), F.col("pii_spans"))).drop("pii_id", "pii_h", "pii_spans")
+    return joined.withColumn(text_col, replace(F.col(text_col), F.col(names[2]))).drop(*names)
 
 

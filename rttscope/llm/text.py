@@ -39,6 +39,17 @@ def map_texts(docs: DataFrame, columns: list[str], fields: str, fn: Callable[[li
     return docs.select(*columns).mapInArrow(run, schema)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each prefixed until no column of ``taken`` has it (names differ in more than case)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def numbered(words: list) -> np.ndarray:
     """Each word's number by first appearance in the list."""
     ids: defaultdict = defaultdict(count().__next__)
