@@ -13,7 +13,7 @@ from rttscope import contract as K
 from rttscope.functions.label import psi_status, rtt_band, worst_status
 from rttscope.functions.privacy import seeded_order
 from rttscope.operators import metrics
-from rttscope.operators.quantiles import exact_quantiles, running_totals
+from rttscope.operators.quantiles import exact_quantiles, largest_gap
 from rttscope.session import materialise
 
 HOUR, WEEK = 3600, 7 * 86400
@@ -82,7 +82,7 @@ def proportions(counts: DataFrame, edges: DataFrame, keys: list[str], edge_keys=
     return rows.withColumn("proporcao", _floored(F.col("_m"), bins)).drop("_m")
 
 
-def reference(df: DataFrame, key: list[str], names=K.FEATURES, sample: int = K.REFERENCE_SAMPLE) -> DataFrame:
+def reference(df: DataFrame, key: list[str], names=K.FEATURES) -> DataFrame:
     """Per-feature summary of the reference rows (train and validation only)."""
     rows = df.where(F.col("split").isin("treino", "validacao"))
     long = unpivot(rows, [], names)
@@ -96,12 +96,6 @@ def reference(df: DataFrame, key: list[str], names=K.FEATURES, sample: int = K.R
     return rates.join(props.select("feature", "bordas", "proporcao"), "feature")
 
 
-def reference_sample(df: DataFrame, key: list[str], names=K.FEATURES, n: int = K.REFERENCE_SAMPLE) -> DataFrame:
-    """Seeded sample of reference rows, unpivoted, for the KS comparison."""
-    rows = df.where(F.col("split").isin("treino", "validacao"))
-    return unpivot(rows.orderBy(seeded_order(K.SEED, *key), *key).limit(n), [], names)
-
-
 # ---------------------------------------------------------------- comparisons
 def psi_value(seen: Column, expected: Column) -> Column:
     terms = F.zip_with(seen, expected, lambda s, e: (s - e) * F.ln(s / e))
@@ -151,17 +145,9 @@ def psi_between(ref_long: DataFrame, cur_long: DataFrame, keys: list[str]) -> Da
 def ks(ref_long: DataFrame, cur_long: DataFrame, keys: list[str]) -> DataFrame:
     """Two-sample KS statistic per key, with the asymptotic p-value.
 
-    Both samples become counts per value; running counts come from the two-level totals.
+    The gap comes from histograms by levels; only buckets that may hold the largest gap are put in order.
     """
-    mark = ref_long.select(*keys, "valor", F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
-        cur_long.select(*keys, "valor", F.lit(0).alias("_a"), F.lit(1).alias("_b"))
-    )
-    finite = mark.where(F.col("valor").isNotNull() & ~F.isnan("valor"))
-    counts = finite.groupBy(*keys, "valor").agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
-    cum = running_totals(counts, keys, "valor", ["a", "b"])
-    sizes = counts.groupBy(*keys).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    gap = F.abs(F.try_divide("cum_a", "na") - F.try_divide("cum_b", "nb"))
-    out = cum.join(sizes, keys).groupBy(*keys, "na", "nb").agg(F.max(gap).alias("ks"))
+    out = largest_gap(ref_long, cur_long, keys, "valor").withColumnRenamed("gap", "ks")
     lam = F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))) * F.col("ks")
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),

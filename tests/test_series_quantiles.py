@@ -54,13 +54,57 @@ def test_exact_quantiles_against_numpy(spark):
             assert r[name] == pytest.approx(float(np.quantile(groups[r.k], p)), abs=1e-9)
 
 
-def test_running_totals(spark):
-    rng = np.random.default_rng(3)
-    values = np.round(rng.normal(0, 100, 400), 3)
-    df = spark.createDataFrame([("k", float(v)) for v in values], "k string, v double")
-    counts = df.groupBy("k", "v").agg(F.count("*").alias("c"))
-    got = {r.v: r.cum_c for r in quantiles.running_totals(counts, ["k"], "v", ["c"]).collect()}
-    assert all(got[v] == int((values <= v).sum()) for v in values)
+@pytest.mark.parametrize("few", [5, 50, 100_000])
+def test_quantiles_by_levels(spark, few):
+    """Small limits force further levels: one bucket with many values, one value with many rows, tiny and huge values."""
+    rng = np.random.default_rng(few)
+    groups = {
+        "narrow": 1000 + rng.random(3000) * 1e-3, "one": np.full(500, 7.25), "heavy": np.r_[np.full(900, 3.0), 3 + rng.random(100) * 1e-9],
+        "wide": np.r_[rng.normal(0, 1, 200), 1e300, -1e300, 0.0, -0.0, 5e-324], "single": np.array([42.0]),
+    }
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("narrow", None), ("one", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    probs = {f"q{i}": i / 8 for i in range(9)}
+    got = {r.k: r for r in quantiles.exact_quantiles(df, ["k"], "v", probs, few).collect()}
+    assert got.keys() == groups.keys()
+    for k, v in groups.items():
+        assert got[k].n == len(v)
+        for name, p in probs.items():
+            assert got[k][name] == pytest.approx(float(np.quantile(v, p)), rel=1e-12, abs=1e-12)
+
+
+def test_quantiles_shuffle_no_values_outside_wanted_buckets(spark):
+    """A million different values in one first-level bucket: what is put in order stays below the limit."""
+    df = spark.range(1_000_000).select(F.lit("k").alias("k"), (1000 + F.col("id") * 1e-6).alias("v"))
+    assert df.select(quantiles.bucket_of(F.col("v")).alias("b")).distinct().count() == 1
+    seen = []
+    plain = quantiles._inside
+
+    def watched(rows, open_, on, *more):
+        seen.append(open_.agg(F.max("_c")).first()[0])
+        return plain(rows, open_, on, *more)
+
+    quantiles._inside = watched
+    try:
+        out = quantiles.exact_quantiles(df, ["k"], "v", {"m": 0.5, "p": 0.999}, 2000)
+    finally:
+        quantiles._inside = plain
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert seen == [1_000_000] and "quantile-rows" in text
+    r = out.first()
+    assert r.m == pytest.approx(1000.4999995, abs=1e-9) and r.p == pytest.approx(1000 + 0.999 * 999_999e-6, abs=1e-9)
+
+
+@pytest.mark.parametrize("few", [4, 64, 100_000])
+def test_largest_gap_by_levels(spark, few):
+    rng = np.random.default_rng(few)
+    pairs = {"a": (rng.normal(0, 1, 900), rng.normal(0.3, 1, 700)), "b": (5 + rng.random(400) * 1e-4, 5 + rng.random(300) ** 2 * 1e-4), "c": (np.full(50, 1.0), np.full(20, 1.0)), "d": (np.r_[np.zeros(90), 1.0], np.r_[np.zeros(10), np.ones(50)])}
+    frames = [spark.createDataFrame([(k, float(x)) for k, v in pairs.items() for x in v[i]] + [("a", None)], "k string, v double") for i in (0, 1)]
+    got = {r.k: r for r in quantiles.largest_gap(*frames, ["k"], "v", few).collect()}
+    for k, (x, y) in pairs.items():
+        grid = np.concatenate([x, y])
+        gap = np.abs(np.searchsorted(np.sort(x), grid, "right") / len(x) - np.searchsorted(np.sort(y), grid, "right") / len(y)).max()
+        assert (got[k].na, got[k].nb) == (len(x), len(y)) and got[k].gap == pytest.approx(gap, abs=1e-12)
 
 
 def _wide(spark, values):
