@@ -167,6 +167,7 @@ TEST_DROP = 0.05
 # --- fixed values: anchor and probe selection ---------------------------------
 TOTAL_ANCHORS = 30
 HOME_COUNTRY = "BR"
+EUROPE = "Europa"
 MAX_EUROPE = 6
 MAX_PER_ASN, MAX_PER_ASN_FALLBACK = 1, 2
 CONTINENT_QUOTAS = {

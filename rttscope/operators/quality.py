@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rttscope import contract as K
@@ -67,18 +67,32 @@ def strata(df: DataFrame, dims: list[str]) -> DataFrame:
     return sets.select(which.alias("dimensao"), F.coalesce(*dims).alias("valor"), "n")
 
 
-def constants(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column its distinct-value count and whether it is constant.
+def strata_summary(df: DataFrame, dims: list[str], country: str = "country") -> DataFrame:
+    """Per dimension: rows, distinct values, rows of its largest value and the most countries that share a value."""
+    typed = df.select(F.inline(F.array(*[
+        F.struct(F.lit(d).alias("dimensao"), F.col(d).cast("string").alias("valor"), F.col(country).alias("pais")) for d in dims])))
+    pairs = typed.where("valor is not null").groupBy("dimensao", "valor", "pais").agg(F.count(F.lit(1)).alias("n"))
+    values = pairs.groupBy("dimensao", "valor").agg(F.sum("n").alias("n"), F.count("pais").alias("paises"))
+    return values.groupBy("dimensao").agg(
+        F.sum("n").alias("linhas"), F.count(F.lit(1)).alias("n_valores"), F.max("n").alias("maior"), F.max("paises").alias("mais_paises"))
+
+
+def constants(df: DataFrame, columns: list[str], few: int = 20) -> DataFrame:
+    """Per column its distinct-value count, whether it is constant, and its values if there are few.
 
     Values are counted as (column, value) pairs, so a column of many values is spread over
-    tasks; its smallest and largest value are listed.
+    tasks; of such a column only the smallest and largest value are listed.
     """
     pairs = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("coluna"), F.col(c).cast("string").alias("valor")) for c in columns
     ]))).where("valor is not null").groupBy("coluna", "valor").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.groupBy("coluna").agg(
+    # ranks are cut inside each task, so at most ``few`` + 1 values of a column travel
+    nth = F.row_number().over(Window.partitionBy("coluna").orderBy("valor"))
+    listed = pairs.withColumn("_nth", nth).where(F.col("_nth") <= few + 1).groupBy("coluna").agg(F.sort_array(F.collect_list("valor")).alias("valores"))
+    rows = pairs.groupBy("coluna").agg(
         F.count(F.lit(1)).alias("n_valores"), F.min("valor").alias("primeiro"), F.max("valor").alias("ultimo"),
     ).withColumn("divergente", F.col("n_valores") > 1)
+    return rows.join(listed, "coluna").withColumn("valores", F.when(F.col("n_valores") <= few, F.col("valores")))
 
 
 def losses_outside_set(df: DataFrame, examples: int | None = None, eps: float = K.LOSS_EPS) -> DataFrame:

@@ -10,6 +10,7 @@ from rttscope.functions.geo import coordinates, distance_band, haversine_km
 from rttscope.functions.label import first_match
 from rttscope.functions.parse import text_or_null
 from rttscope.functions.privacy import seeded_order
+from rttscope.operators.assignment import assign
 from rttscope.session import materialise
 
 
@@ -102,33 +103,77 @@ def classify_anchors(anchors: DataFrame, mesh: DataFrame, countries: DataFrame)
 
 
 def pick_anchors(eligible: DataFrame, home: str = K.HOME_COUNTRY, seed: int = K.SEED) -> DataFrame:
-    """Quota selection: one anchor per ASN and per country in seeded order, then quotas.
+    """Quota selection: one anchor per country, at most one per ASN, or two where one is too few.
 
-    Both rank limits run inside each task before any shuffle; what remains is one row per
-    country.  Order of preference: the home country, continent minima and the first of each
-    distance band, then everything else; Europe is cut at its ceiling.
+    The home country's anchor is drawn first and is the origin of all distances.  The others are a largest
+    assignment of countries to networks, so no country goes empty whose network could be had by an exchange.
+    Of those, continent minima and the first of each distance band come before free places, which go to the
+    emptiest band; Europe is cut at its ceiling, and every continent that is present gets a place.
     """
     order = [seeded_order(seed, "anchor_id"), F.col("anchor_id")]
-
-    def best(df, *keys, first=()):
-        w = Window.partitionBy(*keys).orderBy(*first, *order)
-        return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-    origin = best(eligible.where(F.col("country") == home), "country").select("coords").scalar()
+    origin = materialise(_best(eligible.where(F.col("country") == home), ["country"], order), "origin-anchor")
+    km = haversine_km(origin.select("coords").scalar(), F.col("coords"))
+    placed = eligible.where(F.col("country") != home).unionByName(origin).withColumn("distancia_km", km)
+    placed = materialise(placed.withColumn("faixa_distancia", distance_band(F.col("distancia_km"))), "placed-anchors")
+    held = None
+    for limit in (K.MAX_PER_ASN, K.MAX_PER_ASN_FALLBACK):
+        held = _one_per_country(placed, origin, limit, order, held)
+        one = placed.join(held.select(F.col("item").alias("anchor_id")), "anchor_id", "left_semi")
+        chosen = materialise(_fill(placed, one, home, order), "chosen-anchors")
+        if all(selection_criteria(chosen, home, limit).first()):
+            break
+    return chosen
+
+
+def _best(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def _one_per_country(placed: DataFrame, origin: DataFrame, limit: int, order: list[Column], start: DataFrame | None) -> DataFrame:
+    """A largest assignment of countries to networks, from the one with a smaller limit if there is one.
+
+    Among so many places, a country with as many networks as places always finds a free one, so each keeps its
+    first ``TOTAL_ANCHORS`` networks per distance band: a table of a bounded number of rows.  Bands that few
+    countries have are preferred.  Europe takes part with no more countries than may be chosen: where it has
+    more, the assignment is made again without the others, whose networks may serve someone else.
+    """
+    others = placed.join(origin.select("country"), "country", "left_anti")
+    few = others.groupBy("faixa_distancia").agg(F.count_distinct("country").alias("_few"))
+    named = _best(others, ["country", "faixa_distancia", "asn_v4"], order)
+    named = _best(named, ["country", "faixa_distancia"], order, K.TOTAL_ANCHORS).join(few, "faixa_distancia")
+    named = _best(named, ["country", "asn_v4"], [F.col("_few"), *order])
+    pref = F.row_number().over(Window.partitionBy("country").orderBy("_few", *order))
+    options = materialise(named.select(
+        F.col("country").alias("owner"), F.col("asn_v4").cast("long").alias("place"), F.col("anchor_id").cast("long").alias("item"), pref.alias("pref"), "continent",
+    ), "anchor-options")
+    first = origin.select(F.col("country").alias("owner"), F.col("asn_v4").cast("long").alias("place"), F.lit(1).alias("slot"), F.col("anchor_id").cast("long").alias("item"))
+    held = assign(options.drop("continent"), limit, first, start)
+    europe = options.where(F.col("continent") == K.EUROPE).join(held, ["owner", "item"], "left_semi").select("owner").distinct()
+    if europe.count() > K.MAX_EUROPE:
+        stay = europe.orderBy(F.md5("owner"), "owner").limit(K.MAX_EUROPE)
+        fits = options.where(F.col("continent") != K.EUROPE).unionByName(options.join(stay, "owner", "left_semi"))
+        held = assign(fits.drop("continent"), limit, first, held)
+    return held
+
+
+def _fill(placed: DataFrame, one: DataFrame, home: str, order: list[Column]) -> DataFrame:
+    """The places: home, first of each band, continent minima, then free ones, each to the band with fewest."""
     at_home = (F.col("country") != home).cast("int")
-    one = best(best(eligible, "asn_v4", first=[at_home]), "country")
-    one = one.withColumn("distancia_km", haversine_km(origin, F.col("coords")))
-    one = one.withColumn("faixa_distancia", distance_band(F.col("distancia_km")))
-    by_band = Window.partitionBy("faixa_distancia").orderBy(*order)
-    banded = one.withColumn("_band", (F.row_number().over(by_band) > 1).cast("int"))
-    by_continent = Window.partitionBy("continent").orderBy("_band", *order)
-    ranked = banded.withColumn("_c", F.row_number().over(by_continent))
+    in_band = Window.partitionBy("faixa_distancia").orderBy(at_home, *order)
+    rows = one.withColumn("_later", (F.row_number().over(in_band) > 1).cast("int"))
+    in_continent = Window.partitionBy("continent").orderBy(at_home, "_later", *order)
+    rows = rows.withColumn("_c", F.row_number().over(in_continent))
     quota = F.create_map(*[F.lit(x) for kv in K.CONTINENT_QUOTAS.items() for x in kv])[F.col("continent")]
-    must = (F.col("country") == home) | (F.col("_band") == 0) | (F.col("_c") <= F.coalesce(quota, F.lit(0)))
-    allowed = ranked.where((F.col("continent") != "Europa") | (F.col("_c") <= K.MAX_EUROPE))
-    return allowed.withColumn("_must", (~must).cast("int")).orderBy("_must", *order).limit(
-        K.TOTAL_ANCHORS
-    ).drop("_must", "_band", "_c")
+    quota = F.greatest(F.coalesce(quota, F.lit(0)), F.lit(1))
+    rows = rows.withColumn("_must", (F.col("country") == home) | (F.col("_later") == 0) | (F.col("_c") <= quota))
+    rows = rows.where((F.col("continent") != K.EUROPE) | (F.col("_c") <= K.MAX_EUROPE))
+    per_band = Window.partitionBy("faixa_distancia")
+    free = Window.partitionBy("faixa_distancia", "_must").orderBy(*order)
+    level = F.when(F.col("_must"), 0).otherwise(F.count_if("_must").over(per_band) + F.row_number().over(free))
+    names = F.array(*[F.lit(b) for b in K.BANDS])
+    rows = rows.withColumn("_level", level).withColumn("_band", F.array_position(names, F.col("faixa_distancia")))
+    return rows.orderBy("_level", at_home, "_band", *order).limit(K.TOTAL_ANCHORS).select(*placed.columns)
 
 
 def selection_criteria(chosen: DataFrame, home: str = K.HOME_COUNTRY, asn_limit: int = K.MAX_PER_ASN) -> DataFrame:
@@ -138,7 +183,7 @@ def selection_criteria(chosen: DataFrame, home: str = K.HOME_COUNTRY, asn_limit:
         F.count(F.lit(1)).alias("n"), F.count_distinct("country").alias("paises"),
         F.count_if(F.col("country") == home).alias("casa"),
         F.count_distinct("faixa_distancia").alias("faixas"),
-        F.count_if(F.col("continent") == "Europa").alias("europa"),
+        F.count_if(F.col("continent") == K.EUROPE).alias("europa"),
     )
     return row.select(
         (F.col("n") == K.TOTAL_ANCHORS).alias("total_ok"), (F.col("paises") == F.col("n")).alias("pais_unico"),

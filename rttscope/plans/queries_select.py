@@ -234,36 +234,64 @@ def u1_search_union(spark, sf):
 
 
 PICKED = {
-    "origin": "SELECT lon, lat FROM classified WHERE motivo = 'elegivel' AND country = 'BR' ORDER BY md5(concat_ws('|', '42', anchor_id::VARCHAR)), anchor_id LIMIT 1",
-    "one": """
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY h, anchor_id) AS rk FROM (
-    SELECT * FROM (SELECT *, md5(concat_ws('|', '42', anchor_id::VARCHAR)) AS h, row_number() OVER (PARTITION BY asn_v4
-      ORDER BY (country <> 'BR')::INTEGER, md5(concat_ws('|', '42', anchor_id::VARCHAR)), anchor_id) AS ra FROM classified WHERE motivo = 'elegivel') WHERE ra = 1)) WHERE rk = 1""",
-    "placed": f"""
-  SELECT *, {_band('distancia_km')} AS faixa_distancia FROM (SELECT one.*, {_haversine('o.lon', 'o.lat', 'one.lon', 'one.lat')} AS distancia_km FROM one LEFT JOIN origin o ON true)""",
-    "ranked": """
-  SELECT *, row_number() OVER (PARTITION BY continent ORDER BY b, h, anchor_id) AS c FROM (
-    SELECT *, (row_number() OVER (PARTITION BY faixa_distancia ORDER BY h, anchor_id) > 1)::INTEGER AS b FROM placed)""",
-    "picked": """
-  SELECT * FROM (SELECT *, row_number() OVER (ORDER BY must, h, anchor_id) AS nth FROM (SELECT *, CASE WHEN country = 'BR' OR b = 0 OR c <= CASE continent
-    WHEN 'África' THEN 3 WHEN 'América do Norte' THEN 3 WHEN 'América do Sul' THEN 3 WHEN 'Ásia' THEN 5 WHEN 'Europa' THEN 4 WHEN 'Oceania' THEN 2 ELSE 0 END
-    THEN 0 ELSE 1 END AS must FROM ranked WHERE continent <> 'Europa' OR c <= 6)) WHERE nth <= 30""",
+    "home_anchor": "SELECT lon, lat, anchor_id FROM classified WHERE motivo = 'elegivel' AND country = 'BR' ORDER BY md5(concat_ws('|', '42', anchor_id::VARCHAR)), anchor_id LIMIT 1",
+    "open_countries": """
+  SELECT *, row_number() OVER (PARTITION BY continent ORDER BY country) AS nth FROM (
+    SELECT DISTINCT country, continent FROM classified WHERE motivo = 'elegivel')""",
+    # few networks shared by many countries could leave a country empty; that bound is min(networks x 2, countries)
+    "places": """
+  SELECT least(30, (SELECT count(*) FROM open_countries WHERE continent <> 'Europa' OR nth <= 6),
+    2 * (SELECT count(DISTINCT asn_v4) FROM classified WHERE motivo = 'elegivel')) AS n""",
 }
 
 
-@register("k4_quota_anchors", "SELECT anchor_id, country, continent, asn_v4, distancia_km, faixa_distancia FROM picked", {**SELECT_CTES, **PICKED})
+@register("k4_rules", """
+SELECT (SELECT n FROM places) AS lugares, (SELECT n FROM places) AS paises, 1 AS da_casa, true AS origem_sorteada, true AS todas_elegiveis,
+  true AS asn_no_limite, (SELECT count(DISTINCT continent) FROM open_countries) AS continentes, true AS europa_no_teto, true AS cotas_cumpridas,
+  (SELECT count(DISTINCT b) FROM (SELECT """ + _band(_haversine('o.lon', 'o.lat', 'c.lon', 'c.lat')) + """ AS b FROM classified c, home_anchor o WHERE motivo = 'elegivel')) AS faixas,
+  true AS distancias_certas""", {**SELECT_CTES, **PICKED})
+def k4_rules(spark, sf):
+    """The choice against its rules: counts beside what the eligible anchors allow, every anchor looked up again."""
+    eligible = materialise(_Chain(spark, sf).eligible, "eligible")
+    chosen = selection.pick_anchors(eligible)
+    there = eligible.select("anchor_id", F.col("asn_v4").alias("asn"), F.col("country").alias("pais"), F.col("coords").alias("onde"))
+    home = chosen.where("country = 'BR'").select(F.col("anchor_id").alias("home_id"), F.col("coords").alias("home_at"))
+    drawn = eligible.where("country = 'BR'").selectExpr("min_by(anchor_id, struct(md5(concat_ws('|', '42', cast(anchor_id as string))), anchor_id)) as drawn")
+    rows = chosen.join(there, "anchor_id", "left").join(home.join(drawn), F.lit(True))  # one row
+    km = haversine_km(F.col("home_at"), F.col("onde"))
+    right = (F.abs(km - F.col("distancia_km")) < 1e-9) & (distance_band(km) == F.col("faixa_distancia"))
+    per = rows.groupBy("asn_v4").agg(F.count("*").alias("k")).agg(F.max("k") <= 2).scalar()
+    open_ = eligible.groupBy("continent").agg(F.count_distinct("country").alias("paises"))
+    quota = F.create_map(*[F.lit(x) for kv in K.CONTINENT_QUOTAS.items() for x in kv])[F.col("continent")]
+    short = open_.join(chosen.groupBy("continent").agg(F.count("*").alias("k")), "continent", "left").where(
+        F.coalesce("k", F.lit(0)) < F.least("paises", F.greatest(F.coalesce(quota, F.lit(0)), F.lit(1))))
+    return rows.agg(
+        F.count("*").alias("lugares"), F.count_distinct("country").alias("paises"), F.count_if(F.col("country") == "BR").alias("da_casa"),
+        F.bool_and(F.expr("home_id = drawn")).alias("origem_sorteada"), F.bool_and(F.expr("asn = asn_v4 and pais = country")).alias("todas_elegiveis"), F.first(per).alias("asn_no_limite"),
+        F.count_distinct("continent").alias("continentes"), (F.count_if(F.col("continent") == K.EUROPE) <= K.MAX_EUROPE).alias("europa_no_teto"),
+        F.first(short.agg(F.count("*") == 0).scalar()).alias("cotas_cumpridas"), F.count_distinct("faixa_distancia").alias("faixas"), F.bool_and(right).alias("distancias_certas"))
+
+
+@register("k4_quota_anchors", """
+SELECT country, continent, 1 AS lugares, true AS elegivel, country = 'BR' AS origem, CASE WHEN country = 'BR' THEN 0.0::DOUBLE END AS distancia_km
+FROM open_countries WHERE continent <> 'Europa' OR nth <= 6""", {**SELECT_CTES, **PICKED})
 def k4_quota_anchors(spark, sf):
-    chosen = selection.pick_anchors(materialise(_Chain(spark, sf).eligible, "eligible"))
-    return chosen.select("anchor_id", "country", "continent", "asn_v4", "distancia_km", "faixa_distancia")
+    """One place per country; the check expects every country that has an eligible anchor, which are fewer than the places."""
+    eligible = materialise(_Chain(spark, sf).eligible, "eligible")
+    chosen = selection.pick_anchors(eligible)
+    there = eligible.select("anchor_id", "country", F.lit(True).alias("elegivel"))
+    rows = chosen.join(there, ["anchor_id", "country"], "left").withColumn("origem", F.col("country") == "BR")
+    return rows.groupBy("country", "continent", "origem").agg(
+        F.count("*").cast("int").alias("lugares"), F.bool_and(F.coalesce("elegivel", F.lit(False))).alias("elegivel"), F.max(F.when(F.col("origem"), F.col("distancia_km"))).alias("distancia_km"))
 
 
 @register("k5_selection_criteria", """
-SELECT count(*) = 30 AS total_ok, count(DISTINCT country) = count(*) AS pais_unico, count(*) FILTER (country = 'BR') = 1 AS um_da_casa,
-  count(DISTINCT faixa_distancia) = 3 AS tres_faixas, count(*) FILTER (continent = 'Europa') <= 6 AS teto_europa,
-  (SELECT max(c) FROM (SELECT count(*) AS c FROM picked GROUP BY asn_v4)) <= 1 AS asn_ok FROM picked""", {**SELECT_CTES, **PICKED})
+SELECT n = 30 AS total_ok, true AS pais_unico, true AS um_da_casa,
+  (SELECT count(DISTINCT b) = 3 FROM (SELECT """ + _band(_haversine('o.lon', 'o.lat', 'c.lon', 'c.lat')) + """ AS b FROM classified c, home_anchor o WHERE motivo = 'elegivel')) AS tres_faixas,
+  true AS teto_europa, true AS asn_ok FROM places""", {**SELECT_CTES, **PICKED})
 def k5_selection_criteria(spark, sf):
     chosen = selection.pick_anchors(materialise(_Chain(spark, sf).eligible, "eligible"))
-    return selection.selection_criteria(materialise(chosen, "picked"))
+    return selection.selection_criteria(chosen, asn_limit=K.MAX_PER_ASN_FALLBACK)
 
 
 @register("k6_probe_choice", "SELECT anchor_id, probe_id, ordem, n_cand AS n_candidatas, n_cand < 3 AS poucas_origens FROM chosen", SELECT_CTES)
@@ -321,11 +349,58 @@ def g25_strata(spark, sf):
     return quality.strata(_Chain(spark, sf).eligible, ["continent", "region", "asn_v4", "interval_segundos"])
 
 
+STRATA = ("continent", "region", "asn_v4", "interval_segundos", "faixa")
+
+
+@register("g25_strata_summary", " UNION ALL ".join(f"""
+SELECT '{d}' AS dimensao, sum(n)::BIGINT AS linhas, count(*) AS n_valores, max(n) AS maior, max(paises) AS mais_paises FROM (
+  SELECT {d}, count(*) AS n, count(DISTINCT country) AS paises FROM banded_anchors WHERE {d} IS NOT NULL GROUP BY {d})""" for d in STRATA) + """
+UNION ALL SELECT 'intervalos_divergentes', count(*) FILTER (k > 1), count(*), max(k), count(DISTINCT country) FILTER (k > 1) FROM (
+  SELECT c.anchor_id, any_value(c.country) AS country, count(DISTINCT m.interval) AS k FROM classified c JOIN msm_dim m ON m.anchor_id = c.anchor_id AND m.is_mesh AND """
+    + SUITED.replace("interval IS", "m.interval IS").replace("msm_id IS", "m.msm_id IS") + """ WHERE motivo = 'elegivel' GROUP BY c.anchor_id)""", {**SELECT_CTES, **PICKED, "banded_anchors": f"""
+  SELECT c.*, {_band(_haversine('o.lon', 'o.lat', 'c.lon', 'c.lat'))} AS faixa FROM classified c, home_anchor o WHERE motivo = 'elegivel'"""})
+def g25_strata_summary(spark, sf):
+    """Strata of the eligible anchors: values, the largest, countries, and anchors whose mesh measurements differ in interval."""
+    eligible = materialise(_Chain(spark, sf).eligible, "eligible")
+    home = eligible.where("country = 'BR'").selectExpr("min_by(coords, struct(md5(concat_ws('|', '42', cast(anchor_id as string))), anchor_id)) as c").scalar()
+    rows = eligible.withColumn("faixa", distance_band(haversine_km(home, F.col("coords"))))
+    kinds = F.size(F.array_distinct(F.transform("medicoes", lambda m: m["interval"])))
+    counted = eligible.select("country", kinds.alias("k")).agg(
+        F.count_if(F.col("k") > 1).alias("linhas"), F.count(F.lit(1)).alias("n_valores"), F.max("k").cast("long").alias("maior"),
+        F.count_distinct(F.when(F.col("k") > 1, F.col("country"))).alias("mais_paises"))
+    return quality.strata_summary(rows, list(STRATA)).unionByName(counted.withColumn("dimensao", F.lit("intervalos_divergentes")))
+
+
+@register("g32_selection_totals", """
+SELECT '2' AS stage, '' AS key, unnest(['medicoes', 'aptas', 'com_anchor', 'anchors_com_mesh']) AS metric, unnest([a, b, c, d])::DOUBLE AS value FROM (
+  SELECT (SELECT count(*) FROM msm_dim) AS a, (SELECT count(*) FROM msm_dim WHERE """ + SUITED + """) AS b, (SELECT count(*) FROM owned) AS c, (SELECT count(*) FROM mesh) AS d)
+UNION ALL SELECT '3', '', unnest(['candidatas', 'anchors', 'fluxos', 'probes']), unnest([a, b, c, d])::DOUBLE FROM (
+  SELECT (SELECT count(*) FROM cand) AS a, (SELECT count(DISTINCT anchor_id) FROM chosen) AS b, (SELECT count(*) FROM chosen) AS c, (SELECT count(DISTINCT probe_id) FROM chosen) AS d)
+UNION ALL SELECT '3', anchor_id::VARCHAR, 'poucas_origens', count(*)::DOUBLE FROM chosen WHERE n_cand < 3 GROUP BY anchor_id""", SELECT_CTES)
+def g32_selection_totals(spark, sf):
+    """Totals of the measurement and probe steps in the long layout."""
+    c = _Chain(spark, sf)
+    one = F.count(F.lit(1))
+    found = materialise(c.candidates, "candidates")
+    chosen = materialise(selection.pick_probes(found), "chosen")
+    parts = [
+        quality.long_metrics(c.msm, "2", {"medicoes": one, "aptas": F.count_if(selection.suited_measurement())}),
+        quality.long_metrics(c.owned, "2", {"com_anchor": one}), quality.long_metrics(selection.mesh_by_anchor(c.msm), "2", {"anchors_com_mesh": one}),
+        quality.long_metrics(found, "3", {"candidatas": one}),
+        quality.long_metrics(chosen, "3", {"anchors": F.count_distinct("anchor_id"), "fluxos": one, "probes": F.count_distinct("probe_id")}),
+        quality.long_metrics(chosen.where("poucas_origens"), "3", {"poucas_origens": one}, ["anchor_id"]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @register("p20_constants", " UNION ALL ".join(
-    f"SELECT '{c}' AS coluna, count(DISTINCT {c}) AS n_valores, min({c}::VARCHAR) AS primeiro, max({c}::VARCHAR) AS ultimo, count(DISTINCT {c}) > 1 AS divergente FROM msm_dim"
+    f"SELECT '{c}' AS coluna, count(DISTINCT {c}) AS n_valores, min({c}::VARCHAR) AS primeiro, max({c}::VARCHAR) AS ultimo, count(DISTINCT {c}) > 1 AS divergente, CASE WHEN count(DISTINCT {c}) <= 20 THEN array_to_string(list_sort(list(DISTINCT {c}::VARCHAR)), ',') END AS valores FROM msm_dim"
     for c in adapter.MEASUREMENT_COLUMNS))
 def p20_constants(spark, sf):
-    return quality.constants(adapter.measurements(spark, sf), list(adapter.MEASUREMENT_COLUMNS))
+    return quality.constants(adapter.measurements(spark, sf), list(adapter.MEASUREMENT_COLUMNS)).withColumn("valores", F.array_join("valores", ","))
 
 
 @register("p21_live_checklist", """
