@@ -12,12 +12,20 @@ from rttscope.plans.stages import Stages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-_STAGES: dict[tuple[str, str], Stages] = {}
+_STAGES: dict[tuple, Stages] = {}
+
+
+def folder_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """The application and the files of a folder: name, size and time, so changed files are read anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    held = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+    return (spark.sparkContext.applicationId, sf_dir, *held)
 
 
 def stages(spark: SparkSession, sf_dir: str) -> Stages:
-    """The stage tables of one input folder, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The stage tables of one input folder, written once per application and state of the folder."""
+    key = folder_key(spark, sf_dir)
     if key not in _STAGES:
         _STAGES[key] = Stages.of(spark, sf_dir)
     return _STAGES[key]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rttscope import contract as K
 from rttscope import schemas
-from rttscope.operators import collection
+from rttscope.operators import collection, quality
 from rttscope.plans.catalog import register, rounded, stages
 from rttscope.plans.queries_drift import Drift
 from rttscope.plans.queries_prod import ALL_CTES, ITEM_CTES, PROD_CTES, all_alerts, collection_log, items, scored_rows
@@ -50,16 +50,29 @@ def s4_replay_scan(spark, sf):
     return rows.select("event_id", "timestamp")
 
 
-@register("s5_result_documents", "SELECT msm_id AS msm_arquivo, count(*) AS n, sum(rcvd)::BIGINT AS recebidos FROM pings GROUP BY msm_id")
+@register("s2_text_blanks", """
+SELECT unnest(['id_fluxo', 'probe_ip', 'ttl', 'type']) AS coluna, unnest([0, count(*) FILTER (event_id % 3 = 0), count(*) FILTER (ttl IS NULL), 0])::BIGINT AS n FROM tagged""")
+def s2_text_blanks(spark, sf):
+    """The raw table read as text: blanks stay blank, and a column that is not there is refused."""
+    path = work_path(spark, "raw-text")
+    sinks.write_csv(raw_table(spark, sf), path, list(K.RAW_COLUMNS))
+    names = ["id_fluxo", "probe_ip", "ttl", "type"]
+    rows = readers.require_columns(readers.read_csv(spark, path, schemas.RAW_TEXT), names, "raw table")
+    blank = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)).alias(c) for c in names]
+    return quality.nulls_per_column(rows.select(*blank), names)
+
+
+@register("s5_result_documents", "SELECT msm_id AS msm_arquivo, count(*) AS n, sum(rcvd)::BIGINT AS recebidos, count(*) FILTER (ttl IS NULL) AS sem_ttl FROM pings GROUP BY msm_id")
 def s5_result_documents(spark, sf):
+    """One JSON array per measurement and day, as offline collections store them, read through the reader."""
     path = work_path(spark, "documents")
-    rows = adapter.pings(spark, sf).select(
-        F.col("msm_id"), "timestamp", F.col("probe_id").alias("prb_id"), "sent", "rcvd", "min", "max", "avg", "ttl", "result")
-    # file names carry the measurement id through the folder name of the written layout
-    rows.withColumn("arquivo", F.col("msm_id")).write.partitionBy("arquivo").json(path)
-    got = spark.read.schema(schemas.API_RESULT).json(path + "/*")
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"arquivo=(\d+)/", 1).cast("long").alias("msm_arquivo")
-    return got.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.sum("rcvd").alias("recebidos"))
+    item = F.to_json(F.struct("timestamp", F.col("probe_id").alias("prb_id"), "msm_id", "sent", "rcvd", "min", "max", "avg", "ttl"))
+    day = F.floor(F.col("timestamp") / 86400)
+    docs = adapter.pings(spark, sf).groupBy("msm_id", day.alias("dia")).agg(F.collect_list(item).alias("itens"))
+    text = F.concat(F.lit("["), F.array_join("itens", ","), F.lit("]")).alias("value")
+    docs.select(F.concat_ws("/", "msm_id").alias("medicao"), "dia", text).repartition("medicao", "dia").write.partitionBy("dia", "medicao").option("maxRecordsPerFile", 1).text(path)
+    got = readers.read_result_documents(spark, path)
+    return got.groupBy("msm_arquivo").agg(F.count(F.lit(1)).alias("n"), F.sum("rcvd").alias("recebidos"), F.count_if(F.col("ttl").isNull()).alias("sem_ttl"))
 
 
 @register("s6_unwrap_bodies", """
@@ -102,12 +115,60 @@ def s15_prediction_partitions(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count_if(F.abs(total - 1) > 1e-6).alias("soma_errada"))
 
 
-@register("s8_parsed_maps", "SELECT fluxo_id, timestamp, round(perda_pct, 6) AS perda_pct, CAST(perdas_consecutivas AS DOUBLE) AS streak FROM preds", PROD_CTES)
+@register("s8_parsed_maps", "SELECT fluxo_id, timestamp, u.mapa AS mapa, u.chave AS chave, round(u.valor, 3) AS valor FROM (SELECT fluxo_id, timestamp, unnest([" + ", ".join(
+    [f"{{'mapa': 'features', 'chave': '{c}', 'valor': {c}::DOUBLE}}" for c in K.FEATURES]
+    + [f"{{'mapa': 'proba', 'chave': '{c}', 'valor': (CASE WHEN prevista = '{c}' OR prevista = 'OUTRA' AND '{c}' = 'OK' THEN 0.8 ELSE resto END)::DOUBLE}}" for c in K.CLASSES])
+    + "]) AS u FROM scored)", PROD_CTES)
 def s8_parsed_maps(spark, sf):
+    """Every entry of both maps, from their JSON text."""
     log = scored_rows(spark, sf)[1].withColumns({c: F.to_json(c) for c in ("features", "proba")})
-    rows = readers.parse_maps(log)
-    return rounded(rows.select("fluxo_id", F.unix_seconds(F.to_timestamp("ts_previsao")).alias("timestamp"),
-                               F.col("features")["perda_pct"].alias("perda_pct"), F.col("features")["perdas_consecutivas"].alias("streak")))
+    rows = readers.parse_maps(log).select("fluxo_id", F.unix_seconds(F.to_timestamp("ts_previsao")).alias("timestamp"), "features", "proba")
+
+    def entries(name):
+        return F.transform(F.map_entries(name), lambda e: F.struct(F.lit(name).alias("mapa"), e["key"].alias("chave"), F.round(e["value"], 3).alias("valor")))
+
+    return rows.select("fluxo_id", "timestamp", F.inline(F.concat(entries("features"), entries("proba"))))
+
+
+@register("u4_feature_names", """
+SELECT 'perda_pct' AS nome, 'falta' AS lado, count(*) AS n FROM preds WHERE timestamp % 71 = 0 UNION ALL SELECT 'perda', 'sobra', count(*) FROM preds WHERE timestamp % 71 = 0
+UNION ALL SELECT 'rtt_ausente', 'falta', count(*) FROM preds WHERE timestamp % 73 = 0""", PROD_CTES)
+def u4_feature_names(spark, sf):
+    """Names of the logged features against the contract, both ways; some rows have one renamed or dropped."""
+    t = F.unix_seconds(F.to_timestamp("ts_previsao"))
+    names = F.map_keys("features")
+    names = F.when(t % 71 == 0, F.array_union(F.array_remove(names, "perda_pct"), F.array(F.lit("perda")))).otherwise(names)
+    names = F.when(t % 73 == 0, F.array_remove(names, "rtt_ausente")).otherwise(names)
+    rows = scored_rows(spark, sf)[1].select(names.alias("nomes"))
+    return readers.name_differences(rows, F.col("nomes")).groupBy("nome", "lado").agg(F.count(F.lit(1)).alias("n"))
+
+
+DAY_PERIODS = {
+    "day_spans": """
+  SELECT event_id_group AS documento, dia, min(timestamp) AS i, max(timestamp) + 1 AS f FROM (SELECT timestamp, probe_id AS event_id_group, timestamp // 86400 AS dia FROM pings) GROUP BY ALL""",
+    "day_rows": """
+  SELECT documento, dia, i, f, CASE WHEN documento = 0 AND dia % 2 = 1 THEN 'B' WHEN documento = 0 THEN 'A' ELSE 'D' || dia::VARCHAR END AS nome, documento % 2 = 1 AS exige,
+    CASE WHEN dia % 11 = 0 THEN NULL WHEN dia % 7 = 0 THEN i - 86400 WHEN dia % 5 = 0 THEN f + 172800 ELSE f END AS fim, dia % 13 = 0 AS ruim, dia % 3 = 0 AS sem_fuso FROM day_spans""",
+    "day_told": """
+  SELECT *, CASE WHEN fim IS NULL THEN 'limite ausente' WHEN exige AND (sem_fuso OR ruim) THEN 'instante sem fuso' WHEN ruim THEN 'instante invalido' WHEN fim <= i THEN 'invertido' END AS motivo FROM day_rows""",
+}
+
+
+@register("s9_period_checks", """
+SELECT documento, nome, CASE WHEN NOT ruim THEN i END AS inicio, fim, coalesce(motivo, CASE WHEN max(CASE WHEN motivo IS NULL THEN fim END) OVER w > i THEN 'sobreposto' END) AS motivo
+FROM day_told WINDOW w AS (PARTITION BY documento ORDER BY CASE WHEN NOT ruim THEN i END NULLS FIRST, fim NULLS FIRST, nome ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+UNION ALL SELECT documento, nome, NULL, NULL, 'periodo ausente' FROM (SELECT DISTINCT documento FROM day_rows WHERE documento <> 0), (VALUES ('A'), ('B')) p(nome)""", DAY_PERIODS)
+def s9_period_checks(spark, sf):
+    """Documents of daily windows, many of them wrong on purpose: every row with the reason against it."""
+    t, day = F.col("timestamp"), F.col("dia")
+    spans = adapter.pings(spark, sf).select(F.col("probe_id").alias("documento"), t, F.floor(t / 86400).alias("dia")).groupBy("documento", "dia").agg(F.min(t).alias("i"), (F.max(t) + 1).alias("f"))
+    end = F.when(day % 11 == 0, None).when(day % 7 == 0, F.col("i") - 86400).when(day % 5 == 0, F.col("f") + 172800).otherwise(F.col("f"))
+    zone = F.when(day % 3 == 0, "").otherwise("Z")
+    text = lambda c: F.concat(F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss"), zone)
+    name = F.when(F.col("documento") == 0, F.when(day % 2 == 1, "B").otherwise("A")).otherwise(F.concat(F.lit("D"), day.cast("string")))
+    rows = spans.select("documento", name.alias("nome"), F.when(day % 13 == 0, "amanhã").otherwise(text(F.col("i"))).alias("inicio"), text(end).alias("fim"))
+    strict, free = (readers.checked_periods(rows.where(F.col("documento") % 2 == k), ("documento",), zone_required=bool(k)) for k in (1, 0))
+    return strict.unionByName(free)
 
 
 @register("s17_json_export", """
@@ -215,6 +276,19 @@ def p26_narrowed_metadata(spark, sf):
     return readers.narrow_measurement(m.select(doc.alias("doc")), "doc")
 
 
+@register("p26_narrowed_anchors", """
+SELECT anchor_id AS id, fqdn, CASE WHEN trim(hostname) = '' THEN NULL ELSE hostname END AS hostname, ip_v4, asn_v4, country, lon, lat, is_disabled FROM anchor_dim""")
+def p26_narrowed_anchors(spark, sf):
+    """Anchor objects as the source writes them: nested geometry, a padded country, fields left out."""
+    a = adapter.anchors(spark, sf)
+    host = F.when(F.trim("hostname") != "", F.col("hostname"))
+    off = F.when(F.col("is_disabled"), F.lit(True))  # left out where false
+    doc = F.to_json(F.struct(
+        F.col("anchor_id").alias("id"), "fqdn", host.alias("hostname"), "ip_v4", F.col("asn_v4").alias("as_v4"), F.concat(F.lit(" "), F.lower("country")).alias("country"),
+        F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), off.alias("is_disabled"), F.lit("x").alias("extra")))
+    return readers.narrow_anchor(a.select(doc.alias("doc")), "doc")
+
+
 FLOW_ROWS = """
   SELECT t.*, CASE WHEN event_id % 3 <> 0 THEN '172.16.0.' || probe_id::VARCHAR END AS probe_ip FROM tagged t"""
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rttscope import contract as K
-from rttscope.operators.online import counted_rows
-from rttscope.plans.catalog import register, rounded, stages
+from rttscope.operators import checks
+from rttscope.plans.catalog import folder_key, register, rounded, stages
 from rttscope.plans.queries_prod import FORECASTS
 from rttscope.session import work_path
 from rttscope.sources import adapter
@@ -33,7 +33,7 @@ def replayed(spark, sf, slices: int = 3):
 
 def run(spark, sf, known_flows=True):
     """One finished scoring stream per folder, its outputs read by several queries."""
-    key = (spark.sparkContext.applicationId, sf, known_flows)
+    key = (*folder_key(spark, sf), known_flows)
     if key not in _RUNS:
         profile = stages(spark, sf).profile
         if not known_flows:
@@ -79,12 +79,7 @@ def t3_live_labels(spark, sf):
 @register("t4_filtered_messages", f"""
 SELECT DISTINCT id_fluxo, msm_id, timestamp FROM tagged WHERE periodo = 'B' AND type = 'ping' AND probe_id = 1""")
 def t4_filtered_messages(spark, sf):
-    out = work_path(spark, "messages")
-    rows = scorer.filtered_messages(replayed(spark, sf), F.lit(1), *WINDOW)
-    query = rows.select("id_fluxo", "msm_id", "timestamp").writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema("id_fluxo string, msm_id long, timestamp long").parquet(out)
+    return scorer.MessageStore(spark, work_path(spark, "messages"), F.lit(1), *WINDOW).run(replayed(spark, sf))
 
 
 @register("t5_closed_forecasts", """
@@ -127,3 +122,42 @@ def t7_replayed_rows(spark, sf):
 SELECT event_id, 'timestamp_duplicado' AS motivo FROM (SELECT *, row_number() OVER (PARTITION BY id_fluxo, timestamp ORDER BY event_id) AS n FROM tagged WHERE periodo = 'B' AND type = 'ping') WHERE n > 1""")
 def t9_quarantined(spark, sf):
     return run(spark, sf).read("quarantine").select("event_id", "motivo")
+
+
+# ---------------------------------------------------------------- stream against batch
+@register("j15_feature_differences", """
+SELECT id_fluxo, timestamp, msm_id, 'perda_pct' AS feature FROM candidates WHERE timestamp % 41 = 0 AND perda_pct IS NOT NULL""")
+def j15_feature_differences(spark, sf):
+    """Features of the scored stream against the batch table; some stream values are changed and must be found, no other."""
+    keys = ["id_fluxo", "timestamp", "msm_id"]
+    live = with_baseline(spark, sf, run(spark, sf).read("forecasts"))
+    live = live.withColumn("perda_pct", F.when(F.col("timestamp") % 41 == 0, F.col("perda_pct") + 1).otherwise(F.col("perda_pct") + 1e-8))
+    return checks.feature_differences(stages(spark, sf).candidates, live, keys).select(*keys, "feature")
+
+
+@register("v7_online_labels", """
+SELECT id_fluxo, count(*) AS comparadas, count(*) FILTER (timestamp % 43 = 0) AS diferentes FROM labelled WHERE status_baseline = 'VALIDO' GROUP BY id_fluxo""")
+def v7_online_labels(spark, sf):
+    """Labels that the stream gave against the batch labels, row by row; a few stream labels are changed and must be found."""
+    keys = ["id_fluxo", "timestamp", "msm_id"]
+    live = with_baseline(spark, sf, run(spark, sf).read("forecasts"))
+    seen = F.when(F.col("timestamp") % 43 == 0, F.lit("trocada")).otherwise(F.col("classe"))
+    batch = with_baseline(spark, sf, stages(spark, sf).labelled).select(*keys, "classe", F.lit(True).alias("_batch"))
+    both = batch.join(live.select(*keys, seen.alias("ao_vivo"), F.lit(True).alias("_live")), keys, "full_outer")
+    differ = ~F.col("classe").eqNullSafe(F.col("ao_vivo")) | F.col("_batch").isNull() | F.col("_live").isNull()
+    return both.groupBy("id_fluxo").agg(F.count(F.lit(1)).alias("comparadas"), F.count_if(differ).alias("diferentes"))
+
+
+@register("t9_flow_errors", """
+SELECT id_fluxo, CASE WHEN id_fluxo = '3_0' THEN 0 ELSE count(*) END AS linhas, id_fluxo = '3_0' AS falhou FROM labelled WHERE status_baseline = 'VALIDO' GROUP BY id_fluxo""")
+def t9_flow_errors(spark, sf):
+    """A forecaster that breaks on one flow: that flow leaves an error row, all others are scored."""
+    def breaks(df):
+        return df.withColumn("previsto", F.when(F.col("id_fluxo") == "3_0", F.raise_error(F.lit("sem modelo"))).otherwise(F.col("classe")))
+
+    job = scorer.Scorer(spark, stages(spark, sf).profile, work_path(spark, "scoring"), WINDOW, forecast=breaks)
+    job.start(replayed(spark, sf, 1)).awaitTermination()
+    done = job.read("forecasts").groupBy("id_fluxo").agg(F.count(F.lit(1)).alias("linhas"))
+    errors = job.read("errors").where(F.col("erro").contains("sem modelo")).select("id_fluxo").distinct().withColumn("falhou", F.lit(True))
+    rows = done.join(errors, "id_fluxo", "full_outer")
+    return with_baseline(spark, sf, rows).select("id_fluxo", F.coalesce("linhas", F.lit(0).cast("long")).alias("linhas"), F.coalesce("falhou", F.lit(False)).alias("falhou"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _LOCAL_DIRS: dict[str, str] = {}
+_SCOPES = threading.local()
 
 
 def session(app: str = "rttscope", master: str | None = None, **conf) -> SparkSession:
@@ -54,5 +58,35 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """Cut lineage: write ``df`` to the shared folder once and read it back."""
     spark = df.sparkSession
     path = work_path(spark, name)
+    for made in getattr(_SCOPES, "open", []):
+        made.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever file system its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote; one that is not there is fine."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`materialise` writes inside go when the block ends.
+
+    For blocks that write their result elsewhere; nothing that is read later may be made inside.
+    """
+    made: list[str] = []
+    _SCOPES.open = [*getattr(_SCOPES, "open", []), made]
+    try:
+        yield
+    finally:
+        _SCOPES.open = [x for x in _SCOPES.open if x is not made]
+        for path in made:
+            remove(spark, path)

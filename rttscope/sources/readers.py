@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rttscope import contract as K
 from rttscope import schemas
+from rttscope.functions.label import first_match
 from rttscope.functions.parse import number, whole
 
 
@@ -43,6 +44,14 @@ def compare_names(given, expected) -> dict[str, list[str]]:
     return {"faltam": sorted(set(expected) - set(given)), "sobram": sorted(set(given) - set(expected))}
 
 
+def name_differences(df: DataFrame, names: Column, expected=K.FEATURES) -> DataFrame:
+    """Rows whose list of names lacks an expected one or has another: (columns of ``df``, nome, lado)."""
+    want = F.array(*[F.lit(n) for n in expected])
+    told = lambda values, side: F.transform(values, lambda n: F.struct(n.alias("nome"), F.lit(side).alias("lado")))
+    both = F.concat(told(F.array_except(want, names), "falta"), told(F.array_except(names, want), "sobra"))
+    return df.select(*df.columns, F.inline(both))
+
+
 def model_input(df: DataFrame, names=K.FEATURES) -> DataFrame:
     """Only the named features, in order; forbidden or absent columns are refused."""
     banned = sorted(set(names) & set(K.FORBIDDEN_COLUMNS))
@@ -69,9 +78,9 @@ def replay(df: DataFrame, flow: str, period: tuple[int, int], backfill_h: int, n
 
 # ---------------------------------------------------------------- JSON
 def read_result_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array of ping results per file; the file name is the measurement id."""
-    rows = spark.read.schema(schemas.API_RESULT).option("multiLine", True).json(path)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.json$", 1).try_cast("bigint")
+    """One JSON array of ping results per file; the file, or else its folder, is named after the measurement."""
+    rows = spark.read.schema(schemas.API_RESULT).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)(?:\.json|/part-[^/]*)$", 1).try_cast("bigint")
     return rows.withColumn("msm_arquivo", name)
 
 
@@ -110,6 +119,21 @@ def narrow_measurement(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+def narrow_anchor(df: DataFrame, col: str) -> DataFrame:
+    """The contract fields of anchor objects held as JSON text; a geometry gives longitude and latitude."""
+    v = F.try_parse_json(F.col(col))
+
+    def get(path, type_):
+        return F.try_variant_get(v, path, type_)
+
+    return df.select(
+        get("$.id", "bigint").alias("id"), get("$.fqdn", "string").alias("fqdn"), get("$.hostname", "string").alias("hostname"),
+        get("$.ip_v4", "string").alias("ip_v4"), get("$.as_v4", "bigint").alias("asn_v4"), F.upper(F.trim(get("$.country", "string"))).alias("country"),
+        get("$.geometry.coordinates[0]", "double").alias("lon"), get("$.geometry.coordinates[1]", "double").alias("lat"),
+        F.coalesce(get("$.is_disabled", "boolean"), F.lit(False)).alias("is_disabled"),
+    )
+
+
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A folder of JSON lines, each row with the file it came from."""
     return spark.read.schema(schema).json(path).withColumn("arquivo", F.col("_metadata.file_name"))
@@ -166,27 +190,48 @@ def collection_window(start: str | None = None, end: str | None = None, now: str
     return first, stop
 
 
-def period_windows(rows: list[dict], zone_required: bool = False) -> tuple[tuple[str, int, int], ...]:
-    """Named period windows; missing, inverted and overlapping ones are refused."""
-    out = []
-    for row in rows:
-        if not row.get("inicio") or not row.get("fim"):
-            raise ContractError(f"period {row.get('nome')} lacks an end")
-        start, end = _instant(row["inicio"], zone_required), _instant(row["fim"], zone_required)
-        if end <= start:
-            raise ContractError(f"period {row['nome']} is inverted")
-        out.append((row["nome"], start, end))
-    if {K.PERIOD_A, K.PERIOD_B} - {p[0] for p in out}:
-        raise ContractError("periods A and B are both needed")
-    ordered = sorted(out, key=lambda p: p[1])
-    if any(a[2] > b[1] for a, b in zip(ordered, ordered[1:])):
-        raise ContractError("periods overlap")
-    return tuple(ordered)
+def checked_periods(rows: DataFrame, keys: tuple[str, ...] = (), zone_required: bool = False) -> DataFrame:
+    """Period rows (nome, inicio, fim as text) with their instants and the reason against each, if any.
+
+    ``keys`` name the document a row belongs to.  An instant is a number of seconds or ISO text, UTC where it
+    has no offset.  A window may not begin before an earlier one of its document has ended.  A document without one of
+    the periods A and B gets a row for it.
+    """
+    def instant(c: str) -> Column:
+        text = F.trim(c)
+        seconds = F.when(text.rlike(r"^[0-9]+([.][0-9]*)?$"), text.try_cast("double"))
+        return F.when(seconds > 1e9, F.floor(seconds)).otherwise(F.unix_seconds(F.try_to_timestamp(text))).cast("long")
+
+    has_zone = lambda c: F.trim(c).rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2}|^[0-9.]+)$")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    parsed = rows.select(*keys, "nome", F.col("inicio").alias("_inicio"), F.col("fim").alias("_fim"), instant("inicio").alias("inicio"), instant("fim").alias("fim"))
+    parsed = parsed.withColumn("motivo", first_match([
+        (blank("_inicio") | blank("_fim"), "limite ausente"),
+        (F.lit(zone_required) & ~(has_zone("_inicio") & has_zone("_fim")), "instante sem fuso"),
+        (F.col("inicio").isNull() | F.col("fim").isNull(), "instante invalido"),
+        (F.col("fim") <= F.col("inicio"), "invertido"),
+    ]))
+    # windows of one document are a handful
+    earlier = Window.partitionBy(*keys).orderBy("inicio", "fim", "nome").rowsBetween(Window.unboundedPreceding, -1)
+    overlap = F.max(F.when(F.col("motivo").isNull(), F.col("fim"))).over(earlier) > F.col("inicio")
+    told = parsed.withColumn("motivo", F.coalesce("motivo", F.when(overlap, "sobreposto"))).select(*keys, "nome", "inicio", "fim", "motivo")
+    # each row stands for its own period; a document lacks those that none of its rows names
+    names = told.groupBy(*keys).agg(F.collect_set(F.when(F.col("nome").isin(K.PERIOD_A, K.PERIOD_B), F.col("nome"))).alias("_names"))
+    lacking = names.select(*keys, F.explode(F.array_except(F.array(F.lit(K.PERIOD_A), F.lit(K.PERIOD_B)), "_names")).alias("nome"))
+    return told.unionByName(lacking.withColumn("motivo", F.lit("periodo ausente")), allowMissingColumns=True)
+
+
+def period_windows(rows: DataFrame, zone_required: bool = False) -> tuple[tuple[str, int, int], ...]:
+    """The windows of one document in time order; any that is refused stops the reading."""
+    found = checked_periods(rows, (), zone_required).orderBy("inicio").collect()  # the periods of one document
+    wrong = [f"{r.nome}: {r.motivo}" for r in found if r.motivo]
+    if wrong:
+        raise ContractError("; ".join(wrong))
+    return tuple((r.nome, r.inicio, r.fim) for r in found)
 
 
 def period_dimension(spark: SparkSession, path: str, zone_required: bool = False):
     """Period windows from the metadata document: every one is checked."""
     schema = T.StructType([T.StructField("periodos", T.ArrayType(T.StructType([
         T.StructField(c, T.StringType()) for c in ("nome", "inicio", "fim")])))])
-    doc = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("periodos"))
-    return period_windows([r.asDict() for r in doc.collect()], zone_required)
+    return period_windows(spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("periodos")), zone_required)

@@ -5,7 +5,7 @@ from rttscope import contract as K
 from rttscope import schemas
 from rttscope.sources import adapter, readers, sinks
 from rttscope.plans.stages import Stages
-from rttscope.session import work_path
+from rttscope.session import shared_dir, work_path
 from rttscope.streaming import scorer
 
 
@@ -27,16 +27,21 @@ def test_forbidden_columns_are_refused(spark):
         readers.model_input(df, ("perda_pct",))
 
 
-def test_period_windows():
+def test_period_windows(spark):
+    def read(rows, **options):
+        table = spark.createDataFrame([(r["nome"], r["inicio"], r["fim"]) for r in rows], "nome string, inicio string, fim string")
+        return readers.period_windows(table, **options)
+
     good = [{"nome": "A", "inicio": "2024-01-01T00:00:00Z", "fim": "2024-01-02T00:00:00+00:00"},
             {"nome": "B", "inicio": "2024-01-02T00:00:00", "fim": "2024-01-03T00:00:00Z"}]
-    assert readers.period_windows(good)[0] == ("A", 1704067200, 1704153600)
-    for bad in (good[:1], [good[0], {**good[1], "inicio": "2024-01-01T12:00:00Z"}], [good[0], {**good[1], "fim": None}],
+    assert read(good) == (("A", 1704067200, 1704153600), ("B", 1704153600, 1704240000))
+    assert read([{**good[0], "inicio": "1704067200", "fim": "1704153600.7"}, good[1]])[0] == ("A", 1704067200, 1704153600)
+    for bad in (good[:1], [good[0], {**good[1], "inicio": "2024-01-01T12:00:00Z"}], [good[0], {**good[1], "fim": None}], [good[0], {**good[1], "fim": "amanhã"}],
                 [{**good[0], "fim": "2023-01-01T00:00:00Z"}, good[1]]):
         with pytest.raises(readers.ContractError):
-            readers.period_windows(bad)
+            read(bad)
     with pytest.raises(readers.ContractError):
-        readers.period_windows(good, zone_required=True)
+        read(good, zone_required=True)
 
 
 def test_collection_window():
@@ -84,8 +89,8 @@ SCHEMA = ("event_id long, probe_id long, anchor_id long, id_fluxo string, msm_id
 PROFILE = "anchor_id long, probe_id long, ttl_baseline double, p95_rtt_A double, p99_rtt_A double, p95_jitter_A double, status_baseline string"
 
 
-def stream(spark, batches, profile):
-    job = scorer.Scorer(spark, spark.createDataFrame(profile, PROFILE), work_path(spark, "t"), (0, 10**9))
+def stream(spark, batches, profile, **settings):
+    job = scorer.Scorer(spark, spark.createDataFrame(profile, PROFILE), work_path(spark, "t"), (0, 10**9), **settings)
     for n, rows in enumerate(batches):
         job(spark.createDataFrame(rows, SCHEMA), n)
     return job
@@ -155,6 +160,82 @@ def test_fallback_baseline_is_frozen(spark):
     assert len(limits) == 1 and next(iter(limits))[1] == "historico"
 
 
+ONE = [(1, 1, 54.0, 11.0, 12.0, 1.0, "VALIDO")]
+
+
+def folders(path):
+    import os
+
+    return sorted(f for f in os.listdir(path) if f.startswith("batch=")) if os.path.isdir(path) else []
+
+
+def test_increments_and_snapshots_equal_one_batch(spark):
+    """Twenty batches of few flows each: what is left does not grow, and a flow that pauses keeps its state."""
+    import glob
+
+    rows = [message(i, f, 1000 + 240 * i, rcvd=(0 if i % 5 == 3 else 3)) for i in range(24) for f in ("1_1", "2_1", "3_1")]
+    profile = [*ONE, (1, 2, 54.0, 10.0, 12.5, 1.0, "VALIDO")]
+    cuts = [[r for r in rows if r[0] == i and (r[3] != "2_1" or i < 3 or i > 20)] for i in range(24)]
+    before = len(glob.glob(f"{shared_dir(spark)}/stream-*")) + len(glob.glob(f"{shared_dir(spark)}/series-chunks*"))
+    parts = stream(spark, cuts, profile, compact=4, cap=6, min_rtts=5)
+    cols = ["id_fluxo", "timestamp", "classe", "estado", "previsto", "pos", "origem_baseline", *K.FEATURES]
+    whole = stream(spark, [[r for c in cuts for r in c]], profile, cap=6, min_rtts=5)
+    a, b = (sorted(map(str, job.read("forecasts").select(*cols).collect())) for job in (parts, whole))
+    assert a == b and len(a) == 24 * 2 + 6
+    assert len(folders(f"{parts.path}/state")) <= 5
+    assert len(glob.glob(f"{shared_dir(spark)}/stream-*")) + len(glob.glob(f"{shared_dir(spark)}/series-chunks*")) == before
+    # the last batch touched two flows; its increment holds just these until the snapshot
+    last = spark.read.parquet(f"{whole.path}/state/batch=0")
+    assert {r.id_fluxo for r in last.select("id_fluxo").distinct().collect()} == {"1_1", "2_1", "3_1"}
+
+
+def test_an_increment_holds_only_flows_of_its_batch(spark):
+    rows = [message(i, f, 1000 + 240 * i) for i in range(4) for f in ("1_1", "2_1", "3_1")]
+    job = stream(spark, [rows, [message(9, "2_1", 9000)]], ONE, compact=100)
+    second = spark.read.parquet(f"{job.path}/state/batch=1")
+    assert {r.id_fluxo for r in second.collect()} == {"2_1"} and second.count() == 5
+
+
+def test_a_failing_flow_leaves_one_error_row(spark):
+    rows = [message(i, f"{k}_1", 1000 + 240 * i) for i in range(3) for k in range(1, 8)]
+
+    def breaks(df):
+        broken = (F.col("id_fluxo") == "4_1") & (F.col("timestamp") >= 1240)
+        return df.withColumn("previsto", F.when(broken, F.raise_error(F.lit("sem modelo"))).otherwise(F.col("classe")))
+
+    profile = [(1, k, 54.0, 11.0, 12.0, 1.0, "VALIDO") for k in range(1, 8)]
+    cuts = [[r for r in rows if r[0] == i] for i in range(3)]
+    job = stream(spark, cuts, profile, forecast=breaks, warmup=1)
+    errors = job.read("errors").orderBy("batch").collect()
+    assert [(r.id_fluxo, r.batch) for r in errors] == [("4_1", 1), ("4_1", 2)] and all("sem modelo" in r.erro for r in errors)
+    got = {r.id_fluxo: r["count"] for r in job.read("forecasts").groupBy("id_fluxo").count().collect()}
+    assert got == {f"{k}_1": 1 if k == 4 else 3 for k in range(1, 8)}
+    good = stream(spark, cuts, profile, warmup=1)
+    cols = ["id_fluxo", "timestamp", "previsto", "pos", *K.FEATURES]
+    a, b = (sorted(map(str, j.read("forecasts").where("id_fluxo <> '4_1'").select(*cols).collect())) for j in (job, good))
+    assert a == b and good.read("errors").count() == 0
+    with pytest.raises(Exception, match="sem modelo"):
+        stream(spark, cuts, profile, forecast=lambda df: df.withColumn("previsto", F.raise_error(F.lit("sem modelo"))), max_errors=2)
+
+
+def test_timeouts_can_count_as_loss_alone(spark):
+    partly = message(0, "1_1", 1000, rcvd=2)
+    kept, dropped = (stream(spark, [[partly]], ONE, timeout_is_loss=x).read("forecasts").first() for x in (False, True))
+    assert kept.rtt_avg == 10.0 and dropped.rtt_avg is None and kept.perda_pct == dropped.perda_pct
+
+
+def test_messages_are_stored_once_however_late(spark):
+    store = scorer.MessageStore(spark, work_path(spark, "m"), F.lit(1), 0, 10**7)
+    rows = [message(i, "1_1", 1000 + 40_000 * i) for i in range(40)]
+    for n in range(20):
+        store(spark.createDataFrame(rows[2 * n : 2 * n + 2] + [rows[0], rows[2 * n], message(0, "2_1", 5)], SCHEMA), n)
+    store(spark.createDataFrame(rows[38:] + [rows[0], rows[38]], SCHEMA), 19)  # the same batch again
+    late = message(99, "1_1", 1001)
+    store(spark.createDataFrame([late, late, rows[3]], SCHEMA), 20)
+    got = sorted(r.timestamp for r in store.read().collect())
+    assert got == sorted([r[5] for r in rows] + [1001])
+
+
 def test_upsert_keeps_labels(spark):
     stored = spark.createDataFrame([("f", 1, "OK", "RISCO")], "id_fluxo string, timestamp long, previsto string, real string")
     new = spark.createDataFrame([("f", 1, "FALHA"), ("f", 2, "OK")], "id_fluxo string, timestamp long, previsto string")
