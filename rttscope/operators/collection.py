@@ -49,12 +49,15 @@ def repeats(df: DataFrame, keys=DEDUP_KEY) -> DataFrame:
 
 
 def usage(
-    df: DataFrame, periods, interval_s=K.INTERVAL_S, coverage_min=K.COVERAGE_MIN, min_ttl=K.MIN_SAMPLES
+    df: DataFrame, periods, interval_s=K.INTERVAL_S, coverage_min=K.COVERAGE_MIN, min_ttl=K.MIN_SAMPLES,
+    flows: DataFrame | None = None, problems: DataFrame | None = None,
 ) -> DataFrame:
     """Coverage of each flow in each period and whether the flow is used there.
 
-    ``interval_s`` may be a column (an interval per measurement) or a number.  Flows seen
-    in one period only also get a row, with no results, for the other.
+    ``interval_s`` may be a column (an interval per measurement) or a number.  Every flow gets a row per
+    period: the flows of ``flows`` (probe_id, anchor_id, id_fluxo), where given, and else those with a row.
+    ``problems`` (id_fluxo, periodo, motivo) names collections that were blocked or failed: such a row counts no
+    results, has no coverage and carries the reason, a blocked measurement as well as a network error.
     """
     keys = ["probe_id", "anchor_id", "id_fluxo"]
     names = [p[0] for p in periods]
@@ -64,6 +67,9 @@ def usage(
             F.count_if((F.col("periodo") == p) & F.col("ttl").isNotNull()).alias(f"_ttl_{p}"),
         )
     ])
+    if flows is not None:
+        # one row per flow on either side
+        per = flows.select(*keys).distinct().join(per, keys, "left").na.fill(0, [c for c in per.columns if c not in keys])
     rows = F.array(*[
         F.struct(
             F.lit(name).alias("periodo"), F.col(f"_rows_{name}").alias("linhas"),
@@ -86,7 +92,14 @@ def usage(
         .when((F.col("periodo") == K.PERIOD_A) & (F.col("ttl_validos") < min_ttl), K.REASON_FEW_TTL)
         .otherwise(K.REASON_OK)
     )
-    return long.withColumn("motivo", reason).withColumn("usado", F.col("motivo") == K.REASON_OK).drop("_dur")
+    long = long.withColumn("motivo", reason)
+    if problems is not None:
+        first = problems.groupBy("id_fluxo", "periodo").agg(F.min("motivo").alias("_erro"))
+        long = long.join(first, ["id_fluxo", "periodo"], "left").withColumns({
+            "linhas": F.when(F.col("_erro").isNull(), F.col("linhas")).otherwise(0), "ttl_validos": F.when(F.col("_erro").isNull(), F.col("ttl_validos")).otherwise(0),
+            "cobertura": F.when(F.col("_erro").isNull(), F.col("cobertura")), "motivo": F.coalesce("_erro", "motivo"),
+        }).drop("_erro")
+    return long.withColumn("usado", F.col("motivo") == K.REASON_OK).drop("_dur")
 
 
 def flow_class(used_a: Column, used_b: Column) -> Column:

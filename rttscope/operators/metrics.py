@@ -152,8 +152,8 @@ def proportions(col: str) -> list[Column]:
 def metric_flags(rows: DataFrame) -> DataFrame:
     """Warning flags per (candidate, slice) metric row joined with its gain.
 
-    Expects ``macro_f1_treino``, ``macro_f1``, ``gap``, ``ganho``, ``recall_falha``,
-    ``fracao_dominante`` and, for the test flag, ``macro_f1_validacao``.
+    Expects ``macro_f1_treino``, ``macro_f1``, ``gap``, ``ganho``, ``recall_falha`` and
+    ``fracao_dominante``.
     """
     def sure(c):
         return F.coalesce(c, F.lit(False))
@@ -171,3 +171,21 @@ def metric_flags(rows: DataFrame) -> DataFrame:
         ),
         "pior_que_persistencia": sure((F.col("fatia") != "transicoes") & (F.col("ganho") < 0)),
     })
+
+
+def test_flags(rows: DataFrame) -> DataFrame:
+    """Warning flags per slice of the test split.
+
+    Expects ``fatia``, ``macro_f1``, ``ganho``, ``recall_falha`` and ``macro_f1_validacao``, the general macro-F1
+    on the validation split.
+    """
+    def sure(c):
+        return F.coalesce(c, F.lit(False))
+
+    general = F.col("fatia") == "geral"
+    return rows.withColumns({
+        "queda_no_teste": sure(general & (F.col("macro_f1_validacao") - F.col("macro_f1") > K.TEST_DROP)),
+        "ganho_pequeno": sure(general & (F.col("ganho") < K.SMALL_GAIN)),
+        "inicio_baixo": sure((F.col("fatia") == "inicio_falha") & (F.col("recall_falha") < K.LOW_ONSET_RECALL)),
+        "pior_que_persistencia": sure((F.col("fatia") != "transicoes") & (F.col("ganho") < 0)),
+    })

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import product
 from math import log, pi
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rttscope import contract as K
 from rttscope.operators import metrics
-from rttscope.session import work_path
+from rttscope.session import remove, work_path
 from rttscope.sources.readers import ContractError, require_columns
 
 # Depth used where a grid says "no limit": the deepest tree the library grows.
@@ -93,13 +96,15 @@ class GaussianNB:
             out = out - F.lit(0.5 * log(2 * pi * var)) - shift * shift / F.lit(2 * var)
         return out
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def joint(self) -> Column:
+        """Log joint density per class, in class order."""
         rows = self.stats["classes"]
         total = sum(r["n"] for r in rows.values())
         none = F.lit(float("-inf"))
-        joint = df.withColumn("_joint", F.array(*[
-            self._log_joint(rows[c], total) if c in rows else none for c in K.CLASSES
-        ]))
+        return F.array(*[self._log_joint(rows[c], total) if c in rows else none for c in K.CLASSES])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        joint = df.withColumn("_joint", self.joint())
         weights = F.transform("_joint", lambda x: F.exp(x - F.array_max("_joint")))
         share = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
         return joint.withColumns({
@@ -118,21 +123,30 @@ def build(family: str, params: dict):
     tree = {"maxDepth": depth, "minInstancesPerNode": params["min_samples_leaf"], "seed": K.SEED, "maxBins": MAX_BINS}
     if family == "arvore_decisao":
         return DecisionTreeClassifier(**common, **tree)
+    # a deep forest looks its rows' nodes up instead of walking every tree from its root at each level
     return RandomForestClassifier(
-        **common, **tree, numTrees=params["n_estimators"], featureSubsetStrategy="sqrt", subsamplingRate=1.0
+        **common, **tree, numTrees=params["n_estimators"], featureSubsetStrategy="sqrt", subsamplingRate=1.0,
+        cacheNodeIds=depth > 10, maxMemoryInMB=1024,
     )
 
 
-def time_ordered(df: DataFrame) -> None:
-    """Refuse to fit when a training row is not older than every validation row."""
+def time_order(df: DataFrame) -> DataFrame:
+    """One row: last training and first validation instant, test rows present, and whether a fit is allowed."""
     row = df.agg(
-        F.max(F.when(F.col("split") == "treino", F.col("timestamp"))).alias("t"),
-        F.min(F.when(F.col("split") == "validacao", F.col("timestamp"))).alias("v"),
-        F.count_if(F.col("split") == "teste").alias("teste"),
-    ).first()
-    if row["teste"]:
+        F.max(F.when(F.col("split") == "treino", F.col("timestamp"))).alias("ultimo_treino"),
+        F.min(F.when(F.col("split") == "validacao", F.col("timestamp"))).alias("primeira_validacao"),
+        F.count_if(F.col("split") == "teste").alias("linhas_teste"),
+    )
+    ordered = F.coalesce(F.col("ultimo_treino") < F.col("primeira_validacao"), F.lit(False))
+    return row.withColumns({"em_ordem": ordered, "permitido": ordered & (F.col("linhas_teste") == 0)})
+
+
+def time_ordered(df: DataFrame) -> None:
+    """Refuse to fit when test rows are present or a training row is not older than every validation row."""
+    row = time_order(df).first()
+    if row["linhas_teste"]:
         raise ContractError("test rows must not be present while fitting")
-    if row["t"] is None or row["v"] is None or row["t"] >= row["v"]:
+    if not row["em_ordem"]:
         raise ContractError("training rows must all be older than validation rows")
 
 
@@ -142,46 +156,114 @@ def predicted(model, data: DataFrame) -> DataFrame:
     return out.withColumn("previsto", F.element_at(names, F.col("prediction").cast("int") + 1))
 
 
-def run_grid(final: DataFrame, families=K.FAMILIES, points: list[dict] | None = None) -> tuple[DataFrame, list]:
+def side_by_side(spark, work: Callable, items: list, threads: int) -> list:
+    """``work`` over items in a few threads: jobs of small fits fill the cluster together; the first error is raised."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
+def node_rows(spark, path: str) -> DataFrame:
+    """The nodes of a saved tree or forest as a table, read from the model's own files.
+
+    (arvore, no, folha, indice, limiar, esquerda, direita, linhas, pesos, classe): ``pesos`` are the weights of the
+    training rows per class, ``classe`` the class index a walk that ends there predicts.
+    """
+    rows = spark.read.parquet(f"{path}/data")
+    if "nodeData" in rows.columns:
+        rows = rows.select(F.col("treeID").alias("arvore"), "nodeData.*")
+    else:
+        rows = rows.withColumn("arvore", F.lit(0))
+    return rows.select(
+        "arvore", F.col("id").alias("no"), (F.col("leftChild") < 0).alias("folha"), F.col("split.featureIndex").alias("indice"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("limiar"), F.col("leftChild").alias("esquerda"), F.col("rightChild").alias("direita"),
+        F.col("rawCount").alias("linhas"), F.col("impurityStats").alias("pesos"), F.col("prediction").cast("int").alias("classe"),
+    )
+
+
+def walked(nodes: DataFrame, depths: list[int]) -> list[Column]:
+    """The class name that one tree predicts when it is cut at each depth (increasing), from column ``_x``.
+
+    A node's split does not depend on the depth limit, so a tree with a smaller limit is the deeper one cut off.
+    The nodes of one tree become one array value.
+    """
+    row = F.struct("no", "indice", "limiar", "esquerda", "direita", "classe")
+    table = nodes.agg(F.sort_array(F.collect_list(row))).scalar()
+    names = F.array(*[F.lit(c) for c in K.CLASSES])
+
+    def step(at: Column, _: Column) -> Column:
+        node = F.get(table, at)
+        goes_left = F.get("_x", node["indice"]) <= node["limiar"]
+        return F.when(node["esquerda"] < 0, at).when(goes_left, node["esquerda"]).otherwise(node["direita"])
+
+    return [F.get(names, F.get(table, F.aggregate(F.sequence(F.lit(1), F.lit(d)), F.lit(0), step))["classe"]) for d in depths]
+
+
+def run_grid(final: DataFrame, families=K.FAMILIES, points: list[dict] | None = None, threads: int = 4) -> tuple[DataFrame, list]:
     """Fit every candidate on ``treino`` and score both splits.
 
-    Each fit is a distributed job over the cached feature vectors.  A tree or forest is scored
-    and counted before the next one is fitted, so one model at a time is held; the naive Bayes
-    points share one fit and one aggregate.  Returns the scores (``candidato``, ``split``,
-    ``fatia``) and the candidates.
+    Each fit is a distributed job over the cached feature vectors; ``threads`` of them run side by side, and no more
+    models are held at a time.  The naive Bayes points share one fit and one pass.  Of trees that differ
+    in their depth limit alone only the deepest is fitted, and all of them are read off it in one pass.  Returns the
+    scores (``candidato``, ``split``, ``fatia``) and the candidates.
     """
+    spark = final.sparkSession
     rows = final.where(F.col("split").isin("treino", "validacao"))
     time_ordered(final)
     ready = vectors(rows).persist()
-    weights: dict = {}
-    path = work_path(final.sparkSession, "grid-scores")
-    fitted, narrow = [], []
-    stats = None
-
-    def counted(scored):
-        metrics.sliced_scores(scored, ["candidato", "split"]).write.mode("append").parquet(path)
-
-    for i, point in enumerate(points if points is not None else candidates(families)):
-        if point["familia"] == "naive_bayes":
-            # the smoothing acts at scoring, so all its grid points share one fit
-            stats = stats or GaussianNB.statistics(ready.where("split = 'treino'"))
-            model = GaussianNB(stats, point["params"]["var_smoothing"], K.FEATURES)
-        else:
-            mode = point["params"]["class_weight"]
-            if mode not in weights:
-                weights[mode] = weighted(ready.where("split = 'treino'"), mode).persist()
-            model = build(point["familia"], point["params"]).fit(weights[mode])
-        fitted.append({**point, "candidato": i})
-        scored = predicted(model, ready).select(F.lit(i).alias("candidato"), *KEEP, "previsto")
-        if point["familia"] == "naive_bayes":
-            narrow.append(scored)
-        else:
-            counted(scored)
-    if narrow:
-        counted(reduce(DataFrame.unionByName, narrow))
+    fitted = [{**p, "candidato": i} for i, p in enumerate(points if points is not None else candidates(families))]
+    of = lambda family: [p for p in fitted if p["familia"] == family]
+    modes = {p["params"]["class_weight"] for p in fitted if "class_weight" in p["params"]}
+    weights = {m: weighted(ready.where("split = 'treino'"), m).persist() for m in modes}
+    path = work_path(spark, "grid-scores")
+
+    def counted(scored: DataFrame, lot: str) -> None:
+        metrics.sliced_scores(scored, ["candidato", "split"]).write.parquet(f"{path}/lote={lot}")
+
+    def several(data: DataFrame, guesses: dict[int, Column]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("candidato"), c.alias("previsto")) for i, c in guesses.items()]))
+        return data.select(*KEEP, each.alias("_g")).select(*KEEP, "_g.*")
+
+    if bayes := of("naive_bayes"):
+        # the smoothing acts at scoring, so all its grid points share one fit and one pass
+        stats = GaussianNB.statistics(ready.where("split = 'treino'"))
+        names = F.array(*[F.lit(c) for c in K.CLASSES])
+        joints = ready.withColumns({f"_j{p['candidato']}": GaussianNB(stats, p["params"]["var_smoothing"], K.FEATURES).joint() for p in bayes})
+        guess = lambda c: F.get(names, F.array_position(c, F.array_max(c)).cast("int") - 1)
+        counted(several(joints, {p["candidato"]: guess(F.col(f"_j{p['candidato']}")) for p in bayes}), "bayes")
+
+    nested: dict = {}
+    for p in of("arvore_decisao"):
+        nested.setdefault((p["params"]["min_samples_leaf"], p["params"]["class_weight"]), []).append(p)
+
+    def grow(group: list[dict]) -> tuple[list[dict], str]:
+        deepest = max(group, key=lambda p: p["params"]["max_depth"] or DEEPEST)["params"]
+        where = work_path(spark, "grid-tree")
+        model = build("arvore_decisao", deepest).fit(weights[deepest["class_weight"]])
+        model.write().save(where)
+        return group, where
+
+    if nested:
+        guesses, places = {}, []
+        for group, where in side_by_side(spark, grow, list(nested.values()), threads):
+            places.append(where)
+            group = sorted(group, key=lambda p: p["params"]["max_depth"] or DEEPEST)
+            found = walked(node_rows(spark, where), [p["params"]["max_depth"] or DEEPEST for p in group])
+            guesses |= {p["candidato"]: c for p, c in zip(group, found, strict=True)}
+        counted(several(ready.withColumn("_x", vector_to_array("features")), guesses), "arvores")
+        for where in places:
+            remove(spark, where)
+
+    def grow_forest(point: dict) -> None:
+        model = build(point["familia"], point["params"]).fit(weights[point["params"]["class_weight"]])
+        scored = predicted(model, ready).select(F.lit(point["candidato"]).alias("candidato"), *KEEP, "previsto")
+        counted(scored, f"floresta{point['candidato']}")
+
+    # the slowest first, so that none is left running alone
+    size = lambda p: -(p["params"]["max_depth"] or DEEPEST) * p["params"]["n_estimators"] / p["params"]["min_samples_leaf"]
+    side_by_side(spark, grow_forest, sorted(of("random_forest"), key=size), threads)
     for cached in (ready, *weights.values()):
         cached.unpersist()
-    return final.sparkSession.read.parquet(path), fitted
+    return spark.read.parquet(path).drop("lote"), fitted
 
 
 def grid_table(scores: DataFrame, fitted: list) -> DataFrame:

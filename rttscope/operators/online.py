@@ -46,18 +46,26 @@ def counted_rows(forecasts: DataFrame, warmup: int = K.SCORE_WARMUP) -> DataFram
     return forecasts.where((F.col("pos") > warmup) & ~F.col("lacuna"))
 
 
-def session_metrics(forecasts: DataFrame) -> DataFrame:
-    """Closed forecasts, transitions, accuracy and macro-F1 of a session."""
+def session_metrics(forecasts: DataFrame, keys: list[str], warmup: int = K.SCORE_WARMUP) -> DataFrame:
+    """Per session: rows, warm-up flag, closed forecasts, transitions, and the scores of forecast and persistence.
+
+    Only closed rows past the warm-up and not across a gap count in the scores.  The gain is left out where
+    persistence scores 0, the recall of FALHA where none happened.
+    """
     from rttscope.operators import metrics
 
-    rows = counted_rows(forecasts).where("real is not null")
-    base = metrics.scores(metrics.confusion(rows, [], "real", "previsto"), "zero").select("acuracia", "macro_f1")
-    counts = rows.agg(
-        F.count(F.lit(1)).alias("fechadas"), F.count_if(F.col("real") != F.col("classe")).alias("transicoes")
-    )
-    return counts.withColumns({
-        "acuracia": base.select("acuracia").scalar(), "macro_f1": base.select("macro_f1").scalar(),
-    })
+    rows = counted_rows(forecasts, warmup).where("real is not null")
+    mine = metrics.scores(metrics.confusion(rows, keys, "real", "previsto"), "zero")
+    base = metrics.scores(metrics.confusion(rows, keys, "real", "classe"), "zero").select(
+        *keys, F.col("acuracia").alias("acuracia_persistencia"), F.col("macro_f1").alias("macro_f1_persistencia"))
+    counts = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("fechadas"), F.count_if(F.col("real") != F.col("classe")).alias("transicoes"), F.count_if(F.col("real") == "FALHA").alias("_falhas"))
+    whole = forecasts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("abaixo_do_aquecimento", F.col("n") <= warmup)
+    out = whole.join(counts, keys).join(mine.select(*keys, "acuracia", "macro_f1", F.col("recall_FALHA").alias("recall_falha")), keys).join(base, keys)
+    return out.withColumns({
+        "recall_falha": F.when(F.col("_falhas") > 0, F.col("recall_falha")),
+        "ganho_macro_f1": F.when(F.col("macro_f1_persistencia") != 0, F.col("macro_f1") - F.col("macro_f1_persistencia")),
+    }).drop("_falhas")
 
 
 def stored_forecasts(forecasts: DataFrame, since: int, limit: int, closed_only: bool = False) -> DataFrame:
@@ -68,14 +76,14 @@ def stored_forecasts(forecasts: DataFrame, since: int, limit: int, closed_only:
     return rows.orderBy(F.desc("timestamp"), "id_fluxo", "msm_id").limit(limit)
 
 
-def health(forecasts: DataFrame, now: int) -> DataFrame:
-    """One row: newest instant, lag, gaps, failures and failures of the last day."""
-    bad = F.col("classe") == "FALHA"
-    return forecasts.agg(
-        F.max("timestamp").alias("ultimo"), (F.lit(now) - F.max("timestamp")).alias("atraso_s"),
-        F.count_if("lacuna").alias("lacunas"), F.count_if(bad).alias("falhas"),
-        F.count_if(bad & (F.col("timestamp") >= now - 86400)).alias("falhas_24h"),
-    )
+def health(measurements: DataFrame, events: DataFrame, now: int) -> DataFrame:
+    """One row: newest measurement and its lag, collection cycles by outcome, and warnings of the last day in the event log."""
+    newest = measurements.agg(F.max("timestamp")).scalar()
+    recent = (F.col("ts") >= now - 86400) & F.col("nivel").isin("AVISO", "ERRO")
+    return events.agg(
+        F.count_if(F.col("tipo") == "coleta_ok").alias("ciclos_ok"), F.count_if(F.col("tipo").isin("erro_rede", "http_429")).alias("ciclos_falha"),
+        F.count_if(recent).alias("avisos_24h"),
+    ).select(newest.alias("ultimo"), (F.lit(now) - newest).alias("atraso_s"), "ciclos_ok", "ciclos_falha", "avisos_24h")
 
 
 def accepted_marks(marks: DataFrame, session: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def class_map(probabilities: list[Column]) -> Column:
     return F.create_map(*[x for c, p in zip(K.CLASSES, probabilities) for x in (F.lit(c), p)])
 
 
-def log_rows(scored: DataFrame, window_s: int, version: str, digest: str) -> DataFrame:
+def log_rows(scored: DataFrame, window_s: int, version: str | Column, digest: str | Column) -> DataFrame:
     """The 13 contract fields of each scored row; the run id names its execution window."""
     run = F.floor(F.col("timestamp") / window_s) * window_s
     cols = {
@@ -51,6 +51,8 @@ def contract_violations(names=K.FEATURES) -> Column:
         F.when(wrong_keys | off, "proba nao soma 1"),
         F.when(F.col("rotulo_real").isNotNull() & ~F.col("rotulo_real").isin(*K.CLASSES), "rotulo_real invalido"),
         F.when(F.coalesce(missing, F.lit(True)), "feature ausente"),
+        F.when(F.coalesce(F.col("modelo_versao"), F.lit("")).eqNullSafe("") | ~F.coalesce(F.col("modelo_hash").startswith("sha256:"), F.lit(False)),
+               "modelo_versao ou modelo_hash fora do manifesto"),
         F.when(F.col("latencia_inferencia_ms") < 0, "latencia negativa"),
     ))
 

@@ -11,6 +11,7 @@ from rttscope.operators import checks, metrics
 from rttscope.operators.features import fill_sentinel
 from rttscope.plans.catalog import register, rounded, stages
 from rttscope.plans.queries_eval import SLICE_CTES, persistence, scores_sql
+from rttscope.session import materialise
 from rttscope.sources import adapter
 
 CUT = adapter.B_START + 7 * 86400
@@ -79,26 +80,23 @@ def v5_duplicated_keys(spark, sf):
 
 
 @register("v6_persistence_matches", """
-SELECT split, true AS confere FROM (SELECT DISTINCT split FROM final)""")
+SELECT split, round(avg((classe_atual = alvo)::INTEGER), 6) AS acuracia, true AS confere FROM final GROUP BY split""")
 def v6_persistence_matches(spark, sf):
+    """Accuracy from the matrix beside the one counted row by row."""
     rows = persistence(spark, sf)
     computed = metrics.scores(metrics.confusion(rows, ["split"]), "zero").select("split", "acuracia")
     recorded = rows.groupBy("split").agg(F.avg((F.col("classe_atual") == F.col("alvo")).cast("double")).alias("acuracia"))
-    return checks.same_value(computed, recorded, ["split"], "acuracia")
+    return rounded(checks.same_value(computed, recorded, ["split"], "acuracia").join(computed, "split").select("split", "acuracia", "confere"))
 
 
-@register("v6_matrix_support", "SELECT split, fatia FROM sliced_conf WHERE false", SLICE_CTES)
+@register("v6_matrix_support", """
+SELECT split, fatia, count(*) FILTER (alvo = 'OK') AS suporte_OK, count(*) FILTER (alvo = 'RISCO') AS suporte_RISCO, count(*) FILTER (alvo = 'FALHA') AS suporte_FALHA, true AS confere
+FROM sliced GROUP BY split, fatia""", SLICE_CTES)
 def v6_matrix_support(spark, sf):
-    return checks.matrix_support(metrics.sliced_scores(persistence(spark, sf), ["split"])).select("split", "fatia")
-
-
-@register("j15_feature_differences", """
-SELECT id_fluxo, timestamp, msm_id, 'perda_pct' AS feature FROM candidates WHERE timestamp % 41 = 0 AND perda_pct IS NOT NULL""")
-def j15_feature_differences(spark, sf):
-    rows = stages(spark, sf).candidates
-    keys = ["id_fluxo", "timestamp", "msm_id"]
-    other = rows.withColumn("perda_pct", F.when(F.col("timestamp") % 41 == 0, F.col("perda_pct") + 1).otherwise(F.col("perda_pct") + 1e-8))
-    return checks.feature_differences(rows, other, keys).select(*keys, "feature")
+    scored = materialise(metrics.sliced_scores(persistence(spark, sf), ["split"]), "slice-scores")
+    wrong = checks.matrix_support(scored).select("split", "fatia", F.lit(False).alias("_wrong"))
+    rows = scored.where("n > 0").join(wrong, ["split", "fatia"], "left")
+    return rows.select("split", "fatia", *[f"suporte_{c}" for c in K.CLASSES], F.col("_wrong").isNull().alias("confere"))
 
 
 @register("f1_numbers", """
@@ -155,14 +153,3 @@ def p25_collection_window(spark, sf):
 def p16_projection(spark, sf):
     from rttscope.sources.readers import model_input
     return model_input(stages(spark, sf).final).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in K.FEATURES])
-
-
-@register("v7_online_labels", "SELECT id_fluxo, timestamp, msm_id FROM labelled WHERE false")
-def v7_online_labels(spark, sf):
-    """Labels recomputed from the raw rows of period B, one row at a time, against the batch."""
-    from rttscope.streaming.interpret import interpret
-    s = stages(spark, sf)
-    raw = s.used.where("periodo = 'B' and type = 'ping'")
-    live = interpret(raw, s.profile).select("id_fluxo", "timestamp", "msm_id", F.col("classe").alias("ao_vivo"))
-    both = s.labelled.select("id_fluxo", "timestamp", "msm_id", "classe").join(live, ["id_fluxo", "timestamp", "msm_id"], "full_outer")
-    return both.where(~F.col("classe").eqNullSafe(F.col("ao_vivo"))).select("id_fluxo", "timestamp", "msm_id")

@@ -74,6 +74,32 @@ def g6_usage(spark, sf):
                       "cobertura", "motivo", "usado")
 
 
+FLOW_GRID = {
+    # flows that are listed but never answer, flows whose measurement is blocked, and a network error in one period
+    "listed": "SELECT DISTINCT probe_id, anchor_id, id_fluxo FROM tagged UNION SELECT DISTINCT probe_id, anchor_id + 100, probe_id::VARCHAR || '_' || (anchor_id + 100)::VARCHAR FROM tagged",
+    "failed": f"""SELECT id_fluxo, periodo, CASE WHEN anchor_id = 101 THEN '{K.REASON_AF}' ELSE 'erro_rede' END AS motivo
+  FROM listed, (VALUES ('A'), ('B')) p(periodo) WHERE anchor_id = 101 AND probe_id < 3 OR probe_id = 4 AND periodo = 'B'""",
+    "listed_use": usage_sql("collected", 2100.0),
+}
+
+
+@register("g6_flow_grid", f"""
+SELECT l.id_fluxo, p.periodo, CASE WHEN f.motivo IS NULL THEN coalesce(u.linhas, 0) ELSE 0 END AS linhas, CASE WHEN f.motivo IS NULL THEN coalesce(u.ttl_validos, 0) ELSE 0 END AS ttl_validos,
+  CASE WHEN f.motivo IS NULL THEN coalesce(u.cobertura, 0.0) END AS cobertura, coalesce(f.motivo, u.motivo, '{K.REASON_EMPTY}') AS motivo, f.motivo IS NULL AND coalesce(u.usado, false) AS usado
+FROM listed l CROSS JOIN (VALUES ('A'), ('B')) p(periodo) LEFT JOIN listed_use u ON u.id_fluxo = l.id_fluxo AND u.periodo = p.periodo
+LEFT JOIN failed f ON f.id_fluxo = l.id_fluxo AND f.periodo = p.periodo""", FLOW_GRID)
+def g6_flow_grid(spark, sf):
+    """Every listed flow in every period, with the reason of those that were blocked, failed or stayed empty."""
+    seen = stages(spark, sf).raw.select("probe_id", "anchor_id", "id_fluxo").distinct()
+    other = seen.withColumn("anchor_id", F.col("anchor_id") + 100).withColumn("id_fluxo", F.concat_ws("_", "probe_id", "anchor_id"))
+    flows = seen.unionByName(other)
+    each = flows.withColumn("periodo", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    blocked, lost = (F.col("anchor_id") == 101) & (F.col("probe_id") < 3), (F.col("probe_id") == 4) & (F.col("periodo") == "B")
+    problems = each.where(blocked | lost).select("id_fluxo", "periodo", F.when(F.col("anchor_id") == 101, K.REASON_AF).otherwise("erro_rede").alias("motivo"))
+    use = collection.usage(stages(spark, sf).collected, adapter.PERIODS, 2100.0, flows=flows, problems=problems)
+    return use.select("id_fluxo", "periodo", "linhas", "ttl_validos", "cobertura", "motivo", "usado")
+
+
 @register("g7_flow_classes", """
 SELECT id_fluxo, CASE WHEN a AND b THEN 'A+B' WHEN b THEN 'B' WHEN a THEN 'A' ELSE 'nenhum' END AS classe_fluxo FROM (
   SELECT id_fluxo, bool_or(usado AND periodo = 'A') AS a, bool_or(usado AND periodo = 'B') AS b FROM usage_tight GROUP BY id_fluxo)""",

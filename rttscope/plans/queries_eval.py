@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rttscope import contract as K
 from rttscope.operators import dataset, metrics, picks, quality
 from rttscope.plans.catalog import register, rounded, stages
+from rttscope.plans.oracle import usage_sql
 
 CELLS = ", ".join(
     f"count(*) FILTER ({{r}} = '{r}' AND {{p}} = '{p}') AS {metrics.cell(r, p)}" for r, p in metrics.CELLS
@@ -19,7 +20,7 @@ def confusion_sql(rows: str, keys: list[str], real: str, pred: str) -> str:
     return f"SELECT {head}{CELLS.format(r=real, p=pred)} FROM {rows}{tail}"
 
 
-def scores_sql(conf: str, keys: list[str], absent: str) -> str:
+def scores_sql(conf: str, keys: list[str], absent: str, digits: int = 6) -> str:
     """Metric rows from a CTE of counters, written independently of the Spark expressions."""
     parts, n = [], " + ".join(metrics.cell(r, p) for r, p in metrics.CELLS)
     for c in K.CLASSES:
@@ -39,13 +40,13 @@ def scores_sql(conf: str, keys: list[str], absent: str) -> str:
     macro = f"({' + '.join(f'coalesce({x}, 0.0)' for x in f1)}) / " + (
         "3" if absent == "zero" else f"nullif({' + '.join(f'({x} IS NOT NULL)::INTEGER' for x in f1)}, 0)"
     )
-    out = [f"round({x}_{c}, 6) AS {x}_{c}" for c in K.CLASSES for x in ("precisao", "recall", "f1")]
+    out = [f"round({x}_{c}, {digits}) AS {x}_{c}" for c in K.CLASSES for x in ("precisao", "recall", "f1")]
     out += [f"suporte_{c}" for c in K.CLASSES]
     weighted = " + ".join(f"coalesce(f1_{c}, 0.0) * suporte_{c}" for c in K.CLASSES)
     hits = " + ".join(metrics.cell(c, c) for c in K.CLASSES)
     return (
-        f"SELECT {head}{', '.join(out)}, n, round(CASE WHEN n > 0 THEN {macro} END, 6) AS macro_f1, "
-        f"round(({weighted}) / nullif(n, 0), 6) AS f1_ponderado, round(({hits}) / nullif(n, 0), 6) AS acuracia "
+        f"SELECT {head}{', '.join(out)}, n, round(CASE WHEN n > 0 THEN {macro} END, {digits}) AS macro_f1, "
+        f"round(({weighted}) / nullif(n, 0), {digits}) AS f1_ponderado, round(({hits}) / nullif(n, 0), {digits}) AS acuracia "
         f"FROM (SELECT *, {n} AS n, {', '.join(parts)} FROM {conf})"
     )
 
@@ -223,6 +224,22 @@ def g32_step_totals(spark, sf):
     return main.unionByName(repeated)
 
 
+@register("g32_period_totals", """
+SELECT '5' AS stage, periodo AS key, unnest(['fluxos', 'fluxos_vazios', 'fluxos_usados', 'linhas']) AS metric, unnest([a, b, c, d])::DOUBLE AS value FROM (
+  SELECT periodo, count(*) AS a, count(*) FILTER (linhas = 0) AS b, count(*) FILTER (usado) AS c, sum(linhas) AS d FROM usage_tight GROUP BY periodo)
+UNION ALL SELECT '5', '', 'pares_com_perda_alta', count(*)::DOUBLE FROM (
+  SELECT probe_id, anchor_id FROM pings GROUP BY ALL HAVING (sum(sent) - sum(rcvd)) / sum(sent) >= 0.1)""", {"usage_tight": usage_sql("collected", 2100.0)})
+def g32_period_totals(spark, sf):
+    """Totals of the collection step: flows, empty and used ones per period, and pairs with much loss."""
+    from rttscope.operators import collection
+    from rttscope.sources import adapter
+    use = collection.usage(stages(spark, sf).collected, adapter.PERIODS, 2100.0)
+    per = quality.long_metrics(use, "5", {
+        "fluxos": F.count(F.lit(1)), "fluxos_vazios": F.count_if(F.col("linhas") == 0), "fluxos_usados": F.count_if("usado"), "linhas": F.sum("linhas")}, ["periodo"])
+    loss = quality.long_metrics(collection.high_loss(adapter.pings(spark, sf), 0.1), "5", {"pares_com_perda_alta": F.count(F.lit(1))})
+    return per.unionByName(loss)
+
+
 # ---------------------------------------------------------------- orders, samples, picks
 @register("k1_canonical_order", """
 SELECT periodo, anchor_id, probe_id, timestamp, event_id FROM collected ORDER BY periodo, anchor_id, probe_id, timestamp""")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from rttscope import contract as K
 from rttscope.functions.privacy import alert_id, pseudonym, pseudonymise
 from rttscope.operators import alerts, baseline, collection, drift, metrics, online, scoring
+from rttscope.plans.bayes_sql import NB_IMPORTANCE
 from rttscope.plans.catalog import register, rounded, stages
 from rttscope.plans.queries_drift import DRIFT_CTES, FINAL_STATUS, Drift
-from rttscope.session import materialise
-from rttscope.sources import adapter
+from rttscope.session import materialise, work_path
+from rttscope.sources import adapter, sinks
 
 RUN = 3600
 NOW = "2024-01-31T00:00:00Z"
@@ -22,9 +23,9 @@ PROD_CTES = {
   SELECT *, CASE WHEN timestamp % 89 = 0 THEN 'OUTRA' ELSE classe_prevista END AS prevista, CASE WHEN timestamp % 97 = 0 THEN 0.4 ELSE 0.1 END AS resto FROM preds""",
     "logrows": f"""
   SELECT 'run-' || (timestamp // {RUN} * {RUN})::VARCHAR AS run_id, {ISO.format('timestamp')} AS ts_previsao, fluxo_id, anchor_id, prevista AS classe_prevista,
-    classe_atual, alvo, timestamp, prevista = 'OUTRA' AS m1, resto <> 0.1 AS m2 FROM scored""",
+    classe_atual, alvo, timestamp, prevista = 'OUTRA' AS m1, resto <> 0.1 AS m2, timestamp % 83 = 0 OR timestamp % 79 = 0 AS m3 FROM scored""",
     "good": """
-  SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY run_id, fluxo_id, ts_previsao ORDER BY classe_prevista) AS n FROM logrows WHERE NOT m1 AND NOT m2) WHERE n = 1""",
+  SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY run_id, fluxo_id, ts_previsao ORDER BY classe_prevista) AS n FROM logrows WHERE NOT m1 AND NOT m2 AND NOT m3) WHERE n = 1""",
     "late": """
   SELECT run_id, fluxo_id, ts_previsao, CASE WHEN timestamp % 10 = 3 THEN 'NADA' ELSE alvo END AS rotulo, timestamp AS ts FROM good WHERE timestamp % 10 < 7
   UNION ALL SELECT run_id, fluxo_id, ts_previsao, 'OK', timestamp + 60 FROM good WHERE timestamp % 10 < 2""",
@@ -48,7 +49,9 @@ def scored_rows(spark, sf):
     rows = rows.withColumn("proba", scoring.class_map(share))
     key = (spark.sparkContext.applicationId, sf)
     if key not in _LOGS:
-        _LOGS[key] = materialise(scoring.log_rows(rows, RUN, "rf_v1.0.0", "0" * 64), "log")
+        digest = F.when(F.col("timestamp") % 83 == 0, "0" * 64).otherwise("sha256:" + "0" * 64)
+        version = F.when(F.col("timestamp") % 79 != 0, "rf_v1.0.0")
+        _LOGS[key] = materialise(scoring.log_rows(rows, RUN, version, digest), "log")
     return rows, _LOGS[key]
 
 
@@ -77,8 +80,8 @@ def m9_accepted(spark, sf):
 
 
 @register("s18_quarantine", """
-SELECT run_id, fluxo_id, ts_previsao, concat_ws('; ', CASE WHEN m1 THEN 'classe invalida' END, CASE WHEN m2 THEN 'proba nao soma 1' END) AS motivos
-FROM logrows WHERE m1 OR m2""", PROD_CTES)
+SELECT run_id, fluxo_id, ts_previsao, concat_ws('; ', CASE WHEN m1 THEN 'classe invalida' END, CASE WHEN m2 THEN 'proba nao soma 1' END, CASE WHEN m3 THEN 'modelo_versao ou modelo_hash fora do manifesto' END) AS motivos
+FROM logrows WHERE m1 OR m2 OR m3""", PROD_CTES)
 def s18_quarantine(spark, sf):
     _, bad = scoring.accept(scored_rows(spark, sf)[1])
     return bad.select("run_id", "fluxo_id", "ts_previsao", "motivos")
@@ -248,20 +251,14 @@ def w11_low_runs(spark, sf):
     return rounded(alerts.low_runs(performance_history(spark, sf), "dia"))
 
 
-IMPORTANCE = {"importance": "SELECT feature, row_number() OVER (ORDER BY feature) % 7 / 10.0 AS importancia FROM ref_edges"}
-
-
-def importance(d):
-    from pyspark.sql import Window
-    # a stand-in ranking over the 21 feature rows; the model-based one is d14
-    return d.select("feature", (F.row_number().over(Window.orderBy("feature")) % 7 / 10.0).alias("importancia"))
+IMPORTANCE = {**NB_IMPORTANCE, "importance": "SELECT feature, importancia FROM nb_importance"}
 
 
 @register("l1_important_features", """
 SELECT feature, round(importancia::DOUBLE, 6) AS importancia FROM importance WHERE importancia > 0 AND importancia >= (
   SELECT importancia FROM (SELECT importancia, row_number() OVER (ORDER BY importancia) - 1 AS r, count(*) OVER () AS n FROM importance) WHERE r = n // 2)""", {**DRIFT_CTES, **IMPORTANCE})
 def l1_important_features(spark, sf):
-    return rounded(alerts.important(importance(Drift(spark, sf).ref)))
+    return rounded(alerts.important(stages(spark, sf).importance))
 
 
 def _alert_id(rule, key):
@@ -281,12 +278,12 @@ ALL_CTES = {**PROD_CTES, **ITEM_CTES, **IMPORTANCE, "alert_rows": ALERTS}
 
 def all_alerts(spark, sf):
     d = Drift(spark, sf)
-    ref, windows = d.ref, d.windows
+    windows = d.windows
     features = d.features
     state = items(spark, sf).select(
         F.lit(False).alias("falha_coleta"), F.coalesce(F.col("motivo") == "timestamp_invalido", F.lit(False)).alias("contrato_invalido"))
     parts = [
-        alerts.psi_alerts(features, importance(ref), NOW), alerts.mix_alerts(drift.prediction_block(windows, d.ref_props), NOW),
+        alerts.psi_alerts(features, stages(spark, sf).importance, NOW), alerts.mix_alerts(drift.prediction_block(windows, d.ref_props), NOW),
         alerts.collection_alerts(state, NOW), alerts.performance_alerts(performance_history(spark, sf), "dia", NOW),
     ]
     out = parts[0]
@@ -355,16 +352,27 @@ def j12_closed_forecasts(spark, sf):
     return forecasts(spark, sf).select("id_fluxo", "timestamp", "msm_id", "previsto", "real", "acerto", "lacuna", "fechada")
 
 
+def _macro(seen):
+    return "(" + " + ".join(f"coalesce(2.0 * count(*) FILTER (real = '{c}' AND {seen} = '{c}') / nullif(count(*) FILTER (real = '{c}') + count(*) FILTER ({seen} = '{c}'), 0), 0.0)" for c in K.CLASSES) + ") / 3"
+
+
 SESSION = f"""
-SELECT count(*) AS fechadas, count(*) FILTER (real <> classe) AS transicoes, round(avg((classe = real)::INTEGER), 6) AS acuracia,
-  round(({' + '.join(f"coalesce(2.0 * count(*) FILTER (real = '{c}' AND classe = '{c}') / nullif(count(*) FILTER (real = '{c}') + count(*) FILTER (classe = '{c}'), 0), 0.0)" for c in K.CLASSES)}) / 3, 6) AS macro_f1
-FROM forecasts WHERE real IS NOT NULL AND pos > 12 AND lacuna = false"""
+SELECT id_fluxo, n, n <= 12 AS abaixo_do_aquecimento, fechadas, transicoes, round(acuracia, 6) AS acuracia, round(macro_f1, 6) AS macro_f1, round(recall_falha, 6) AS recall_falha,
+  round(acuracia_persistencia, 6) AS acuracia_persistencia, round(macro_f1_persistencia, 6) AS macro_f1_persistencia,
+  round(CASE WHEN macro_f1_persistencia <> 0 THEN macro_f1 - macro_f1_persistencia END, 6) AS ganho_macro_f1
+FROM (SELECT id_fluxo, count(*) AS n FROM ruled GROUP BY id_fluxo) JOIN (
+  SELECT id_fluxo, count(*) AS fechadas, count(*) FILTER (real <> classe) AS transicoes, avg((regra = real)::INTEGER) AS acuracia, {_macro('regra')} AS macro_f1,
+    count(*) FILTER (real = 'FALHA' AND regra = 'FALHA')::DOUBLE / nullif(count(*) FILTER (real = 'FALHA'), 0) AS recall_falha,
+    avg((classe = real)::INTEGER) AS acuracia_persistencia, {_macro('classe')} AS macro_f1_persistencia
+  FROM ruled WHERE real IS NOT NULL AND pos > 12 AND NOT lacuna GROUP BY id_fluxo) USING (id_fluxo)"""
 
 
-@register("g30_session_metrics", SESSION.replace("AND lacuna = false", ""), FORECASTS)
+@register("g30_session_metrics", SESSION, {**FORECASTS, "ruled": "SELECT *, CASE WHEN perda_pct > 0 THEN 'FALHA' ELSE classe END AS regra FROM forecasts"})
 def g30_session_metrics(spark, sf):
+    """Each flow as a session; a rule that calls every loss a failure forecasts, so that it differs from persistence."""
     from rttscope.operators.online import session_metrics
-    return rounded(session_metrics(forecasts(spark, sf).withColumn("lacuna", F.lit(False))))
+    rule = F.when(F.col("perda_pct") > 0, "FALHA").otherwise(F.col("classe"))
+    return rounded(session_metrics(forecasts(spark, sf).withColumn("previsto", rule), ["id_fluxo"]))
 
 
 @register("t8_warm_rows", "SELECT id_fluxo, timestamp, msm_id FROM forecasts WHERE pos > 12 AND NOT lacuna", FORECASTS)
@@ -379,11 +387,25 @@ def s21_stored_forecasts(spark, sf):
     return online.stored_forecasts(forecasts(spark, sf), adapter.B_START + 5 * 86400, 50, closed_only=True).select("id_fluxo", "timestamp", "real")
 
 
+EVENTS = {"event_log": f"""
+  SELECT timestamp AS ts, ['coleta_ok', 'coleta_ok', 'erro_rede', 'http_429', 'modelo'][event_id % 5 + 1] AS tipo,
+    CASE WHEN event_id % 5 IN (2, 3) THEN 'ERRO' WHEN event_id % 7 = 0 THEN 'AVISO' ELSE 'INFO' END AS nivel FROM tagged WHERE periodo = 'B'"""}
+
+
 @register("s22_health", f"""
-SELECT max(timestamp) AS ultimo, {adapter.B_END} - max(timestamp) AS atraso_s, count(*) FILTER (lacuna) AS lacunas, count(*) FILTER (classe = 'FALHA') AS falhas,
-  count(*) FILTER (classe = 'FALHA' AND timestamp >= {adapter.B_END - 86400}) AS falhas_24h FROM forecasts""", FORECASTS)
+SELECT (SELECT max(timestamp) FROM forecasts) AS ultimo, {adapter.B_END} - (SELECT max(timestamp) FROM forecasts) AS atraso_s,
+  count(*) FILTER (tipo = 'coleta_ok') AS ciclos_ok, count(*) FILTER (tipo IN ('erro_rede', 'http_429')) AS ciclos_falha,
+  count(*) FILTER (ts >= {adapter.B_END - 86400} AND nivel IN ('AVISO', 'ERRO')) AS avisos_24h FROM event_log""", {**FORECASTS, **EVENTS})
 def s22_health(spark, sf):
-    return online.health(forecasts(spark, sf), adapter.B_END)
+    """Health from the stored measurements and the operational event log, which is written by day and read back."""
+    b = stages(spark, sf).raw.where((F.col("timestamp") >= adapter.B_START) & (F.col("timestamp") < adapter.B_END))
+    kinds = F.array(*[F.lit(x) for x in ("coleta_ok", "coleta_ok", "erro_rede", "http_429", "modelo")])
+    k = F.col("event_id") % 5
+    level = F.when(k.isin(2, 3), "ERRO").when(F.col("event_id") % 7 == 0, "AVISO").otherwise("INFO")
+    log = b.select(F.col("timestamp").alias("ts"), F.get(kinds, k.cast("int")).alias("tipo"), level.alias("nivel"))
+    path = work_path(spark, "event-log")
+    sinks.append_events(log, path, F.to_date(F.timestamp_seconds("ts")))
+    return online.health(forecasts(spark, sf), spark.read.parquet(path), adapter.B_END)
 
 
 @register("j17_accepted_marks", """
@@ -396,13 +418,6 @@ def j17_accepted_marks(spark, sf):
     return online.accepted_marks(marks, session).select("event_id", "situacao")
 
 
-@register("j16_recorded_vs_rescored", "SELECT id_fluxo, timestamp, timestamp % 5 <> 0 OR classe_prevista = 'OK' AS igual FROM (SELECT DISTINCT ON (id_fluxo, timestamp) * FROM preds)", DRIFT_CTES)
-def j16_recorded_vs_rescored(spark, sf):
-    rows = Drift(spark, sf).preds.select("id_fluxo", "timestamp", "classe_prevista").dropDuplicates(["id_fluxo", "timestamp"])
-    again = rows.withColumn("classe_prevista", F.when(F.col("timestamp") % 5 == 0, "OK").otherwise(F.col("classe_prevista")))
-    return scoring.compare_scores(rows, again).select("id_fluxo", "timestamp", "igual")
-
-
 # ---------------------------------------------------------------- pseudonyms
 @register("f23_pseudonyms", "SELECT event_id, anchor_id, sha256('sal:' || probe_id::VARCHAR) AS probe_id_hash FROM pings")
 def f23_pseudonyms(spark, sf):

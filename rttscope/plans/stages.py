@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rttscope import contract as K
 from rttscope.functions.parse import instant_metrics
-from rttscope.operators import baseline, collection, dataset, models
+from rttscope.operators import baseline, collection, dataset, models, picks
 from rttscope.session import materialise
 from rttscope.sources import adapter
 
@@ -129,3 +129,13 @@ class Stages:
     def model(self):
         """The winner of all families, fitted on the training rows."""
         return models.refit(self.grid(*K.FAMILIES), self.published)
+
+    @cached_property
+    def importance(self) -> DataFrame:
+        """Permutation importance of the features for the naive Bayes forecaster, on a seeded sample of training rows."""
+        rows, key = self.published, ["id_fluxo", "timestamp"]
+        train = rows.where("split = 'treino'")
+        model = models.GaussianNB(models.GaussianNB.statistics(train), K.GRIDS["naive_bayes"]["var_smoothing"][0], K.FEATURES)
+        sample = materialise(picks.hashed_sample(train, K.LEAK_SAMPLE, key), "importance-sample")
+        table = models.permutation_importance(model, sample, key).withColumn("importancia", F.round("importancia", 9))
+        return self._stored(table, "importance")
