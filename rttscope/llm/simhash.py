@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rttscope.llm.components import components
-from rttscope.llm.text import map_texts
+from rttscope.llm.text import free_names, map_texts
 from rttscope.session import materialise
 
 BITS = 64
@@ -397,9 +397,10 @@ def crowd_links(shards: DataFrame, large: DataFrame, roots: DataFrame, width: in
 
 
 def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The candidates whose shingle sets (content, shingles) have at least the similarity.
+    """A spanning forest of the candidates whose shingle sets (content, shingles) have at least the similarity.
 
-    Contents are dealt into parts of about ``SET_WORDS`` shingles; a cell holds the sets of two parts once,
+    A cell keeps the links that join two of its trees, so it gives fewer links than it has contents, and a candidate
+    whose ends verified links have joined is not compared.  Contents are dealt into parts of about ``SET_WORDS`` shingles; a cell holds the sets of two parts once,
     and its pairs stream past them.
     """
     total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
@@ -414,7 +415,12 @@ def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataF
     def run(batches):
         import pyarrow as pa
 
-        key, held, ready = None, {}, None
+        key, held, ready, trees = None, {}, None, {}
+
+        def root(x):
+            while (up := trees.setdefault(x, x)) != x:
+                trees[x] = x = trees.setdefault(up, up)
+            return x
 
         def index():
             """Every set as numbers of the cell's distinct shingles."""
@@ -433,26 +439,34 @@ def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataF
                 if x == y:
                     continue
                 if (low[x], high[x]) != key:
-                    key, held, ready = (low[x], high[x]), {}, None
+                    key, held, ready, trees = (low[x], high[x]), {}, None, {}
                 if kind[x] == 0:
                     held.update((int(a[k]), shingles[k].values.to_numpy()) for k in range(x, y))
                     continue
                 if ready is None:
                     ready, held = index(), {}
                 numbers, mark = ready
-                own = numbers[int(a[x])]
+                name = int(a[x])
+                own = numbers[name]
                 mark[own] = 1
                 for start in range(x, y, 1024):
-                    stop = min(start + 1024, y)
-                    others = [numbers[v] for v in b[start:stop].tolist()]
+                    here = root(name)
+                    apart = [(k, v) for k, v in enumerate(b[start : min(start + 1024, y)].tolist(), start) if root(v) != here]
+                    if not apart:
+                        continue
+                    others = [numbers[v] for _, v in apart]
                     sizes = np.array([len(o) for o in others])
                     sums = np.concatenate([[0], np.cumsum(mark[np.concatenate(others)])])
                     ends = np.cumsum(sizes)
                     both = sums[ends] - sums[ends - sizes]
-                    kept.append(start + np.flatnonzero(both >= similarity * (len(own) + sizes - both) - 1e-9))
+                    for n in np.flatnonzero(both >= similarity * (len(own) + sizes - both) - 1e-9).tolist():
+                        k, v = apart[n]
+                        if (there := root(v)) != root(name):
+                            trees[there] = root(name)
+                            kept.append(k)
                 mark[own] = 0
             if kept:
-                k = np.concatenate(kept)
+                k = np.array(kept)
                 yield pa.RecordBatch.from_arrays([pa.array(a[k], pa.int64()), pa.array(b[k], pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
@@ -481,10 +495,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     shards = near_shards(reps, width, blocks)
     large = materialise(shards.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_SHARD), "near-large-shards")
 
-    def linked(candidates):
-        # shingle sets of the candidates' first documents only: a further scan keeps what a filter of fixed size lets through
-        ends = candidates.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-        wanted = materialise(ends.join(reps.select("content", F.col("first.h").alias("h")), "content"), "near-ends")
+    def sets_of(contents):
+        # shingle sets of the contents' first documents only: a further scan keeps what a filter of fixed size lets through
+        wanted = materialise(contents.join(reps.select("content", F.col("first.h").alias("h")), "content"), "near-ends")
         shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.col("h").alias("hash"))))
 
         def sets(hashes, texts):
@@ -492,16 +505,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             return [(h, np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist()) for h, t, o in zip(hashes, texts, ok, strict=True) if o]
 
         found = map_texts(rows, ["h", "text"], "h long, shingles array<long>", sets, 64).groupBy("h").agg(F.any_value("shingles").alias("shingles"))
-        with_set = materialise(wanted.join(found, "h").select("content", "shingles"), "near-sets")
-        return materialise(verified(candidates, with_set, similarity), "near-links")
+        return materialise(wanted.join(found, "h").select("content", "shingles"), "near-sets")
 
-    links = linked(materialise(near_links(shards, large, most), "near-candidates"))
+    candidates = materialise(near_links(shards, large, most), "near-candidates")
+    ends = sets_of(candidates.select(F.explode(F.array("a", "b")).alias("content")).distinct())
+    links = materialise(verified(candidates, ends, similarity), "near-links")
     roots = components(links, "a", "b")
     if not large.isEmpty():
         # a forest's link that failed stood for others: what is still apart in a large shard is compared pair by pair
         crowd = materialise(crowd_links(shards, large, roots, width, blocks, most), "near-crowd-candidates")
         if not crowd.isEmpty():
-            roots = components(links.union(linked(crowd)), "a", "b")
+            apart = sets_of(crowd.select(F.explode(F.array("a", "b")).alias("content")).distinct())
+            roots = components(links.union(materialise(verified(crowd, apart, similarity), "near-links")), "a", "b")
     classes = reps.select("content", "first").join(roots, F.col("content") == F.col("node"), "left").select("content", "first", F.coalesce("root", "content").alias("root"))
     stays = classes.groupBy("root").agg(F.min("first").alias("stay"))
     kept = materialise(stays.select(F.col("stay.id").alias("kid"), F.col("stay.h").alias("kh")), "near-kept")
@@ -513,8 +528,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one document of each group; of equal rows one stays."""
     names = docs.columns
     kept = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("keep"), "near-decisions")
-    kept = kept.select(F.col("id").alias("near_id"), F.col("h").alias("near_h"), F.col("copies").alias("near_copies"))
+    near_id, near_h, copies = free_names(names, "near_id", "near_h", "near_copies")
+    kept = kept.select(F.col("id").alias(near_id), F.col("h").alias(near_h), F.col("copies").alias(copies))
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(kept, F.col(id_col).eqNullSafe(F.col("near_id")) & (h == F.col("near_h")))
-    once, again = joined.where("near_copies = 1").select(*names), joined.where("near_copies > 1").dropDuplicates(["near_id", "near_h"]).select(*names)
+    joined = docs.join(kept, F.col(id_col).eqNullSafe(F.col(near_id)) & (h == F.col(near_h)))
+    once, again = joined.where(F.col(copies) == 1).select(*names), joined.where(F.col(copies) > 1).dropDuplicates([near_id, near_h]).select(*names)
     return once.unionByName(again)

@@ -127,8 +127,9 @@ def test_quality_stage(spark, sf, odd, none):
     kept = {r.doc_id for r in queries.op6_rules(spark, sf).where("kept").collect()}
     got = corpus_pipeline.quality_rules(spark, docs, sf)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(kept)
-    odd_kept = corpus_pipeline.quality_rules(spark, odd, sf)
-    assert odd_kept.columns == odd.columns and not [r for r in odd_kept.collect() if brute.rule_counts(r.text)[-1]]
+    clash = odd.selectExpr("*", "0 rule_key", "1 rejected_id", "2 REJECTED_HASH", "3 rule_text", "4 i", "5 h")
+    odd_kept = corpus_pipeline.quality_rules(spark, clash, sf)
+    assert odd_kept.columns == clash.columns and not [r for r in odd_kept.collect() if brute.rule_counts(r.text)[-1]]
     assert corpus_pipeline.quality_rules(spark, none, sf).count() == 0
 
 
@@ -161,7 +162,8 @@ def test_whole_run(spark, sf):
 
 def test_stages_take_odd_and_no_rows(spark, sf, odd, none):
     for table in (odd, none):
-        docs = table.withColumn("n_chars", F.length("text").cast("long"))
+        docs = table.withColumn("n_chars", F.length("text").cast("long")).selectExpr(
+            "*", "0 bad_id", "1 bad_hash", "2 rejected_id", "3 rejected_hash", "4 near_id", "5 near_h", "6 near_copies", "7 pii_id", "8 pii_h", "9 pii_spans", "10 rule_key", "'x' id", "'y' h", "11 i", "12 t")
         names = docs.columns
         for name, stage in corpus_pipeline.STAGES[1:-1]:  # the first stage rejects most odd rows
             docs = stage(spark, docs, sf)
