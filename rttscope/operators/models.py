@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rttscope import contract as K
 from rttscope.operators import metrics
-from rttscope.session import remove, work_path
+from rttscope.session import materialise, remove, work_path
 from rttscope.sources.readers import ContractError, require_columns
 
 # Depth used where a grid says "no limit": the deepest tree the library grows.
@@ -180,22 +180,27 @@ def node_rows(spark, path: str) -> DataFrame:
     )
 
 
-def walked(nodes: DataFrame, depths: list[int]) -> list[Column]:
-    """The class name that one tree predicts when it is cut at each depth (increasing), from column ``_x``.
+def walked(rows: DataFrame, nodes: DataFrame, depths: list[int], deepest: int) -> DataFrame:
+    """The node each row reaches in its tree when the tree is cut at each depth: columns ``corte`` and ``classe`` are added.
 
-    A node's split does not depend on the depth limit, so a tree with a smaller limit is the deeper one cut off.
-    The nodes of one tree become one array value.
+    ``rows`` has the tree ``arvore`` and the features as array ``_x``; each level is one join with the node table, which is
+    small.  A node's split does not depend on the depth limit, so a tree with a smaller limit is the deeper
+    one cut off.
     """
-    row = F.struct("no", "indice", "limiar", "esquerda", "direita", "classe")
-    table = nodes.agg(F.sort_array(F.collect_list(row))).scalar()
-    names = F.array(*[F.lit(c) for c in K.CLASSES])
-
-    def step(at: Column, _: Column) -> Column:
-        node = F.get(table, at)
-        goes_left = F.get("_x", node["indice"]) <= node["limiar"]
-        return F.when(node["esquerda"] < 0, at).when(goes_left, node["esquerda"]).otherwise(node["direita"])
-
-    return [F.get(names, F.get(table, F.aggregate(F.sequence(F.lit(1), F.lit(d)), F.lit(0), step))["classe"]) for d in depths]
+    step = nodes.select("arvore", F.col("no").alias("_no"), "indice", "limiar", "esquerda", "direita")
+    at = rows.withColumn("_no", F.lit(0))
+    marks = {}
+    for level in range(1, deepest + 1):
+        goes_left = F.get("_x", F.col("indice")) <= F.col("limiar")
+        to = F.when(F.col("esquerda") < 0, F.col("_no")).when(goes_left, F.col("esquerda")).otherwise(F.col("direita"))
+        at = at.join(step, ["arvore", "_no"]).withColumn("_no", to).drop("indice", "limiar", "esquerda", "direita")
+        if level in depths:
+            marks[level] = f"_no{level}"
+            at = at.withColumn(marks[level], F.col("_no"))
+    # below the last level nothing moves
+    cut = F.explode(F.array(*[F.struct(F.lit(d).alias("corte"), F.col(marks.get(d, "_no")).alias("no")) for d in depths]))
+    reached = at.withColumn("_m", cut).select(*[c for c in rows.columns if c != "_x"], "_m.*")
+    return reached.join(nodes.select("arvore", "no", "classe"), ["arvore", "no"]).drop("no")
 
 
 def run_grid(final: DataFrame, families=K.FAMILIES, points: list[dict] | None = None, threads: int = 4) -> tuple[DataFrame, list]:
@@ -235,22 +240,25 @@ def run_grid(final: DataFrame, families=K.FAMILIES, points: list[dict] | None =
     for p in of("arvore_decisao"):
         nested.setdefault((p["params"]["min_samples_leaf"], p["params"]["class_weight"]), []).append(p)
 
-    def grow(group: list[dict]) -> tuple[list[dict], str]:
+    def grow(group: list[dict]) -> tuple[str, int]:
         deepest = max(group, key=lambda p: p["params"]["max_depth"] or DEEPEST)["params"]
         where = work_path(spark, "grid-tree")
         model = build("arvore_decisao", deepest).fit(weights[deepest["class_weight"]])
         model.write().save(where)
-        return group, where
+        return where, model.depth
 
     if nested:
-        guesses, places = {}, []
-        for group, where in side_by_side(spark, grow, list(nested.values()), threads):
-            places.append(where)
-            group = sorted(group, key=lambda p: p["params"]["max_depth"] or DEEPEST)
-            found = walked(node_rows(spark, where), [p["params"]["max_depth"] or DEEPEST for p in group])
-            guesses |= {p["candidato"]: c for p, c in zip(group, found, strict=True)}
-        counted(several(ready.withColumn("_x", vector_to_array("features")), guesses), "arvores")
-        for where in places:
+        grown = side_by_side(spark, grow, list(nested.values()), threads)
+        trees = [node_rows(spark, where).withColumn("arvore", F.lit(k)) for k, (where, _) in enumerate(grown)]
+        nodes = materialise(reduce(DataFrame.unionByName, trees), "grid-nodes")
+        named = {(k, p["params"]["max_depth"] or DEEPEST): p["candidato"] for k, group in enumerate(nested.values()) for p in group}
+        each = ready.select(*KEEP, vector_to_array("features").alias("_x"), F.explode(F.array(*[F.lit(k) for k in range(len(trees))])).alias("arvore"))
+        found = walked(each, nodes, sorted({d for _, d in named}), max(depth for _, depth in grown))
+        known = F.create_map(*[x for (k, d), i in named.items() for x in (F.lit(k * 100 + d), F.lit(i))])
+        names = F.array(*[F.lit(c) for c in K.CLASSES])
+        guessed = found.withColumns({"candidato": F.try_element_at(known, F.col("arvore") * 100 + F.col("corte")), "previsto": F.get(names, F.col("classe"))})
+        counted(guessed.where("candidato is not null").select("candidato", *KEEP, "previsto"), "arvores")
+        for where, _ in grown:
             remove(spark, where)
 
     def grow_forest(point: dict) -> None:
