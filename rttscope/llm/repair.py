@@ -202,9 +202,11 @@ def _columns(batch: pa.RecordBatch):
 
 
 def _some(batches, cells: int = 1 << 18):
-    """Slices of a few segments, short ones together."""
+    """Slices of a few segments of like size, so that padding them to the longest stays cheap."""
     for batch in batches:
         size = batch.column("rows").value_lengths().to_numpy(zero_copy_only=False)
+        order = np.argsort(size, kind="stable")
+        batch, size = batch.take(pa.array(order)), size[order]
         start = 0
         while start < batch.num_rows:
             stop, most = start, 0
