@@ -157,23 +157,23 @@ def segments(scores: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, f
     places are visited: between two of them the running sum falls by drift times the gap.
     """
     places = np.flatnonzero(scores > 0)
-    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at the end
+    # start, end, sum before, sum at the end, place of the nearest earlier entry with a smaller sum before
+    stack: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, -1
     for p, s in zip(places.tolist(), scores[places].tolist(), strict=True):
         total -= drift * (p - last - 1)
         start, before, total, last = p, total, total + s, p
         end = p + 1
+        # every jump takes an entry off the chain that starts at the newest one, so all jumps are linear in the places
         j = len(stack) - 1
-        while True:
-            while j >= 0 and stack[j][2] >= before:
-                j -= 1
-            if j < 0 or stack[j][3] >= total:
-                break
-            start, before = stack[j][0], stack[j][2]
+        while j >= 0 and stack[j][2] >= before:
+            j = stack[j][4]
+        while j >= 0 and stack[j][3] < total:
+            start, _, before, _, lower = stack[j]
             del stack[j:]
-            j -= 1
-        stack.append((start, end, before, total))
-    return [(a, b, after - before) for a, b, before, after in stack]
+            j = lower
+        stack.append((start, end, before, total, j))
+    return [(a, b, after - before) for a, b, before, after, _ in stack]
 
 
 def segment_table(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str) -> DataFrame:

@@ -62,6 +62,69 @@ def personal(text):
     return out
 
 
+def quality_statistics(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    n, k = max(len(words), 1), max(len(lines), 1)
+    chars = max(sum(map(len, words)), 1)
+    per_word = lambda kind: len(re.findall(kind, text)) / n
+    return (
+        float(np.log1p(len(words))), chars / n, len(set(words)) / n, per_word(r"[#*$%&|<>]"), per_word("[A-Z]"), per_word("[!?]"), per_word("[0-9]"),
+        per_word("[.]"), per_word("[,;]"), sum(len(c.encode()) - 1 for c in text) / chars, k / n, (len(lines) - len(set(lines))) / k,
+        rule_counts(text)[4] / n, float(max((len(w.encode()) for w in words), default=0)),
+    )
+
+
+def boosted(model, row):
+    """One row through every tree, node by node."""
+    total = model.base
+    for feature, cut, value in zip(model.feature, model.cut, model.value):
+        node = 0
+        while feature[node] >= 0:
+            node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+        total += value[node]
+    return 1 / (1 + np.exp(-total))
+
+
+TERM = re.compile(r"[^\W_]+")
+
+
+def disclosing_terms(texts, near, letters, contexts, least):
+    """Terms that disclose an entity: 1 + log P(entity | term) / IC(entity) is at least ``least``."""
+    meets, around, total, n_words = Counter(), {}, Counter(), 0
+    for text in texts:
+        text = text or ""
+        n_words += len(WORDS.findall(text))
+        total.update(TERM.findall(text.lower()))
+        spans = personal(text)
+        free = lambda m: all(m.end() <= a or b <= m.start() for _, a, b in spans)
+        for kind, a, b in spans:
+            name = text[a:b].lower() if kind == "email" else text[a:b] if kind == "ip" else re.sub("[^0-9]", "", text[a:b])
+            beside = [m[0].lower() for m in TERM.finditer(text, 0, a) if free(m)][-near:] + [m[0].lower() for m in TERM.finditer(text, b) if free(m)][:near]
+            for w in beside:
+                if len(w) >= letters:
+                    meets[w, kind, name] += 1
+                    around.setdefault((w, kind, name), set()).add(" ".join(beside))
+    of_entity = Counter()
+    for (_, kind, name), n in meets.items():
+        of_entity[kind, name] += n
+    out = set()
+    for (w, *entity), n in meets.items():
+        if len(around[w, *entity]) >= contexts:
+            e = of_entity[tuple(entity)]
+            information = np.log(max(n_words, e + 1) / e)
+            if 1 + np.log(n / max(total[w] + 1, n)) / information >= least:
+                out.add(w)
+    return out
+
+
+def term_spans(text, terms):
+    text = text or ""
+    base = personal(text)
+    return [f"term:{m.start()}:{m.end()}" for m in TERM.finditer(text) if m[0].lower() in terms and all(m.end() <= a or b <= m.start() for _, a, b in base)]
+
+
 def spans_text(spans):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 

@@ -1,5 +1,7 @@
 """Operators that judge one text at a time: rules, quality, toxicity, personal data, licenses."""
 
+import time
+
 import brute
 import numpy as np
 import pytest
@@ -67,6 +69,17 @@ def test_held_out_labels_do_not_matter(spark, odd, labels):
     assert a == b
 
 
+def test_quality_statistics_and_walk_match_plain_versions(spark, sf, odd):
+    docs = odd.select("doc_id", "text").union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    rows = quality_trees.document_statistics(docs).collect()
+    got = sorted((tuple(r)[1:] for r in rows))
+    want = sorted(brute.quality_statistics(r.text) for r in docs.collect())
+    assert np.allclose(got, want, rtol=1e-12)
+    x = np.array(got)
+    model = quality_trees.fit_trees(x, (np.arange(len(x)) % 3 == 0).astype(float), trees=20)
+    assert np.allclose(model.probability(x), [brute.boosted(model, r) for r in x])
+
+
 def test_boosting_learns_a_step():
     x = np.linspace(0, 1, 400)[:, None]
     model = quality_trees.fit_trees(x, (x[:, 0] > 0.5).astype(float), trees=20)
@@ -90,6 +103,16 @@ def test_segments_match_definition():
         assert {p for a, b, _ in got for p in range(a, b)} == {p for a, b, _ in want for p in range(a, b)}
 
 
+def test_segment_scan_is_linear():
+    # every place starts below all earlier ones, so a walk over all of them would take hours
+    falling = np.zeros(4_000_000)
+    falling[::20] = 1.0
+    rising = np.tile([1.0, 0.0], 200_000)
+    started = time.process_time()
+    assert len(toxicity.segments(falling)) == 200_000 and len(toxicity.segments(rising)) == 1
+    assert time.process_time() - started < 20
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = queries.op8_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
@@ -147,6 +170,15 @@ def test_terms_that_give_an_entity_away(spark):
     assert "Zorblat" not in clean[900] and "[EMAIL]" in clean[0] and "bob@" not in clean[0] and clean[105] == text[105]
 
 
+def test_terms_match_brute_force(spark):
+    d = "/root/testdata/sf0.1"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    terms = brute.disclosing_terms(docs.values(), pii.NEAR, pii.LEAST_LETTERS, pii.LEAST_CONTEXTS, pii.GENERALISE)
+    want = {i: brute.term_spans(t, terms) for i, t in docs.items()}
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term:")] for r in queries.op10_pii(spark, d).collect()}
+    assert any(want.values()) and got == want
+
+
 def test_copies_prove_nothing(spark):
     docs = spark.createDataFrame([(k, "only Zorblat writes to bob@mail.example.com every day") for k in range(50)], "doc_id long, text string")
     assert all(s.kind == "email" for r in pii.find(docs).collect() for s in r.spans)
