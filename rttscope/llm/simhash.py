@@ -6,7 +6,8 @@ block, which is a distance of zero in that block's projection, so shards by bloc
 pair.  A shard is searched by a vantage-point tree: its rows are split at the median Hamming distance
 from a vantage point, both halves are searched apart, and only rows within the radius of the border
 (by the triangle inequality no others can link) are compared across.  A shard larger than
-``SHARD`` is divided before by its rows' distances to two vantage points of the shard; a row is
+``SHARD`` is divided before: by the bits outside its block, cut once more into radius + 1 parts of which linked rows
+share one, and a piece that is still too large by its rows' distances to two vantage points; a row is
 home in one ring cell and a guest in the cells whose rings it overlaps.
 
 Each shard returns a spanning forest of its links; components of all forests join the documents.
@@ -33,7 +34,9 @@ SHINGLE = 4
 SEED = 42
 #: Rows of a shard that one group searches.
 SHARD = 20_000
-LEAF = 64
+#: Rows that a tree compares without a further split.
+LEAF = 8
+CELL_KEYS = ["block", "value", "part", "piece", "ring1", "ring2"]
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -137,27 +140,62 @@ def blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD) -> DataFrame:
-    """(a, b): a spanning forest of all links among distinct fingerprints (column fp)."""
-    keys = F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", first).bitwiseAND((1 << width) - 1).alias("value")) for k, (first, width) in enumerate(blocks(radius))))
-    sharded = distinct.select("fp", F.explode(keys).alias("shard")).select("fp", "shard.*")
-    sizes = sharded.groupBy("block", "value").agg(F.count("*").alias("n"), F.min("fp").alias("v1"), F.max("fp").alias("v2"))
-    alone = sizes.where("n > 1")
-    # rings are wider than twice the radius, so a row is a guest in one neighbouring ring per vantage point at most
-    width = 2 * radius + 2
-    rows = sharded.join(alone, ["block", "value"])
+def sharded(distinct: DataFrame, radius: int) -> DataFrame:
+    """(block, value, rest, fp): every fingerprint once per block, with its bits outside the block."""
+    keys = []
+    for k, (first, width) in enumerate(blocks(radius)):
+        rest = F.col("fp").bitwiseAND((1 << first) - 1)
+        if first + width < BITS:
+            rest = rest.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", first + width), first))
+        keys.append(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", first).bitwiseAND((1 << width) - 1).alias("value"), rest.alias("rest")))
+    return distinct.select("fp", F.explode(F.array(*keys)).alias("shard")).select("fp", "shard.*")
+
+
+def divided(rows: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """The rows of large shards by cell (block, value, part, piece, ring1, ring2).
+
+    Linked rows of a shard differ in at most ``radius`` bits outside its block, so they agree in
+    one of ``radius`` + 1 parts of these.  A piece that is still too large is cut by distance rings
+    around two vantage points; rings are wider than twice the radius, so a row is a guest in one
+    neighbouring ring per vantage point at most.
+    """
+    bits = BITS - min(width for _, width in blocks(radius))
+    cuts = [round(k * bits / (radius + 1)) for k in range(radius + 2)]
+    parts = F.array(*(
+        F.struct(F.lit(k + 1).alias("part"), F.shiftrightunsigned("rest", a).bitwiseAND((1 << (b - a)) - 1).alias("piece")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))
+    ))
+    pieces = rows.select("block", "value", "fp", F.explode(parts).alias("p")).select("block", "value", "p.*", "fp")
+    keys = ["block", "value", "part", "piece"]
+    sizes = pieces.groupBy(*keys).agg(F.count("*").alias("n"), F.min("fp").alias("v1"), F.max("fp").alias("v2")).where("n > 1")
+    cells, width = pieces.join(sizes, keys), 2 * radius + 2
     for k in ("1", "2"):
         d = F.bit_count(F.col("fp").bitwiseXOR(F.col(f"v{k}")))
         home, low, high = F.floor(d / width), F.floor((d - radius) / width), F.floor((d + radius) / width)
         ring = F.when(F.col("n") > shard_rows, F.array_distinct(F.array(home, F.greatest(low, F.lit(0)), high))).otherwise(F.array(F.lit(0).cast("long")))
-        rows = rows.withColumn(f"ring{k}", F.explode(ring))
+        cells = cells.withColumn(f"ring{k}", F.explode(ring))
+    return cells.select(*CELL_KEYS, "fp")
 
-    return grouped(rows.select("block", "value", "ring1", "ring2", "fp"), radius)
+
+def cells(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD) -> DataFrame:
+    """Every fingerprint in each cell (``CELL_KEYS``) that may hold a link of it."""
+    rows = sharded(distinct, radius)
+    sizes = materialise(rows.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1"), "shard-sizes")
+    none = [F.lit(0).cast(kind).alias(c) for c, kind in (("part", "int"), ("piece", "long"), ("ring1", "long"), ("ring2", "long"))]
+    small = rows.join(sizes.where(F.col("n") <= shard_rows), ["block", "value"]).select("block", "value", *none, "fp")
+    large = sizes.where(F.col("n") > shard_rows)
+    if large.isEmpty():
+        return small
+    return small.unionByName(divided(rows.join(large.drop("n"), ["block", "value"]), radius, shard_rows))
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD) -> DataFrame:
+    """(a, b): a spanning forest of all links among distinct fingerprints (column fp)."""
+    return grouped(cells(distinct, radius, shard_rows), radius)
 
 
 def grouped(rows: DataFrame, radius: int) -> DataFrame:
     """Search every shard cell; rows come sorted by cell, so a task reads one cell after the other."""
-    keys = ["block", "value", "ring1", "ring2"]
+    keys = CELL_KEYS
     dealt = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "fp")
 
     def run(frames):

@@ -178,6 +178,32 @@ def test_tree_search_finds_every_link(spark, shard):
     assert {v: roots.get(v, v) for v in values} == want
 
 
+def test_large_shards_are_divided_into_bounded_cells(spark):
+    rng = np.random.default_rng(8)
+    mask = np.int64(~0x1FFF)  # all rows agree in the first block
+    base = rng.integers(-(2**63), 2**63, 100_000, dtype=np.int64) & mask
+    pairs = [(b, b ^ sum(1 << int(p) for p in places)) for b, places in zip(base[:300].tolist(), (13 + rng.permuted(np.tile(np.arange(50), (300, 1)), axis=1))[:, :4])]
+    rows = spark.createDataFrame([(v,) for v in {*base.tolist(), *(x for _, x in pairs)}], "fp long")
+    bound = 1_000
+    sizes = simhash.cells(rows, 4, bound).groupBy(*simhash.CELL_KEYS).count().agg({"count": "max"}).first()[0]
+    assert sizes <= bound
+    roots = {r.node: r.root for r in components(simhash.links(rows, 4, bound), "a", "b").collect()}
+    assert all(roots[a] == roots[x] for a, x in pairs)
+
+
+def test_trees_split_on_tables(spark, monkeypatch):
+    d = "/root/testdata/sf0.1"
+    prints = simhash.fingerprints(spark.read.parquet(f"{d}/documents.parquet")).select("fp").distinct()
+    shards = {}
+    for r in simhash.cells(prints).collect():
+        shards.setdefault(tuple(r)[:-1], []).append(r.fp)
+    sides = []
+    monkeypatch.setattr(simhash, "across", lambda values, left, right, *rest, plain=simhash.across: (sides.append(left is right), plain(values, left, right, *rest)))
+    for rows in shards.values():
+        simhash.search(np.array(rows, np.int64).view(np.uint64), 4, simhash.Forest(len(rows)))
+    assert not all(sides)  # rows on both sides of a border were compared
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5000, 5000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
