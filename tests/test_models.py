@@ -16,12 +16,12 @@ def final(spark):
     i = F.col("id")
     noise = F.pmod(F.xxhash64(i), F.lit(97)) / 97.0
     rows = spark.range(900).select(
-        F.concat_ws("_", i % 3, i % 2).alias("id_fluxo"), (i % 2).alias("anchor_id"), i.alias("timestamp"),
+        i, F.concat_ws("_", i % 3, i % 2).alias("id_fluxo"), (i % 2).alias("anchor_id"), i.alias("timestamp"),
         F.when(i < 500, "treino").when(i < 700, "validacao").otherwise("teste").alias("split"),
         *[(F.pmod(F.xxhash64(i, F.lit(k)), F.lit(1000)) / 10.0).alias(f) for k, f in enumerate(K.FEATURES)])
     x = F.col(K.FEATURES[0]) + F.col(K.FEATURES[1]) * noise
     cls = F.when(x > 110, "FALHA").when((x > 60) | (F.col(K.FEATURES[2]) > 90), "RISCO").otherwise("OK")
-    return rows.withColumn("alvo", cls).withColumn("classe_atual", F.lag("alvo", 1, "OK").over(Window.orderBy("timestamp"))).cache()
+    return rows.withColumn("alvo", cls).withColumn("classe_atual", F.lag("alvo", 1, "OK").over(Window.orderBy("timestamp"))).drop("id").cache()
 
 
 def test_trees_of_less_depth_are_the_deepest_cut_off(spark, final):
@@ -74,3 +74,15 @@ def test_a_fit_sees_no_test_rows_and_keeps_time_order(final):
         models.time_ordered(final.where("split <> 'teste'").withColumn("timestamp", -F.col("timestamp")))
     with pytest.raises(ContractError):
         models.time_ordered(final.where("split = 'treino'"))
+
+
+def test_every_row_is_recorded_and_rescored(spark, final, monkeypatch):
+    """All splits, repeated rows and rows without a flow: one row each."""
+    from rttscope.plans import queries_ml
+
+    odd = final.where("timestamp < 20")
+    rows = final.unionByName(odd).unionByName(odd.withColumn("id_fluxo", F.lit(None).cast("string")))
+    monkeypatch.setattr(queries_ml, "published", lambda *_: rows)
+    got = queries_ml.j16_recorded_vs_rescored(spark, None).collect()
+    assert len(got) == 940 and all(r.mesmo_modelo and r.igual == (r.timestamp % 50 != 0) for r in got)
+    assert sum(r.id_fluxo is None for r in got) == 20
