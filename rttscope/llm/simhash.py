@@ -342,7 +342,13 @@ def chunk(n, *seed):
 
 
 def by_cell(rows: DataFrame, keys: list[str], fields: list[str], found) -> DataFrame:
-    """``found(key, columns)`` yields (a, b) arrays for every cell; rows come sorted by cell, so a task holds one cell."""
+    """(a, b) of every cell; ``found(key, columns)`` yields their arrays."""
+    return in_cells(rows, keys, fields, found, "a long, b long")
+
+
+def in_cells(rows: DataFrame, keys: list[str], fields: list[str], found, schema: str) -> DataFrame:
+    """``found(key, columns)`` yields the arrays of the ``schema`` for every cell; rows come sorted by cell, so a task holds one cell."""
+    names = [f.split()[0] for f in schema.split(", ")]
     dealt = rows.select(*keys, *fields).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "content")
 
     def run(frames):
@@ -353,15 +359,15 @@ def by_cell(rows: DataFrame, keys: list[str], fields: list[str], found) -> DataF
         def flush():
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             if len(columns[0]) > 1:
-                for a, b in found(key, columns):
-                    if len(a):
-                        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                for out in found(key, columns):
+                    if len(out[0]):
+                        yield pd.DataFrame(dict(zip(names, out, strict=True)))
 
         for frame in frames:
             if not len(frame):
                 continue
             cell = frame[keys].to_numpy(np.int64)
-            columns = [np.stack(frame[f].to_numpy()).astype(np.int64).view(np.uint64) if f == "fp" else frame[f].to_numpy(np.int64) for f in fields]
+            columns = [np.stack(frame[f].to_numpy()).astype(np.int64).view(np.uint64) if f == "fp" else frame[f].to_numpy(None if f == "shingles" else np.int64) for f in fields]
             cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1).tolist(), len(cell)]
             for a, b in zip(cuts, cuts[1:]):
                 if key is not None and tuple(cell[a]) != key:
@@ -372,7 +378,7 @@ def by_cell(rows: DataFrame, keys: list[str], fields: list[str], found) -> DataF
         if held:
             yield from flush()
 
-    return dealt.mapInPandas(run, "a long, b long")
+    return dealt.mapInPandas(run, schema)
 
 
 def near_links(shards: DataFrame, large: DataFrame, most: int) -> DataFrame:
@@ -386,17 +392,37 @@ def near_links(shards: DataFrame, large: DataFrame, most: int) -> DataFrame:
             i, j = np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None]).sum(2, dtype=np.int64) <= most, 1))
         else:
             i, j = grow(values, most)
-        yield names[i], names[j]
+        yield np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
 
     return by_cell(rows, ["block", "value", "cell"], ["content", "fp"], found).distinct()
 
 
-def crowd_links(shards: DataFrame, large: DataFrame, roots: DataFrame, width: int, blocks: int, most: int) -> DataFrame:
-    """(a, b): every pair of a large shard within ``most`` bits that no verified link has put into one group.
+def apart_pairs(left, right, values, groups, block: int, width: int, blocks: int, most: int, same: bool):
+    """(i, j) arrays of the rows ``left`` and ``right`` within ``most`` bits and not of one group, first met in this block."""
+    before = block_values(values, width, blocks)[:, :block]
+    step = max(1, PAIRS // max(1, len(right)))
+    for start in range(0, len(left), step):
+        part = left[start : start + step]
+        near = groups[part][:, None] != groups[right][None]
+        distance = np.zeros(near.shape, np.int16)
+        for k in range(values.shape[1]):
+            distance += np.bitwise_count(values[part, k][:, None] ^ values[right, k][None])
+        i, j = np.nonzero(near & (distance <= most))
+        i, j = part[i], right[j]
+        once = i < j if same else np.ones(len(i), bool)
+        i, j = i[once], j[once]
+        for at in range(0, len(i), PAIRS // 16):
+            a, b = i[at : at + PAIRS // 16], j[at : at + PAIRS // 16]
+            new = ~(before[a] == before[b]).any(1)
+            yield a[new], b[new]
+
+
+def crowd_ends(shards: DataFrame, large: DataFrame, roots: DataFrame, width: int, blocks: int, most: int) -> DataFrame:
+    """(block, value, content): contents of a large shard within ``most`` bits of one that no verified link has put into their group.
 
     A shard's largest group is never compared with itself.  The others are dealt into chunks, and each two
     chunks of which one is not of the largest group meet in a cell of their own.  A pair is found in the first
-    block in which it agrees.
+    block in which it agrees; a cell names the ends of its pairs, not the pairs.
     """
     rows = shards.join(large.select("block", "value"), ["block", "value"]).join(roots.withColumnRenamed("node", "content"), "content", "left")
     rows = rows.withColumn("root", F.coalesce("root", "content"))
@@ -410,28 +436,68 @@ def crowd_links(shards: DataFrame, large: DataFrame, roots: DataFrame, width: in
 
     def found(key, columns):
         names, values, groups, chunks = columns
+        block, value, low, high = key
+        ends = np.zeros(len(names), bool)
+        for i, j in apart_pairs(np.flatnonzero(chunks == low), np.flatnonzero(chunks == high), values, groups, block, width, blocks, most, low == high):
+            ends[i] = ends[j] = True
+        met = names[ends]
+        yield met, np.full(len(met), int(block) << 32 | int(value))  # a block's value has 20 bits at most
+
+    shard = F.col("b")
+    return by_cell(rows, ["block", "value", "low", "high"], ["content", "fp", "root", "chunk"], found).distinct().select(
+        F.shiftright(shard, 32).cast("int").alias("block"), shard.bitwiseAND(0xFFFFFFFF).alias("value"), F.col("a").alias("content"))
+
+
+def crowd_forest(ends: DataFrame, reps: DataFrame, sets: DataFrame, roots: DataFrame, width: int, blocks: int, most: int, similarity: float) -> DataFrame:
+    """(a, b): links of the crowds' ends (block, value, content) whose shingle sets have at least the similarity.
+
+    The ends of a shard are dealt into parts of bounded size, and each two parts meet in a cell with their sets.  A cell
+    compares its pairs where they meet and gives a spanning forest of those that hold, so no pair leaves it.
+    """
+    rows = ends.join(reps.select("content", "fp"), "content").join(sets, "content").join(roots.withColumnRenamed("node", "content"), "content", "left")
+    rows = materialise(rows.withColumn("root", F.coalesce("root", "content")), "near-crowd-sets")
+    bound = F.greatest(F.ceil(F.sum(F.size("shingles")) / SET_WORDS), F.ceil(F.count("*") / CELL), F.lit(1))
+    rows = rows.join(rows.groupBy("block", "value").agg(bound.alias("parts")), ["block", "value"]).withColumn("chunk", chunk(F.col("parts"), F.lit("set")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+
+    def found(key, columns):
+        names, values, groups, chunks, shingles = columns
         block, _, low, high = key
-        left, right = np.flatnonzero(chunks == low), np.flatnonzero(chunks == high)
-        if not len(left) or not len(right):
-            return
-        before = block_values(values, width, blocks)[:, :block]
-        step = max(1, PAIRS // len(right))
-        for start in range(0, len(left), step):
-            part = left[start : start + step]
-            near = groups[part][:, None] != groups[right][None]
-            distance = np.zeros(near.shape, np.int16)
-            for k in range(values.shape[1]):
-                distance += np.bitwise_count(values[part, k][:, None] ^ values[right, k][None])
-            i, j = np.nonzero(near & (distance <= most))
-            i, j = part[i], right[j]
-            once = i < j if low == high else np.ones(len(i), bool)
-            i, j = i[once], j[once]
-            for at in range(0, len(i), PAIRS // 16):
-                a, b = i[at : at + PAIRS // 16], j[at : at + PAIRS // 16]
-                new = ~(before[a] == before[b]).any(1)
-                yield names[a[new]], names[b[new]]
-
-    return by_cell(rows, ["block", "value", "low", "high"], ["content", "fp", "root", "chunk"], found)
+        sizes = np.array([len(x) for x in shingles])
+        distinct, numbers = np.unique(np.concatenate(list(shingles)), return_inverse=True)
+        numbers, mark = np.split(numbers, np.cumsum(sizes)[:-1]), np.zeros(len(distinct) + 1, np.int64)
+        trees = {}
+
+        def root(x):
+            while (up := trees.setdefault(x, x)) != x:
+                trees[x] = x = trees.setdefault(up, up)
+            return x
+
+        kept = []
+        for i, j in apart_pairs(np.flatnonzero(chunks == low), np.flatnonzero(chunks == high), values, groups, block, width, blocks, most, low == high):
+            cuts = [0, *(np.flatnonzero(i[1:] != i[:-1]) + 1).tolist(), len(i)]
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                one = int(i[x])
+                mark[numbers[one]] = 1
+                for start in range(x, y, 1024):
+                    here = root(int(groups[one]))
+                    others = [k for k in j[start : min(start + 1024, y)].tolist() if root(int(groups[k])) != here]
+                    if not others:
+                        continue
+                    ends = np.cumsum(sizes[others])
+                    sums = np.concatenate([[0], np.cumsum(mark[np.concatenate([numbers[k] for k in others])])])
+                    both = sums[ends] - sums[ends - sizes[others]]
+                    for n in np.flatnonzero(both >= similarity * (sizes[one] + sizes[others] - both) - 1e-9).tolist():
+                        if (there := root(int(groups[others[n]]))) != root(int(groups[one])):
+                            trees[there] = root(int(groups[one]))
+                            kept.append((names[one], names[others[n]]))
+                mark[numbers[one]] = 0
+        a, b = np.array(kept, np.int64).reshape(-1, 2).T
+        yield np.minimum(a, b), np.maximum(a, b)
+
+    return in_cells(rows, ["block", "value", "low", "high"], ["content", "fp", "root", "chunk", "shingles"], found, "a long, b long")
 
 
 def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -551,10 +617,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     roots = components(links, "a", "b")
     if not large.isEmpty():
         # a forest's link that failed stood for others: what is still apart in a large shard is compared pair by pair
-        crowd = materialise(crowd_links(shards, large, roots, width, blocks, most), "near-crowd-candidates")
+        crowd = materialise(crowd_ends(shards, large, roots, width, blocks, most), "near-crowd-ends")
         if not crowd.isEmpty():
-            apart = sets_of(crowd.select(F.explode(F.array("a", "b")).alias("content")).distinct())
-            roots = components(links.union(materialise(verified(crowd, apart, similarity), "near-links")), "a", "b")
+            apart = sets_of(crowd.select("content").distinct())
+            roots = components(links.union(materialise(crowd_forest(crowd, reps, apart, roots, width, blocks, most, similarity), "near-links")), "a", "b")
     classes = reps.select("content", "first").join(roots, F.col("content") == F.col("node"), "left").select("content", "first", F.coalesce("root", "content").alias("root"))
     stays = classes.groupBy("root").agg(F.min("first").alias("stay"))
     kept = materialise(stays.select(F.col("stay.id").alias("kid"), F.col("stay.h").alias("kh")), "near-kept")

@@ -122,6 +122,21 @@ def test_large_shards_are_dealt_in_bounded_cells(spark, monkeypatch):
     assert len(largest) == 2 and max(largest) <= 4 * 64  # two chunks, dealt by a hash
 
 
+def test_no_table_of_a_crowd_holds_its_pairs(spark, monkeypatch):
+    texts, made = crowd(300), {}
+
+    def watched(df, name, *more):
+        out = materialise(df, name, *more)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    materialise = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", watched)
+    blocks = simhash.wide_plan(len(texts), 0.8)[2]
+    corpus_pipeline.near_copies(spark, spark.createDataFrame(texts, "doc_id long, text string"), None).count()
+    assert made["near-crowd-ends"] and max(n for name, n in made.items() if name.startswith("near-crowd")) <= len(texts) * blocks
+
+
 def test_quality_stage(spark, sf, odd, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id for r in queries.op6_rules(spark, sf).where("kept").collect()}
