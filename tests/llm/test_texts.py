@@ -215,3 +215,13 @@ def test_every_license_of_a_line_is_found(spark):
     }
     got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")).collect()}
     assert got == {i: labels for i, (_, labels) in texts.items()}
+
+
+def test_blocks_of_a_frequent_token_are_not_gathered(spark):
+    """The given templates travel to the blocks: no shuffle by token."""
+    rules = licenses.template_table(spark)
+    ordered = sorted({t for r in rules.select("tokens").collect() for t in r.tokens})
+    blocks = spark.range(500).selectExpr("id as row", "0 as block", "array('license', 'mit', 'released', 'the', 'under') as tokens")
+    found = licenses.containment(blocks, rules, ordered)
+    assert "hashpartitioning(token" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.label, r.containment) for r in found.collect()} == {("mit", 1.0)} and found.count() == 500
