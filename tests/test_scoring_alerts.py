@@ -9,7 +9,7 @@ from rttscope.operators import alerts, metrics, picks, scoring, selection
 def log_row(spark, **kw):
     base = {
         "run_id": "r1", "ts_previsao": "2024-01-01T00:00:00Z", "fluxo_id": "1_2", "anchor_id": 2, "modelo_versao": "v",
-        "modelo_hash": "h", "features": {n: 0.0 for n in K.FEATURES}, "proba": {"OK": 0.6, "RISCO": 0.3, "FALHA": 0.1},
+        "modelo_hash": "sha256:h", "features": {n: 0.0 for n in K.FEATURES}, "proba": {"OK": 0.6, "RISCO": 0.3, "FALHA": 0.1},
         "classe_prevista": "OK", "classe_atual": "OK", "latencia_inferencia_ms": 1, "rotulo_real": None, "ts_rotulo": None,
     }
     base.update(kw)
