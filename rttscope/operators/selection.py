@@ -139,9 +139,11 @@ def _one_per_country(placed: DataFrame, origin: DataFrame, limit: int, order: li
     more, the assignment is made again without the others, whose networks may serve someone else.
     """
     others = placed.join(origin.select("country"), "country", "left_anti")
-    few = others.groupBy("faixa_distancia").agg(F.count_distinct("country").alias("_few"))
+    few = others.groupBy(F.col("faixa_distancia").alias("_band")).agg(F.count_distinct("country").alias("_few"))
     named = _best(others, ["country", "faixa_distancia", "asn_v4"], order)
-    named = _best(named, ["country", "faixa_distancia"], order, K.TOTAL_ANCHORS).join(few, "faixa_distancia")
+    named = _best(named, ["country", "faixa_distancia"], order, K.TOTAL_ANCHORS)
+    # without a home anchor no distance is known, and all are of one band
+    named = named.join(few, F.col("faixa_distancia").eqNullSafe(F.col("_band"))).drop("_band")
     named = _best(named, ["country", "asn_v4"], [F.col("_few"), *order])
     pref = F.row_number().over(Window.partitionBy("country").orderBy("_few", *order))
     options = materialise(named.select(
