@@ -1,11 +1,12 @@
 """Grid trees read off the deepest one, stored models, and the order of splits."""
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rttscope import contract as K
-from rttscope.operators import metrics, models, saved_models
+from rttscope.operators import forest, metrics, models, saved_models
 from rttscope.session import work_path
 from rttscope.sources.readers import ContractError
 
@@ -86,3 +87,109 @@ def test_every_row_is_recorded_and_rescored(spark, final, monkeypatch):
     got = queries_ml.j16_recorded_vs_rescored(spark, None).collect()
     assert len(got) == 940 and all(r.mesmo_modelo and r.igual == (r.timestamp % 50 != 0) for r in got)
     assert sum(r.id_fluxo is None for r in got) == 20
+
+
+def brute_tree(codes, label, times, tree, place, limit, least, weights):
+    """{place: (feature, bin, shares)} by trying every cut of every node."""
+    counts = np.array([times[label == c].sum() for c in range(3)], float)
+    heavy = counts * weights
+    gini = lambda w: 1 - ((w / w.sum()) ** 2).sum() if w.sum() else 0.0
+    out = {place: (-1, 0, tuple(np.round(heavy / heavy.sum(), 6)))}
+    if place.bit_length() - 1 >= limit or counts.sum() < 2 * least:
+        return out
+    best, found = 1e-9, None
+    for f in forest.drawn_features(tree, np.array([place]), codes.shape[1], forest.tries(codes.shape[1]))[0]:
+        for b in np.unique(codes[:, f]):
+            left = codes[:, f] <= b
+            parts = [np.array([times[m & (label == c)].sum() for c in range(3)], float) for m in (left, ~left)]
+            if min(p.sum() for p in parts) < least:
+                continue
+            gain = gini(heavy) - sum((p * weights).sum() / heavy.sum() * gini(p * weights) for p in parts)
+            if gain > best + 1e-9:
+                best, found = gain, (int(f), int(b), left)
+    if found is None:
+        return out
+    f, b, left = found
+    out[place] = (f, b, out[place][2])
+    for mask, child in ((left, 2 * place), (~left, 2 * place + 1)):
+        out |= brute_tree(codes[mask], label[mask], times[mask], tree, child, limit, least, weights)
+    return out
+
+
+def by_place(nodes):
+    out, todo = {}, [(0, 1)]
+    while todo:
+        k, place = todo.pop()
+        n = nodes[k]
+        out[place] = (int(n["indice"]), int(n["bin"]) if n["indice"] >= 0 else 0, tuple(np.round(n["pesos"].astype(float), 6)))
+        if n["indice"] >= 0:
+            todo += [(n["esquerda"], 2 * place), (n["direita"], 2 * place + 1)]
+    return out
+
+
+@pytest.mark.parametrize("least, weights", [(1, (1.0, 1.0, 1.0)), (7, (1.0, 1.0, 1.0)), (5, (0.4, 1.3, 3.0))])
+def test_a_forest_tree_takes_the_best_cut_of_every_node(least, weights):
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 40, (300, 21)).astype(np.uint8)
+    label = ((codes[:, 3] > 20).astype(int) + (codes[:, 7] + codes[:, 9] > 50)).astype(np.uint8)
+    times = forest.copies(rng.integers(0, 1 << 62, 300).astype(np.uint64), 4)
+    bag = times > 0
+    nodes = forest.grow(codes[bag], label[bag], times[bag], 4, 1, 8, least, np.array(weights))
+    got, want = by_place(nodes), brute_tree(codes[bag], label[bag], times[bag].astype(int), 4, 1, 8, least, np.array(weights))
+    assert {p: n[:2] for p, n in got.items()} == {p: n[:2] for p, n in want.items()} and len(got) > 15
+    for p, n in got.items():
+        assert n[2] == pytest.approx(want[p][2], abs=1e-5)
+
+
+def scored(nodes, codes, cuts):
+    return {(r.linha, r.corte): r[2:] for r in forest.sums(nodes, codes, cuts).collect()}
+
+
+def test_forests_of_fewer_and_lower_trees_are_cuts_and_large_nodes_grow_alike(spark, final, monkeypatch):
+    """Grown each by itself, cut off the largest one, over other partitions, or with nodes too large for a task: the same sums."""
+    ready = models.vectors(final.where("split <> 'teste'"))
+    train = ready.where("split = 'treino'")
+    cuts = forest.thresholds(train)
+    assert all(0 < len(c) < forest.BINS for c in cuts)
+    rows = forest.training_rows(train, cuts)
+    lines = forest.coded(ready.withColumn("linha", F.col("timestamp")), cuts, "linha")
+    weights = (0.5, 1.0, 4.0)
+    most = forest.Growth(12, 30, 5, weights)
+    nodes = forest.grown(rows, most)
+    both = scored(nodes, lines, [(12, 30), (5, 3)])
+    assert len(both) == 2 * 700
+    for corte, kind in enumerate((most, forest.Growth(5, 3, 5, weights))):
+        alone = scored(forest.grown(rows.repartition(3), kind, local=60), lines, [(kind.trees, kind.depth)])
+        for (line, _), sums in alone.items():
+            assert sums == pytest.approx(both[line, corte], abs=1e-6)
+    monkeypatch.setattr(forest, "HELD_NODES", 100)  # several sets of trees
+    again = scored(nodes, lines, [(12, 30), (5, 3)])
+    assert all(again[k] == pytest.approx(v, abs=1e-6) for k, v in both.items()) and len(again) == len(both)
+
+
+def test_the_grown_forest_is_as_good_as_the_librarys(spark, final):
+    rows = final.where("split <> 'teste'")
+    points = [p for p in models.candidates(("random_forest",)) if p["params"]["min_samples_leaf"] == 5]
+    scores, fitted = models.run_grid(rows, points=points, threads=2)
+    got = {(r.candidato, r.split): r.macro_f1 for r in scores.where("fatia = 'geral'").collect()}
+    assert len(got) == 2 * len(points) == 24
+    ready = models.vectors(rows)
+    for p in fitted:
+        if p["params"]["n_estimators"] != 100 or p["params"]["max_depth"] == 12:
+            continue
+        model = models.build(p["familia"], p["params"]).fit(models.weighted(ready.where("split = 'treino'"), p["params"]["class_weight"]))
+        theirs = models.predicted(model, ready).select(*models.KEEP, "previsto")
+        for r in metrics.sliced_scores(theirs, ["split"]).where("fatia = 'geral'").collect():
+            assert got[p["candidato"], r.split] == pytest.approx(r.macro_f1, abs=0.08), (p, r)
+
+
+def test_a_winning_forest_scores_as_in_the_grid(spark, final):
+    rows = final.where("split <> 'teste'")
+    points = [p for p in models.candidates(("random_forest",)) if p["ordem"] == 5]
+    scores, fitted = models.run_grid(rows, points=points)
+    model = models.refit(models.grid_table(scores, fitted), rows)
+    out = models.score(model, rows)
+    assert out.count() == 700 and out.where("abs(aggregate(map_values(proba), 0D, (a, x) -> a + x) - 1) > 1e-9").isEmpty()
+    again = metrics.sliced_scores(out.withColumn("previsto", F.col("classe_prevista")), ["split"]).where("fatia = 'geral'")
+    want = {r.split: r.macro_f1 for r in scores.where("fatia = 'geral'").collect()}
+    assert {r.split: r.macro_f1 for r in again.collect()} == pytest.approx(want, abs=1e-12)
