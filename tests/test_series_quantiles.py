@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rttscope import contract as K
 from rttscope.operators import drift, quantiles
 from rttscope.operators.series import series_windows
 
@@ -149,3 +150,35 @@ def test_js_and_chi_square(spark):
     ).first()
     assert row.far == pytest.approx(1.0) and row.same == pytest.approx(0.0, abs=1e-12)
     assert row.x2 == pytest.approx(100 / 50 + 0 + 100 / 20)
+
+
+def test_bins_are_counted_by_a_join_and_equal_those_of_a_plain_count(spark):
+    """Values on and beside edges, outside them, missing and NaN; features with one edge, without inner edges, without any; null keys."""
+    edges = {"a": [0.0, 1.0, 2.5, 4.0], "b": [3.0], "c": [1.0, 2.0], "d": [float(x) for x in range(11)]}
+    values = [None, float("nan"), -5.0, 0.0, 0.5, 1.0, 2.0, 2.5, 2.5000001, 3.0, 4.0, 9.0, 9.5, 10.0, 99.0]
+    rows = [(k, f, v) for k in ("x", None) for f in "abcde" for v in values]
+    long = spark.createDataFrame(rows, "chave string, feature string, valor double")
+    table = spark.createDataFrame(list(edges.items()), "feature string, bordas array<double>")
+    want = {}
+    for k, f, v in rows:
+        if f in edges:
+            inner = edges[f][1:-1]
+            b = None if v is None or v != v else 0 if len(edges[f]) < 2 else sum(e <= v for e in inner)
+            want[k, f, b] = want.get((k, f, b), 0) + 1
+    counted = drift.bin_counts(long, table, ["chave"])
+    assert {(r.chave, r.feature, r.bin): r.c for r in counted.collect()} == want
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at" not in plan and "lambda" not in plan
+
+
+def test_calibration_advice_reads_its_rows_once(spark, tmp_path):
+    rows = spark.range(600).selectExpr("cast(id % 12 as string) as id_fluxo", *[f"cast(id * {k + 3} % 101 as double) as {f}" for k, f in enumerate(K.FEATURES)])
+    path = str(tmp_path / "rows")
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
+    edges = drift.bin_edges(drift.unpivot(rows, []), ["feature"])
+    per_feature = drift.calibration(rows, edges)
+    assert per_feature.count() == len(K.FEATURES)
+    advice = drift.calibration_advice(per_feature)
+    assert advice.count() == 1
+    assert not [f for df in (per_feature, advice) for f in df.inputFiles() if path in f]
