@@ -342,8 +342,16 @@ def chunk(n, *seed):
 
 
 def by_cell(rows: DataFrame, keys: list[str], fields: list[str], found) -> DataFrame:
-    """(a, b) of every cell; ``found(key, columns)`` yields their arrays."""
-    return in_cells(rows, keys, fields, found, "a long, b long")
+    """(a, b, shard, island) of every cell; ``found(key, columns)`` yields their arrays."""
+    return in_cells(rows, keys, fields, found, "a long, b long, shard long, island long")
+
+
+def shard_number(block: int, value: int) -> int:
+    return int(block) << 32 | int(value)  # a block's value has 20 bits at most
+
+
+def shard_columns() -> list:
+    return [F.shiftright("shard", 32).cast("int").alias("block"), F.col("shard").bitwiseAND(0xFFFFFFFF).alias("value")]
 
 
 def in_cells(rows: DataFrame, keys: list[str], fields: list[str], found, schema: str) -> DataFrame:
@@ -382,19 +390,29 @@ def in_cells(rows: DataFrame, keys: list[str], fields: list[str], found, schema:
 
 
 def near_links(shards: DataFrame, large: DataFrame, most: int) -> DataFrame:
-    """(a, b): first candidates, within ``most`` bits: all pairs of a small shard, forests of the cells of a large one."""
+    """(a, b, shard, island): first candidates, within ``most`` bits: all pairs of a small shard, forests of the cells of a large one.
+
+    The trees of a large shard of one cell are its islands, named by their smallest content: two of its contents within
+    ``most`` bits are on one island.  Other links have the shard -1.
+    """
     cells = large.where(F.col("n") > CELL).select("block", "value", F.ceil(F.col("n") / CELL).alias("cells"))
-    rows = shards.join(cells, ["block", "value"], "left").withColumn("cell", F.coalesce(chunk(F.col("cells"), "block"), F.lit(0)))
+    rows = shards.join(cells, ["block", "value"], "left").withColumn("cell", F.coalesce(chunk(F.col("cells"), "block"), F.lit(-1)))
 
     def found(key, columns):
         names, values = columns
+        block, value, cell = key
+        shard, island = -1, np.full(len(names), -1)
         if len(names) <= SMALL_SHARD:
             i, j = np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None]).sum(2, dtype=np.int64) <= most, 1))
         else:
             i, j = grow(values, most)
-        yield np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
+            if cell < 0:  # the whole shard; rows come by content, so a tree's first row has its smallest
+                trees = Forest(len(names))
+                trees.join(i, j)
+                shard, island = shard_number(block, value), names[trees.label]
+        yield np.minimum(names[i], names[j]), np.maximum(names[i], names[j]), np.full(len(i), shard), island[i]
 
-    return by_cell(rows, ["block", "value", "cell"], ["content", "fp"], found).distinct()
+    return by_cell(rows, ["block", "value", "cell"], ["content", "fp"], found)
 
 
 def apart_pairs(left, right, values, groups, block: int, width: int, blocks: int, most: int, same: bool):
@@ -417,52 +435,63 @@ def apart_pairs(left, right, values, groups, block: int, width: int, blocks: int
             yield a[new], b[new]
 
 
-def crowd_ends(shards: DataFrame, large: DataFrame, roots: DataFrame, width: int, blocks: int, most: int) -> DataFrame:
-    """(block, value, content): contents of a large shard within ``most`` bits of one that no verified link has put into their group.
+def crowd_rows(found: DataFrame, shards: DataFrame, large: DataFrame) -> DataFrame:
+    """(block, value, island, content): contents of large shards that may have others within ``most`` bits.
+
+    Of a shard of one cell these are the contents that its forest has linked, by island; the rest have none.  A shard of
+    several cells is one island.
+    """
+    linked = found.where("shard >= 0").select(*shard_columns(), "island", F.explode(F.array("a", "b")).alias("content")).distinct()
+    whole = shards.join(large.where(F.col("n") > CELL).select("block", "value"), ["block", "value"])
+    return linked.unionByName(whole.select("block", "value", F.lit(0).cast("long").alias("island"), "content"))
+
+
+def crowd_ends(islands: DataFrame, reps: DataFrame, roots: DataFrame, width: int, blocks: int, most: int) -> DataFrame:
+    """(block, value, island, content): contents of an island within ``most`` bits of one that no verified link has put into their group.
 
-    A shard's largest group is never compared with itself.  The others are dealt into chunks, and each two
+    An island's largest group is never compared with itself.  The others are dealt into chunks, and each two
     chunks of which one is not of the largest group meet in a cell of their own.  A pair is found in the first
     block in which it agrees; a cell names the ends of its pairs, not the pairs.
     """
-    rows = shards.join(large.select("block", "value"), ["block", "value"]).join(roots.withColumnRenamed("node", "content"), "content", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "content"))
-    groups = rows.groupBy("block", "value", "root").agg(F.count("*").alias("c"))
-    sizes = groups.groupBy("block", "value").agg(F.max_by("root", "c").alias("main"), F.max("c").alias("m"), F.sum("c").alias("n")).where("n > m")
-    sizes = materialise(sizes.select("block", "value", "main", F.ceil((F.col("n") - F.col("m")) / CELL).alias("others"), F.ceil(F.col("m") / CELL).alias("mains")), "near-crowds")
-    rows = rows.join(sizes, ["block", "value"])
+    keys = ["block", "value", "island"]
+    rows = islands.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    groups = rows.groupBy(*keys, "root").agg(F.count("*").alias("c"))
+    sizes = groups.groupBy(*keys).agg(F.max_by("root", "c").alias("main"), F.max("c").alias("m"), F.sum("c").alias("n")).where("n > m")
+    sizes = materialise(sizes.select(*keys, "main", F.ceil((F.col("n") - F.col("m")) / CELL).alias("others"), F.ceil(F.col("m") / CELL).alias("mains")), "near-crowds")
+    rows = rows.join(sizes, keys).join(reps.select("content", "fp"), "content")
     rows = rows.withColumn("chunk", F.when(F.col("root") == F.col("main"), F.col("others") + chunk(F.col("mains"))).otherwise(chunk(F.col("others"))))
     partners = F.sequence(F.lit(0).cast("long"), F.when(F.col("root") == F.col("main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
     rows = rows.withColumn("other", F.explode(partners)).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
 
     def found(key, columns):
         names, values, groups, chunks = columns
-        block, value, low, high = key
+        block, value, island, low, high = key
         ends = np.zeros(len(names), bool)
         for i, j in apart_pairs(np.flatnonzero(chunks == low), np.flatnonzero(chunks == high), values, groups, block, width, blocks, most, low == high):
             ends[i] = ends[j] = True
         met = names[ends]
-        yield met, np.full(len(met), int(block) << 32 | int(value))  # a block's value has 20 bits at most
+        yield met, met, np.full(len(met), shard_number(block, value)), np.full(len(met), island)
 
-    shard = F.col("b")
-    return by_cell(rows, ["block", "value", "low", "high"], ["content", "fp", "root", "chunk"], found).distinct().select(
-        F.shiftright(shard, 32).cast("int").alias("block"), shard.bitwiseAND(0xFFFFFFFF).alias("value"), F.col("a").alias("content"))
+    ends = by_cell(rows, [*keys, "low", "high"], ["content", "fp", "root", "chunk"], found)
+    return ends.select(*shard_columns(), "island", F.col("a").alias("content")).distinct()
 
 
 def crowd_forest(ends: DataFrame, reps: DataFrame, sets: DataFrame, roots: DataFrame, width: int, blocks: int, most: int, similarity: float) -> DataFrame:
-    """(a, b): links of the crowds' ends (block, value, content) whose shingle sets have at least the similarity.
+    """(a, b): links of the crowds' ends (block, value, island, content) whose shingle sets have at least the similarity.
 
-    The ends of a shard are dealt into parts of bounded size, and each two parts meet in a cell with their sets.  A cell
+    The ends of an island are dealt into parts of bounded size, and each two parts meet in a cell with their sets.  A cell
     compares its pairs where they meet and gives a spanning forest of those that hold, so no pair leaves it.
     """
     rows = ends.join(reps.select("content", "fp"), "content").join(sets, "content").join(roots.withColumnRenamed("node", "content"), "content", "left")
     rows = materialise(rows.withColumn("root", F.coalesce("root", "content")), "near-crowd-sets")
     bound = F.greatest(F.ceil(F.sum(F.size("shingles")) / SET_WORDS), F.ceil(F.count("*") / CELL), F.lit(1))
-    rows = rows.join(rows.groupBy("block", "value").agg(bound.alias("parts")), ["block", "value"]).withColumn("chunk", chunk(F.col("parts"), F.lit("set")))
+    keys = ["block", "value", "island"]
+    rows = rows.join(rows.groupBy(*keys).agg(bound.alias("parts")), keys).withColumn("chunk", chunk(F.col("parts"), F.lit("set")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
 
     def found(key, columns):
         names, values, groups, chunks, shingles = columns
-        block, _, low, high = key
+        block, _, _, low, high = key
         sizes = np.array([len(x) for x in shingles])
         distinct, numbers = np.unique(np.concatenate(list(shingles)), return_inverse=True)
         numbers, mark = np.split(numbers, np.cumsum(sizes)[:-1]), np.zeros(len(distinct) + 1, np.int64)
@@ -497,7 +526,7 @@ def crowd_forest(ends: DataFrame, reps: DataFrame, sets: DataFrame, roots: DataF
         a, b = np.array(kept, np.int64).reshape(-1, 2).T
         yield np.minimum(a, b), np.maximum(a, b)
 
-    return in_cells(rows, ["block", "value", "low", "high"], ["content", "fp", "root", "chunk", "shingles"], found, "a long, b long")
+    return in_cells(rows, [*keys, "low", "high"], ["content", "fp", "root", "chunk", "shingles"], found, "a long, b long")
 
 
 def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -611,13 +640,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         found = map_texts(rows, ["h", "text"], "h long, shingles array<long>", sets, 64).groupBy("h").agg(F.any_value("shingles").alias("shingles"))
         return materialise(wanted.join(found, "h").select("content", "shingles"), "near-sets")
 
-    candidates = materialise(near_links(shards, large, most), "near-candidates")
+    found = materialise(near_links(shards, large, most), "near-found")
+    candidates = materialise(found.select("a", "b").distinct(), "near-candidates")
     ends = sets_of(candidates.select(F.explode(F.array("a", "b")).alias("content")).distinct())
     links = materialise(verified(candidates, ends, similarity), "near-links")
     roots = components(links, "a", "b")
     if not large.isEmpty():
-        # a forest's link that failed stood for others: what is still apart in a large shard is compared pair by pair
-        crowd = materialise(crowd_ends(shards, large, roots, width, blocks, most), "near-crowd-ends")
+        # a forest's link that failed stood for others: what is still apart on an island is compared pair by pair
+        islands = materialise(crowd_rows(found, shards, large), "near-crowd-rows")
+        crowd = materialise(crowd_ends(islands, reps, roots, width, blocks, most), "near-crowd-ends")
         if not crowd.isEmpty():
             apart = sets_of(crowd.select("content").distinct())
             roots = components(links.union(materialise(crowd_forest(crowd, reps, apart, roots, width, blocks, most, similarity), "near-links")), "a", "b")

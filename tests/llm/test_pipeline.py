@@ -137,6 +137,24 @@ def test_no_table_of_a_crowd_holds_its_pairs(spark, monkeypatch):
     assert made["near-crowd-ends"] and max(n for name, n in made.items() if name.startswith("near-crowd")) <= len(texts) * blocks
 
 
+def test_unlike_texts_of_a_large_shard_are_not_compared_again(spark, monkeypatch):
+    by_cell, dealt = simhash.by_cell, []
+
+    def watched(rows, keys, fields, found):
+        dealt.append({r.content for r in rows.select("content").distinct().collect()})
+        return by_cell(rows, keys, fields, found)
+
+    monkeypatch.setattr(simhash, "by_cell", watched)
+    line = " ".join(f"c{k}" for k in range(64))
+    plain = [f"{line} " + " ".join(f"p{k}w{n}" for n in range(45)) for k in range(600)]  # shards of over 48, similarity 0.4
+    texts = list(enumerate([t for _, t in crowd(100)] + plain))
+    want = {i for i, c in jaccard_classes(texts).items() if c == i}
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(texts, "doc_id long, text string"), None).collect()}
+    assert want <= got and len(got - want) <= 5
+    alone = {simhash.content(t) for t in plain}
+    assert len(dealt) == 2 and alone <= dealt[0] and dealt[1] - alone and len(dealt[1] & alone) < len(alone) / 4
+
+
 def test_quality_stage(spark, sf, odd, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id for r in queries.op6_rules(spark, sf).where("kept").collect()}
