@@ -141,6 +141,40 @@ def test_a_forest_tree_takes_the_best_cut_of_every_node(least, weights):
         assert n[2] == pytest.approx(want[p][2], abs=1e-5)
 
 
+def test_trees_of_unlike_leaves_share_the_nodes_they_cut_alike(monkeypatch):
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 40, (600, 21)).astype(np.uint8)
+    label = ((codes[:, 3] > 20).astype(int) + (codes[:, 7] + codes[:, 9] > 50)).astype(np.uint8)
+    times, weights, looked = rng.integers(1, 4, 600), np.array([0.4, 1.3, 3.0]), []
+    draw = forest.drawn_features
+    monkeypatch.setattr(forest, "drawn_features", lambda tree, places, *more: looked.append(len(places)) or draw(tree, places, *more))
+    alone = [forest.grow(codes, label, times, 4, 1, 8, least, weights) for least in (5, 30)]
+    apart = sum(looked)
+    looked.clear()
+    beside = forest.grow_beside(codes, label, times, 4, 1, 8, [5, 30], weights)
+    assert [by_place(n) for n in beside] == [by_place(n) for n in alone]
+    assert len(alone[0]) > len(alone[1]) > 10 and sum(looked) < apart
+    for least, nodes in zip((5, 30), beside):
+        want = brute_tree(codes, label, times, 4, 1, 8, least, weights)
+        assert {p: n[:2] for p, n in by_place(nodes).items()} == {p: n[:2] for p, n in want.items()}
+
+
+def test_kinds_of_forests_grown_in_one_pass_equal_those_grown_alone(spark):
+    rng = np.random.default_rng(9)
+    given = [(int(rng.integers(0, 3)), int(rng.integers(0, 1 << 62)), rng.integers(0, 20, 4).astype(np.uint8).tobytes()) for _ in range(400)]
+    rows = spark.createDataFrame(given, "label int, h long, _codes binary")
+    kinds = [forest.Growth(9, 30, 5, (1.0, 1.0, 1.0)), forest.Growth(9, 30, 20, (1.0, 1.0, 1.0)), forest.Growth(4, 3, 5, (0.5, 1.0, 4.0))]
+    held = lambda df: {r.arvore: by_place(np.frombuffer(r.nos, forest.NODE)) for r in df.collect()}
+    together = forest.grown_beside(rows, kinds, features=4)
+    for kind, nodes in zip(kinds, together):
+        got = held(nodes)
+        assert len(got) == kind.trees and got == held(forest.grown(rows.repartition(3), kind, features=4))
+    bins = spark.createDataFrame([(k, codes) for k, (_, _, codes) in enumerate(given)], "linha long, _codes binary")
+    wide = {r.linha: r[1:] for r in forest.wide_sums(together[0], bins, [(9, 30), (4, 2)], features=4).collect()}
+    long = {(r.linha, r.corte): r[2:] for r in forest.sums(together[0], bins, [(9, 30), (4, 2)], features=4).collect()}
+    assert len(wide) == 400 and all(long[k, 0] + long[k, 1] == v for k, v in wide.items())
+
+
 def scored(nodes, codes, cuts):
     return {(r.linha, r.corte): r[2:] for r in forest.sums(nodes, codes, cuts).collect()}
 
