@@ -75,6 +75,16 @@ def test_missing_coordinates_have_no_distance(spark):
     assert got == [(0.0, "curta"), (10007.5, "longa"), (None, None), (None, None)]
 
 
+def test_jitter_takes_the_mean_from_its_column(spark):
+    texts = ['[{"rtt":1.5},{"rtt":4},{"x":"*"},{"rtt":9.25}]', '[{"rtt":7}]', '[{"x":"*"}]', "[]", "no json", None]
+    rows = spark.createDataFrame([(t, 3, 3, None, None, None) for t in texts], "result string, sent int, rcvd int, min double, max double, avg double")
+    out = parse.instant_metrics(rows).select("jitter_ms")
+    want = [round(statistics.pstdev([1.5, 4, 9.25]), 9), 0.0, None, None, None, None]
+    assert [r.jitter_ms for r in out.collect()] == want
+    # one pass for the mean and one for the spread, none inside the other
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+
+
 def test_pseudonym_needs_a_salt(spark):
     df = spark.createDataFrame([("7", "a")], "probe_id string, anchor_id string")
     salted = privacy.pseudonymise(df, ["probe_id"], "s").first()
