@@ -254,6 +254,11 @@ SMALL_SHARD = 48
 CELL = 5_000
 PAIRS = 1 << 21
 SET_WORDS = 2_000_000
+#: Counters that order shingles by how common they are; bits of a parity map; prefix shingles of a bucket; slices the counters are added up in.
+COUNTERS = 1 << 20
+MAP_BITS = 1 << 10
+PREFIX_WORDS = 1 << 20
+SLICES = 16
 
 
 def agreement(similarity: float) -> float:
@@ -476,11 +481,12 @@ def crowd_ends(islands: DataFrame, reps: DataFrame, roots: DataFrame, width: int
     return ends.select(*shard_columns(), "island", F.col("a").alias("content")).distinct()
 
 
-def crowd_forest(ends: DataFrame, reps: DataFrame, sets: DataFrame, roots: DataFrame, width: int, blocks: int, most: int, similarity: float) -> DataFrame:
+def crowd_forest(ends: DataFrame, reps: DataFrame, sets: DataFrame, roots: DataFrame, width: int, blocks: int, most: int, similarity: float, exact: bool = False) -> DataFrame:
     """(a, b): links of the crowds' ends (block, value, island, content) whose shingle sets have at least the similarity.
 
     The ends of an island are dealt into parts of bounded size, and each two parts meet in a cell with their sets.  A cell
-    compares its pairs where they meet and gives a spanning forest of those that hold, so no pair leaves it.
+    compares its pairs where they meet and gives a spanning forest of those that hold, so no pair leaves it.  With ``exact`` these are
+    all pairs that the sets' sizes and parity maps allow, whatever their fingerprints.
     """
     rows = ends.join(reps.select("content", "fp"), "content").join(sets, "content").join(roots.withColumnRenamed("node", "content"), "content", "left")
     rows = materialise(rows.withColumn("root", F.coalesce("root", "content")), "near-crowd-sets")
@@ -502,8 +508,12 @@ def crowd_forest(ends: DataFrame, reps: DataFrame, sets: DataFrame, roots: DataF
                 trees[x] = x = trees.setdefault(up, up)
             return x
 
-        kept = []
-        for i, j in apart_pairs(np.flatnonzero(chunks == low), np.flatnonzero(chunks == high), values, groups, block, width, blocks, most, low == high):
+        kept, sides = [], (np.flatnonzero(chunks == low), np.flatnonzero(chunks == high))
+        if exact:
+            pairs = bounded_pairs(*sides, fitting_maps(shingles, sizes), sizes, groups, similarity, low == high)
+        else:
+            pairs = apart_pairs(*sides, values, groups, block, width, blocks, most, low == high)
+        for i, j in pairs:
             cuts = [0, *(np.flatnonzero(i[1:] != i[:-1]) + 1).tolist(), len(i)]
             for x, y in zip(cuts, cuts[1:]):
                 if x == y:
@@ -605,12 +615,206 @@ def verified(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return dealt.mapInArrow(run, "a long, b long")
 
 
+# What blocks of fingerprints leave to chance: all other pairs, by the shingles that the similarity makes two texts share.
+
+
+def parity_map(hashes: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
+    """Whether an odd number of the distinct hashes fall on each bit: two sets differ in at least as many shingles as their maps in bits."""
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def fitting_maps(shingles, sizes: np.ndarray) -> np.ndarray:
+    """Parity maps of the sets of a cell, of about two bits for a shingle of the largest."""
+    bits = 1 << int(np.clip(np.ceil(np.log2(2 * max(1, sizes.max()))), 6, 13))
+    return np.stack([parity_map(np.asarray(x, np.int64).view(np.uint64), bits) for x in shingles])
+
+
+def apart_most(a, b, similarity: float):
+    """The shingles in which two sets of sizes ``a`` and ``b`` may differ at the similarity."""
+    return np.floor((a + b) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def bounded_pairs(left, right, maps, sizes, groups, similarity: float, same: bool):
+    """(i, j) arrays of the rows ``left`` and ``right`` that are not of one group and that sizes and parity maps allow to have the similarity."""
+    step = max(1, PAIRS // max(1, len(right)))
+    for start in range(0, len(left), step):
+        part = left[start : start + step]
+        able = groups[part][:, None] != groups[right][None]
+        able &= np.minimum(sizes[part][:, None], sizes[right][None]) >= similarity * np.maximum(sizes[part][:, None], sizes[right][None]) - 1e-6
+        if same:
+            able &= part[:, None] < right[None]
+        i, j = np.nonzero(able)
+        i, j = part[i], right[j]
+        for at in range(0, len(i), PAIRS // maps.shape[1]):
+            a, b = i[at : at + PAIRS // maps.shape[1]], j[at : at + PAIRS // maps.shape[1]]
+            near = np.bitwise_count(maps[a] ^ maps[b]).sum(1, dtype=np.int64) <= apart_most(sizes[a], sizes[b], similarity)
+            yield a[near], b[near]
+
+
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def prefix_words(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of a text's distinct shingles: two texts of the similarity have one of them in common.
+
+    They share at least the similarity's part of either set, so the first shingle they share in any order that holds for all texts is
+    among the first ones of both.  Rare ones come first; how well the counters tell that changes the work, not the result.
+    """
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, counts[counter_of(hashes)]))[: n - int(np.ceil(similarity * n - 1e-6)) + 1]] if n else hashes
+
+
+def counted_words(parts: DataFrame) -> np.ndarray:
+    """The counters that all tasks have added up, from their rows (slice, counts)."""
+    def run(batches):
+        import pyarrow as pa
+
+        total = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(data, np.int32).astype(np.int64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
+
+    counts = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+    # numbers of a fixed count, however large the tables
+    for k, data in parts.repartition(SLICES, "slice").mapInArrow(run, "slice int, counts binary").collect():
+        counts[k] += np.frombuffer(data, np.int64)
+    return counts.reshape(-1)
+
+
+def shared_words(rows: DataFrame, shingle: int, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(word, content): the prefix shingles that more than one content has, from texts (column text).
+
+    Tasks send their prefixes packed by bucket of the shingle; a bucket holds about ``PREFIX_WORDS`` of them.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+    buckets = int(counts.sum() * (1 - similarity)) // PREFIX_WORDS + 8
+
+    def packed(batches):
+        import pyarrow as pa
+
+        from rttscope.llm.text import slices
+
+        words, names, held = [], [], 0
+
+        def out():
+            w, c = np.concatenate(words), np.concatenate(names)
+            order = np.lexsort((c, w))
+            w, c = w[order], c[order]
+            new = np.append(True, (w[1:] != w[:-1]) | (c[1:] != c[:-1]))
+            w, c = w[new], c[new]
+            bucket = (w % np.uint64(buckets)).astype(np.int64)
+            found = [(k, w[at].tobytes(), c[at].tobytes()) for k in np.unique(bucket).tolist() for at in [bucket == k]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "words", "contents"])
+
+        for batch in batches:
+            for part in slices([batch], 64):
+                for t in part.column(0).to_pylist():
+                    first = prefix_words(np.unique(shingle_hashes(t, shingle)), shared.value, similarity)
+                    words.append(first), names.append(np.full(len(first), content(t), np.int64))
+                    held += len(first)
+                if held >= PREFIX_WORDS // 2:
+                    yield out()
+                    words, names, held = [], [], 0
+        if held:
+            yield out()
+
+    def met(batches):
+        import pyarrow as pa
+
+        held = {}
+        for batch in batches:
+            for k, w, c in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                held.setdefault(k, []).append((w, c))
+        while held:
+            _, parts = held.popitem()
+            w, c = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*parts), (np.uint64, np.int64)))
+            order = np.lexsort((c, w))
+            w, c = w[order], c[order]
+            new = np.append(True, (w[1:] != w[:-1]) | (c[1:] != c[:-1]))
+            w, c = w[new], c[new]
+            like = w[1:] == w[:-1]
+            several = np.append(False, like) | np.append(like, False)
+            if several.any():
+                yield pa.RecordBatch.from_arrays([pa.array(w[several].view(np.int64)), pa.array(c[several])], ["word", "content"])
+
+    dealt = rows.select("text").mapInArrow(packed, "bucket int, words binary, contents binary").repartitionById(buckets, "bucket")
+    return dealt.mapInArrow(met, "word long, content long")
+
+
+def word_links(words: DataFrame, reps: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): per shared shingle a spanning forest of the contents that may have the similarity and are not of one group yet.
+
+    ``words`` has (word, content), ``reps`` the parity map and the number of shingles.  The contents of a common shingle are dealt into chunks of
+    about ``CELL``; two chunks meet in a cell of their own unless both are of the shingle's largest group.
+    """
+    rows = words.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
+    groups = rows.groupBy("word", "root").agg(F.count("*").alias("c"))
+    sizes = groups.groupBy("word").agg(F.max_by("root", "c").alias("main"), F.max("c").alias("m"), F.sum("c").alias("n")).where("n > m")
+    one, parts = F.col("n") <= CELL, lambda c: F.ceil(c / CELL)
+    sizes = materialise(sizes.select("word", "main", F.when(one, 1).otherwise(parts(F.col("n") - F.col("m"))).alias("others"), F.when(one, 0).otherwise(parts(F.col("m"))).alias("mains")), "near-words")
+    rows = rows.join(sizes, "word").join(reps.select("content", "map", "size"), "content")
+    in_main = (F.col("root") == F.col("main")) & (F.col("mains") > 0)
+    rows = rows.withColumn("chunk", F.when(in_main, F.col("others") + chunk(F.col("mains"))).otherwise(chunk(F.col("others"))))
+    last = F.when(in_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    keys = ["word", "low", "high"]
+    dealt = rows.select(*keys, "content", "root", "chunk", "size", "map").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "content")
+
+    def run(frames):
+        import pandas as pd
+
+        def found(frame):
+            cell, names, groups, chunks, sizes = (frame[k].to_numpy(np.int64) for k in (keys, "content", "root", "chunk", "size"))
+            maps = np.stack(frame["map"].to_numpy()).astype(np.int64).view(np.uint64)
+            starts = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1)))
+            held = np.diff(np.append(starts, len(cell)))
+            small = np.repeat(np.where(held <= SMALL_SHARD, np.arange(len(held)), -1), held)
+            trees = Forest(len(cell))
+            for away in range(1, int(held[held <= SMALL_SHARD].max(initial=1))):
+                # small cells are looked at together: rows that stand so far from each other
+                i = np.flatnonzero((small[away:] == small[:-away]) & (small[away:] >= 0) & (groups[away:] != groups[:-away]))
+                j = i + away
+                ok = (chunks[i] == cell[i, 1]) & (chunks[j] == cell[i, 2]) | (chunks[j] == cell[i, 1]) & (chunks[i] == cell[i, 2])
+                ok &= np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-6
+                i, j = i[ok], j[ok]
+                near = np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64) <= apart_most(sizes[i], sizes[j], similarity)
+                trees.join(i[near], j[near])
+            for k in np.flatnonzero(held > SMALL_SHARD).tolist():
+                here = np.arange(starts[k], starts[k] + held[k])
+                _, low, high = cell[starts[k]]
+                for i, j in bounded_pairs(here[chunks[here] == low], here[chunks[here] == high], maps, sizes, groups, similarity, low == high):
+                    trees.join(i, j)
+            child = np.flatnonzero(trees.label != np.arange(len(names)))
+            return pd.DataFrame({"a": names[child], "b": names[trees.label[child]]})
+
+        rest = None
+        for frame in frames:
+            if rest is not None:
+                frame = pd.concat([rest, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            cell = frame[keys].to_numpy(np.int64)
+            other = np.flatnonzero((cell != cell[-1]).any(1))
+            end = other[-1] + 1 if len(other) else 0  # the last cell may go on in the next frame
+            if end:
+                yield found(frame[:end])
+            rest = frame[end:]
+        if rest is not None and len(rest):
+            yield found(rest)
+
+    return dealt.mapInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, copies, keep): one row per id and text; ``keep`` marks the one of its group that stays.
 
     Groups are the components of links with a Jaccard similarity of at least ``similarity`` between sets of
-    ``shingle``-word shingles.  Candidates come from blocks of wide fingerprints; every candidate is verified
-    on the shingle sets.  The smallest id of a group stays (of equal ids the smaller text hash; null ids last).
+    ``shingle``-word shingles.  First candidates come from blocks of wide fingerprints; what these leave apart is met by its rarest
+    shingles, of which any two texts of the similarity share one.  Every candidate is verified on the shingle sets.  The smallest id of a group stays (of equal ids the smaller text hash; null ids last).
     """
     from rttscope.llm.contamination import bit_filter, passes
 
@@ -619,11 +823,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     kind = docs.schema[id_col].dataType.simpleString()
     words, width, blocks, most = wide_plan(rows.count(), similarity)
 
-    def of(ids, hashes, texts):
-        return [(i, h, content(t), wide_fingerprint(np.unique(shingle_hashes(t, shingle)), words)) for i, h, t in zip(ids, hashes, texts, strict=True)]
+    held = {}  # of a task: how often each counter met a shingle
 
-    own = materialise(map_texts(rows, ["id", "h", "text"], f"id {kind}, h long, content long, fp array<long>", of, 64), "wide-fingerprints")
-    reps = own.groupBy("content").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("h"))).alias("first"), F.any_value("fp").alias("fp"))
+    def of(ids, hashes, texts):
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+        np.add.at(held.setdefault("counts", np.zeros(COUNTERS, np.int32)), counter_of(np.concatenate(sets)), 1)
+        return [(i, h, content(t), wide_fingerprint(x, words), parity_map(x).view(np.int64), len(x), None, None) for i, h, t, x in zip(ids, hashes, texts, sets, strict=True)]
+
+    def counted():
+        return [(None, 0, 0, None, None, 0, k, x.tobytes()) for k, x in enumerate(held["counts"].reshape(SLICES, -1))] if held else []
+
+    made = map_texts(rows, ["id", "h", "text"], f"id {kind}, h long, content long, fp array<long>, map array<long>, size long, slice int, counts binary", of, 64, counted)
+    made = materialise(made, "wide-fingerprints")
+    own, counts = made.where("slice is null").drop("slice", "counts"), counted_words(made.where("slice is not null").select("slice", "counts"))
+    reps = own.groupBy("content").agg(
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("h"))).alias("first"), F.any_value("fp").alias("fp"), F.any_value("map").alias("map"), F.any_value("size").alias("size"))
     reps = materialise(reps, "contents")
     shards = near_shards(reps, width, blocks)
     large = materialise(shards.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_SHARD), "near-large-shards")
@@ -651,7 +865,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         crowd = materialise(crowd_ends(islands, reps, roots, width, blocks, most), "near-crowd-ends")
         if not crowd.isEmpty():
             apart = sets_of(crowd.select("content").distinct())
-            roots = components(links.union(materialise(crowd_forest(crowd, reps, apart, roots, width, blocks, most, similarity), "near-links")), "a", "b")
+            links = links.union(materialise(crowd_forest(crowd, reps, apart, roots, width, blocks, most, similarity), "near-links"))
+            roots = components(links, "a", "b")
+    # a pair that no block holds, or whose fingerprints differ more than expected: all of these share one of their rarest shingles
+    common = materialise(shared_words(rows, shingle, counts, similarity), "near-shared")
+    maybe = materialise(word_links(common, reps, roots, similarity).distinct(), "near-maybe")
+    if not maybe.isEmpty():
+        left = components(maybe, "a", "b").select(F.lit(0).alias("block"), F.lit(0).cast("long").alias("value"), F.col("root").alias("island"), F.col("node").alias("content"))
+        left = materialise(left, "near-left")
+        more = crowd_forest(left, reps, sets_of(left.select("content")), roots, width, blocks, most, similarity, exact=True)
+        roots = components(links.union(materialise(more, "near-links")), "a", "b")
     classes = reps.select("content", "first").join(roots, F.col("content") == F.col("node"), "left").select("content", "first", F.coalesce("root", "content").alias("root"))
     stays = classes.groupBy("root").agg(F.min("first").alias("stay"))
     kept = materialise(stays.select(F.col("stay.id").alias("kid"), F.col("stay.h").alias("kh")), "near-kept")

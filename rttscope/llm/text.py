@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
-def map_texts(docs: DataFrame, columns: list[str], fields: str, fn: Callable[[list], list[tuple]], rows: int = 256) -> DataFrame:
-    """``fn`` turns a slice's column lists into output rows; only ``columns`` leave the scan."""
+def map_texts(docs: DataFrame, columns: list[str], fields: str, fn: Callable[[list], list[tuple]], rows: int = 256, last: Callable[[], list[tuple]] | None = None) -> DataFrame:
+    """``fn`` turns a slice's column lists into output rows, ``last`` gives a task's rows behind them; only ``columns`` leave the scan."""
     schema = docs.sparkSession.createDataFrame([], fields).schema
     names = schema.fieldNames()
 
@@ -30,8 +30,8 @@ def map_texts(docs: DataFrame, columns: list[str], fields: str, fn: Callable[[li
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for part in slices(batches, rows):
-            out = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
+        made = (fn(*(part.column(i).to_pylist() for i in range(part.num_columns))) for part in slices(batches, rows))
+        for out in chain(made, (x() for x in [last] if x)):
             if out:
                 cells = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, arrow.field(n).type) for c, n in zip(cells, names, strict=True)], schema=arrow)

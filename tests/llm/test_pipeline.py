@@ -155,6 +155,29 @@ def test_unlike_texts_of_a_large_shard_are_not_compared_again(spark, monkeypatch
     assert len(dealt) == 2 and alone <= dealt[0] and dealt[1] - alone and len(dealt[1] & alone) < len(alone) / 4
 
 
+def test_short_near_copies_match_brute_force(spark):
+    texts = []  # pairs of just the similarity whose few shingles make fingerprints differ more than those of long texts
+    for f in range(600):
+        n = (4, 8, 9, 18, 27)[f % 5]
+        words = [f"w{f}x{k}" for k in range(n + 4)]
+        others = [f"z{f}y{k}" for k in range(n // 4 if n < 9 else n // 9)]
+        texts += [" ".join(words), " ".join((words if n < 9 else words[: -len(others)]) + others)]
+    texts = list(enumerate(texts))
+    want = {i for i, c in jaccard_classes(texts).items() if c == i}
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(texts, "doc_id long, text string"), None)
+    assert len(want) == 600 and {r.doc_id for r in got.collect()} == want
+
+
+def test_common_shingles_are_met_in_bounded_cells(spark, monkeypatch):
+    texts, links = crowd(200), simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda shards, large, most: links(shards.where("false"), large.where("false"), most))  # blocks find no pair
+    want = {i for i, c in jaccard_classes(texts).items() if c == i}
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, rows, None).collect()} == want
+    monkeypatch.setattr(simhash, "CELL", 64)
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, rows, None).collect()} == want
+
+
 def test_quality_stage(spark, sf, odd, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id for r in queries.op6_rules(spark, sf).where("kept").collect()}
