@@ -380,7 +380,7 @@ def in_cells(rows: DataFrame, keys: list[str], fields: list[str], found, schema:
             if not len(frame):
                 continue
             cell = frame[keys].to_numpy(np.int64)
-            columns = [np.stack(frame[f].to_numpy()).astype(np.int64).view(np.uint64) if f == "fp" else frame[f].to_numpy(None if f == "shingles" else np.int64) for f in fields]
+            columns = [np.stack(frame[f].to_numpy()).astype(np.int64).view(np.uint64) if f == "fp" else frame[f].to_numpy(None if f in ("shingles", "maps") else np.int64) for f in fields]
             cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1).tolist(), len(cell)]
             for a, b in zip(cuts, cuts[1:]):
                 if key is not None and tuple(cell[a]) != key:
@@ -510,7 +510,7 @@ def crowd_forest(ends: DataFrame, reps: DataFrame, sets: DataFrame, roots: DataF
 
         kept, sides = [], (np.flatnonzero(chunks == low), np.flatnonzero(chunks == high))
         if exact:
-            pairs = bounded_pairs(*sides, fitting_maps(shingles, sizes), sizes, groups, similarity, low == high)
+            pairs = bounded_pairs(*sides, fitting_maps(shingles, sizes.max()), sizes, groups, similarity, low == high)
         else:
             pairs = apart_pairs(*sides, values, groups, block, width, blocks, most, low == high)
         for i, j in pairs:
@@ -624,9 +624,9 @@ def parity_map(hashes: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<u8")
 
 
-def fitting_maps(shingles, sizes: np.ndarray) -> np.ndarray:
-    """Parity maps of the sets of a cell, of about two bits for a shingle of the largest."""
-    bits = 1 << int(np.clip(np.ceil(np.log2(2 * max(1, sizes.max()))), 6, 13))
+def fitting_maps(shingles, largest: int) -> np.ndarray:
+    """Parity maps of sets, of about two bits for a shingle of the largest."""
+    bits = 1 << int(np.clip(np.ceil(np.log2(2 * max(1, largest))), 6, 15))
     return np.stack([parity_map(np.asarray(x, np.int64).view(np.uint64), bits) for x in shingles])
 
 
@@ -809,6 +809,35 @@ def word_links(words: DataFrame, reps: DataFrame, roots: DataFrame, similarity:
     return dealt.mapInPandas(run, "a long, b long")
 
 
+def map_links(islands: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): a spanning forest of the pairs of an island (island, content) that maps as wide as its largest set allow.
+
+    The map that every content has says little of a text of thousands of shingles; maps of an island are a small part of its sets.
+    """
+    rows = islands.join(sets, "content").join(roots.withColumnRenamed("node", "content"), "content", "left")
+    rows = rows.select("island", "content", F.coalesce("root", "content").alias("root"), F.size("shingles").cast("long").alias("size"), "shingles")
+    bounds = rows.groupBy("island").agg(F.max("size").alias("largest"), F.ceil(F.count("*") / CELL).alias("parts"))
+
+    def maps(frames):
+        for frame in frames:
+            yield frame.assign(maps=[fitting_maps([x], n)[0].view(np.int64) for x, n in zip(frame["shingles"], frame["largest"])]).drop(columns=["shingles", "largest"])
+
+    rows = rows.join(bounds, "island").mapInPandas(maps, "island long, content long, root long, size long, parts long, maps array<long>")
+    rows = materialise(rows.withColumn("chunk", chunk(F.col("parts"), F.lit("map"))), "near-maps")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+
+    def found(key, columns):
+        names, values, groups, chunks, sizes = columns
+        _, low, high = key
+        trees, values = Forest(len(names)), np.stack(values).view(np.uint64)
+        for i, j in bounded_pairs(np.flatnonzero(chunks == low), np.flatnonzero(chunks == high), values, sizes, groups, similarity, low == high):
+            trees.join(i, j)
+        child = np.flatnonzero(trees.label != np.arange(len(names)))
+        yield names[child], names[trees.label[child]]
+
+    return in_cells(rows, ["island", "low", "high"], ["content", "maps", "root", "chunk", "size"], found, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, copies, keep): one row per id and text; ``keep`` marks the one of its group that stays.
 
@@ -870,10 +899,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     # a pair that no block holds, or whose fingerprints differ more than expected: all of these share one of their rarest shingles
     common = materialise(shared_words(rows, shingle, counts, similarity), "near-shared")
     maybe = materialise(word_links(common, reps, roots, similarity).distinct(), "near-maybe")
+    if not maybe.isEmpty():
+        wide = components(maybe, "a", "b").select(F.col("root").alias("island"), F.col("node").alias("content"))
+        sets = sets_of(wide.select("content"))
+        maybe = materialise(map_links(wide, sets, roots, similarity), "near-maybe")
     if not maybe.isEmpty():
         left = components(maybe, "a", "b").select(F.lit(0).alias("block"), F.lit(0).cast("long").alias("value"), F.col("root").alias("island"), F.col("node").alias("content"))
-        left = materialise(left, "near-left")
-        more = crowd_forest(left, reps, sets_of(left.select("content")), roots, width, blocks, most, similarity, exact=True)
+        more = crowd_forest(left, reps, sets, roots, width, blocks, most, similarity, exact=True)
         roots = components(links.union(materialise(more, "near-links")), "a", "b")
     classes = reps.select("content", "first").join(roots, F.col("content") == F.col("node"), "left").select("content", "first", F.coalesce("root", "content").alias("root"))
     stays = classes.groupBy("root").agg(F.min("first").alias("stay"))
