@@ -201,6 +201,18 @@ def test_forests_of_fewer_and_lower_trees_are_cuts_and_large_nodes_grow_alike(sp
     assert all(again[k] == pytest.approx(v, abs=1e-6) for k, v in both.items()) and len(again) == len(both)
 
 
+def test_rows_that_a_task_can_hold_are_not_dealt_tree_by_tree(spark, monkeypatch):
+    rows = spark.range(forest.LOCAL + 1).selectExpr("int(id % 3) label", "xxhash64(id) h", "unhex(concat('0', id % 3, '0', id % 7)) _codes")
+    kind = forest.Growth(2, 3, 5, (1.0, 1.0, 1.0))
+    alone = forest.grown_alone
+    monkeypatch.setattr(forest, "grown_alone", None)
+    got = {r.arvore: forest.assembled({r.lugar: np.frombuffer(r.nos, forest.NODE)}) for r in forest.grown(rows, kind, features=2).collect()}
+    pieces: dict = {}
+    for r in alone(rows, forest.LOCAL + 1, kind, 2, 1000).collect():
+        pieces.setdefault(r.arvore, {})[r.lugar] = np.frombuffer(r.nos, forest.NODE)
+    assert {t: by_place(x) for t, x in got.items()} == {t: by_place(forest.assembled(x)) for t, x in pieces.items()} and len(got) == 2
+
+
 def test_the_grown_forest_is_as_good_as_the_librarys(spark, final):
     rows = final.where("split <> 'teste'")
     points = [p for p in models.candidates(("random_forest",)) if p["params"]["min_samples_leaf"] == 5]
